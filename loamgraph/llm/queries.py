@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, warc
+from . import chat, extract, media, mixing, quality, toxicity, warc
 
 QUERIES = {
+    "op1_extract": extract.op1_extract,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op4_quality": quality.op4_quality,
     "op5_chat": chat.op5_chat,
     "op7_mixing": mixing.op7_mixing,
     "op9_warc": warc.op9_warc,
