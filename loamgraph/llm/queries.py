@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, extract, media, mixing, quality, toxicity, warc
+from . import chat, extract, media, mixing, packing, quality, search, toxicity, warc
 
 QUERIES = {
     "op1_extract": extract.op1_extract,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
     "op5_chat": chat.op5_chat,
     "op7_mixing": mixing.op7_mixing,
+    "op8_topk": search.op8_topk,
     "op9_warc": warc.op9_warc,
     "op10_media": media.op10_media,
 }
 
-ORACLES = {"op5_chat": chat.ORACLE, "op7_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
+ORACLES = {"op5_chat": chat.ORACLE, "op7_mixing": mixing.ORACLE, "op8_topk": search.ORACLE, "op9_warc": warc.ORACLE}
