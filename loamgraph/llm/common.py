@@ -71,16 +71,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: one row (id, root) per id that differs from its root.
 
     Alternates large and small stars: each round re-hangs every neighbour on the smallest one, and ends when
-    a round changes nothing. Each round is two grouped minima, so a hub costs one row per edge, never a pair list.
+    a round changes nothing. Each round is two grouped minima, so a hub costs one row per edge, never a pair list;
+    the minima are written before they are joined, so both sides of a join come from a shuffle that AQE can split.
     """
     was = None
     links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(rounds):
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         big = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         kept = big.unionAll(low.where("a <> m").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        low = kept.groupBy("a").agg(F.min("b").alias("m"))
+        kept = written(kept, "kept")
+        low = written(kept.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = kept.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         links = written(small.where("a <> b").distinct(), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

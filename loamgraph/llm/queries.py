@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, extract, media, mixing, packing, quality, search, toxicity, warc
+from . import chat, extract, media, mixing, near, packing, quality, search, toxicity, warc
 
 QUERIES = {
     "op1_extract": extract.op1_extract,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
     "op5_chat": chat.op5_chat,
+    "op6_near": near.op6_near,
     "op7_mixing": mixing.op7_mixing,
     "op8_topk": search.op8_topk,
     "op9_warc": warc.op9_warc,
