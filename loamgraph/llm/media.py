@@ -31,7 +31,8 @@ from .common import scratch, store, table, written
 WIDTH = 64
 SHARD_BYTES = 128 << 20
 HEADER = 33
-ROWS = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
+LEVEL = 6
+ROWS = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -41,7 +42,7 @@ def png(payload: bytes) -> bytes:
     raw = np.zeros((rows, WIDTH + 1), np.uint8)
     raw[:, 1:] = np.frombuffer(payload, np.uint8).reshape(rows, WIDTH)
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, rows, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw.tobytes(), 1)) + chunk(b"IEND", b"")
+    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, rows, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw.tobytes(), LEVEL)) + chunk(b"IEND", b"")
 
 
 def samples(image: bytes) -> bytes:
@@ -87,7 +88,7 @@ def store_media(docs: DataFrame, out_dir: str, shard_bytes: int = SHARD_BYTES) -
             for doc_id, text in zip(ids.to_pylist(), texts, strict=True):
                 raw = (text.as_py() or "").encode()
                 payload = raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH))
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 if digest not in known:
                     if sink is None or at >= shard_bytes:
                         if sink is not None:
@@ -96,12 +97,12 @@ def store_media(docs: DataFrame, out_dir: str, shard_bytes: int = SHARD_BYTES) -
                         name, at, known = f"{uuid.uuid4().hex}.tar", 0, {}
                         sink = fs.open_output_stream(f"{base}/{name}")
                     image = png(payload)
-                    sink.write(tar_header(f"{digest}.png", len(image)) + image + bytes(-len(image) % 512))
+                    sink.write(tar_header(f"{digest.hex()}.png", len(image)) + image + bytes(-len(image) % 512))
                     known[digest] = (name, at + 512, len(image))
                     at += 512 + len(image) + -len(image) % 512
                 out.append((doc_id, len(raw), digest, *known[digest]))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
         if sink is not None:
             sink.write(bytes(1024))
             sink.close()
@@ -115,7 +116,7 @@ def addresses(rows: DataFrame) -> DataFrame:
     return at.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
 
 
-READ = "digest string, width int, height int, bit_depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "digest binary, width int, height int, bit_depth int, payload_bytes long, tail_crc32 long, media_bytes long, media_digest binary, feature string"
 
 
 def features(at: DataFrame, out_dir: str, whole: bool = True) -> DataFrame:
@@ -124,7 +125,7 @@ def features(at: DataFrame, out_dir: str, whole: bool = True) -> DataFrame:
     def read(batches):
         fs, base = store(out_dir)
         file, name = None, None
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
         names = [x.split()[0] for x in READ.split(", ")]
         for batch in batches:
             out = []
@@ -136,14 +137,14 @@ def features(at: DataFrame, out_dir: str, whole: bool = True) -> DataFrame:
                 head = file.read_at(HEADER, offset)
                 w, h, depth = struct.unpack_from(">IIB", head, 16)
                 if not whole:
-                    out.append((digest, w, h, depth, w * h, None, None, length, None, None))
+                    out.append((digest, w, h, depth, w * h, None, length, None, None))
                     continue
                 image = head + file.read_at(length - HEADER, offset + HEADER)
                 payload = samples(image)
-                found = hashlib.sha256(payload).hexdigest()
+                found = hashlib.sha256(payload).digest()
                 if found != digest:
-                    raise ValueError(f"{shard}@{offset}: stored {digest}, read {found}")
-                out.append((digest, w, h, depth, len(payload), found, zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)))
+                    raise ValueError(f"{shard}@{offset}: stored {digest.hex()}, read {found.hex()}")
+                out.append((found, w, h, depth, len(payload), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).digest(), feature(payload)))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) if out else [[]] * len(kinds), kinds, strict=True)], names=names)
         if file:
             file.close()
@@ -155,7 +156,9 @@ def media(docs: DataFrame, out_dir: str, shard_bytes: int = SHARD_BYTES) -> Data
     """Stores every text's payload and returns its row with address, header columns and features."""
     rows = store_media(docs, out_dir, shard_bytes)
     found = written(features(addresses(rows), out_dir), "media-read")
-    return rows.select("doc_id", "n_bytes", "digest").join(found, "digest").drop("digest")
+    hexed = lambda c: F.lower(F.hex(c))
+    both = rows.select("doc_id", "n_bytes", "digest").join(found, "digest")
+    return both.withColumns({"payload_sha256": hexed("digest"), "media_sha256": hexed("media_digest")}).drop("digest", "media_digest")
 
 
 def op10_media(spark, sf_dir) -> DataFrame:
