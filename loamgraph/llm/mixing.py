@@ -105,3 +105,15 @@ c AS (SELECT b.doc_id, b.size, g.source_size, g.target, g.whole, greatest(g.targ
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * (whole + CASE WHEN more <= 0 THEN 0 WHEN upto <= more THEN 1 WHEN done - size / 2 <= more THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
 """
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, all columns as they are.
+
+    Rows of the same id, source and size have the same place in the order, so one decision serves them all.
+    """
+    made = mix(docs, **how).where("repeats > 0").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("repeats").cast("int").alias("_mix_repeats")).distinct()
+    made = written(made, "repeats")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (size == F.col("_mix_size"))
+    return docs.join(made, same).withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_repeats")))).select(docs.columns)
