@@ -59,9 +59,9 @@ def escape_like(text: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     """Bytes in steps of 1024 with one decimal."""
-    out = F.concat(F.format_string("%.1f", n / F.lit(1024.0**4)), F.lit(" TB"))
+    out = F.concat(F.format_string("%.1f", F.bround(n / F.lit(1024.0**4), 1)), F.lit(" TB"))
     for k, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n < F.lit(1024 ** (k + 1)), F.concat(F.format_string("%.1f", n / F.lit(1024.0**k)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n < F.lit(1024 ** (k + 1)), F.concat(F.format_string("%.1f", F.bround(n / F.lit(1024.0**k), 1)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

@@ -1 +1,117 @@
+"""Full-text search and glossary queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import search as S
+from ..registry import query
+
+ASKED = [(1, "the and"), (2, "der die"), (3, "que los"), (4, "nosuchword idiot"), (5, "src3://7 of"), (6, "Été clown")]
+_VALUES = ", ".join(f"({i}, '{q}')" for i, q in ASKED)
+_TOK = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+')"
+_F1 = "list_distinct(regexp_extract_all(regexp_replace({}, '[:/.\\-]+', ' ', 'g'), '[A-Za-z0-9_]+|[一-鿿]+'))"
+_TERMS = f"array_to_string({_F1.format('concat_ws(chr(32), words, path, uri, content)')}, ' ')"
+_BASE = f""", gw AS (SELECT node_uuid AS n, string_agg(keyword, ' ' ORDER BY keyword) AS words FROM glossary GROUP BY 1),
+sd AS (SELECT d.*, coalesce(words, '') AS words FROM docs d LEFT JOIN gw ON d.node_uuid = gw.n),
+se AS (SELECT *, {_TERMS} AS terms FROM sd),
+"""
+F6 = (
+    _BASE
+    + f"""tk AS (SELECT doc_id, unnest({_TOK.format("strip_accents(lower(path))")}) AS term, 2.5::DOUBLE AS w FROM se UNION ALL SELECT doc_id, unnest({_TOK.format("strip_accents(lower(uri))")}), 2.0::DOUBLE FROM se
+  UNION ALL SELECT doc_id, unnest({_TOK.format("strip_accents(lower(content))")}), 1.0::DOUBLE FROM se UNION ALL SELECT doc_id, unnest({_TOK.format("strip_accents(lower(terms))")}), 0.75::DOUBLE FROM se),
+sz AS (SELECT s.doc_id, coalesce(t.n, 0) AS size FROM se s LEFT JOIN (SELECT doc_id, count(*) AS n FROM tk GROUP BY 1) t ON s.doc_id = t.doc_id),
+tot AS (SELECT count(*) AS n_docs, avg(size) AS avg_size FROM sz),
+qs(query_id, query) AS (VALUES {_VALUES}),
+qt AS (SELECT DISTINCT query_id, unnest({_TOK.format("lower(array_to_string(" + _F1.format("query") + ", ' '))")}) AS term FROM qs),
+qn AS (SELECT query_id, count(*) AS asked FROM qt GROUP BY 1),
+po AS (SELECT term, doc_id, sum(w)::DOUBLE AS f FROM tk WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+sc AS (SELECT qt.query_id, po.doc_id, count(*) AS found, round(-sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / avg_size))), 6) AS score
+  FROM po JOIN dfs USING (term) JOIN sz USING (doc_id) JOIN qt USING (term), tot GROUP BY ALL),
+rk AS (SELECT sc.query_id, sc.doc_id, se.node_uuid, CAST(found < asked AS INT) AS pass, score, row_number() OVER (PARTITION BY sc.query_id ORDER BY found < asked, score, priority, length(path), sc.doc_id) AS rank
+  FROM sc JOIN qn USING (query_id) JOIN se ON se.doc_id = sc.doc_id)
+"""
+)
+
+
+def asked(g):
+    return g.spark.createDataFrame(ASKED, "query_id int, query string")
+
+
+@query("f5_search", F6 + "SELECT query_id, CAST(rank AS INT) AS rank, pass, node_uuid, doc_id, score FROM rk WHERE rank <= 10")
+def f5(g):
+    return S.search(S.search_documents(g.documents, g.glossary), asked(g), 10)
+
+
+@query("f10_search_hundred", F6 + "SELECT query_id, CAST(rank AS INT) AS rank, pass, node_uuid, doc_id, score FROM rk WHERE rank <= 100")
+def f10(g):
+    return S.search(S.search_documents(g.documents, g.glossary), asked(g), 100)
+
+
+@query("f1_tokens", f"SELECT item_id, unnest({_F1.format('text')}) AS token FROM benchmark")
+def f1(g):
+    return g.table("benchmark").select("item_id", F.explode(T.search_tokens(F.col("text"))).alias("token"))
+
+
+@query("f4_search_documents", _BASE.rstrip().rstrip(",") + " SELECT doc_id, uri, words, len(" + _F1.format("concat_ws(chr(32), words, path, uri, content)") + ") AS n_terms FROM se")
+def f4(g):
+    d = S.search_documents(g.documents, g.glossary)
+    return d.select("doc_id", "uri", F.coalesce("words", F.lit("")).alias("words"), F.when(F.col("terms") == "", 0).otherwise(F.size(F.split("terms", " "))).cast("long").alias("n_terms"))
+
+
+@query("f8_snippet", """, h AS (SELECT doc_id, content, CASE WHEN contains(lower(content), 'the idiot') THEN 'the idiot' WHEN contains(lower(content), 'the') THEN 'the' WHEN contains(lower(content), 'idiot') THEN 'idiot' END AS needle FROM docs),
+p AS (SELECT *, instr(lower(content), needle) AS hit FROM h), b AS (SELECT *, greatest(hit - 30, 1) AS b, least(hit + length(needle) + 30, length(content) + 1) AS e FROM p)
+SELECT doc_id, CASE WHEN needle IS NULL THEN CASE WHEN length(content) > 80 THEN substr(content, 1, 80) || '...' ELSE content END
+ ELSE (CASE WHEN b > 1 THEN '...' ELSE '' END) || substr(content, b, e - b) || (CASE WHEN e <= length(content) THEN '...' ELSE '' END) END AS snippet FROM b""")
+def f8(g):
+    return g.documents.select("doc_id", S.hit_snippet(F.col("content"), F.lit("The idiot")).alias("snippet"))
+
+
+@query("f9_all_keywords", "SELECT doc_id, 1.0::DOUBLE AS score, CASE WHEN length(content) > 100 THEN substr(content, 1, 100) || ' [truncated]' ELSE content END AS snippet FROM docs WHERE contains(lower(content), 'the') AND contains(lower(content), 'of')")
+def f9(g):
+    words = F.array(F.lit("the"), F.lit("of"))
+    low = F.lower("content")
+    return g.documents.where(F.forall(words, lambda k: F.contains(low, k))).select("doc_id", F.lit(1.0).alias("score"), T.snippet(F.col("content"), 100, " [truncated]").alias("snippet"))
+
+
+@query("g3_node_keywords", "SELECT node_uuid, keyword, row_number() OVER (PARTITION BY node_uuid ORDER BY keyword) AS k FROM glossary")
+def g3(g):
+    return g.glossary.groupBy("node_uuid").agg(F.array_sort(F.collect_list("keyword")).alias("ks")).select("node_uuid", F.posexplode("ks")).select("node_uuid", F.col("col").alias("keyword"), (F.col("pos") + 1).cast("long").alias("k"))
+
+
+@query("g4_glossary", """SELECT g.keyword, g.node_uuid, coalesce(d.uri, 'unlinked://' || g.node_uuid) AS uri, CASE WHEN length(d.content) > 100 THEN replace(substr(d.content, 1, 100), chr(10), ' ') || '...' ELSE replace(d.content, chr(10), ' ') END AS snippet
+FROM glossary g LEFT JOIN docs d ON d.node_uuid = g.node_uuid AND d.namespace = 'en'""")
+def g4(g):
+    d = g.documents.where("namespace = 'en'").select(F.col("node_uuid").alias("n"), "uri", "content")
+    flat = F.replace(T.snippet(F.col("content"), 100), F.lit("\n"), F.lit(" "))
+    return g.glossary.join(d, F.col("node_uuid") == F.col("n"), "left").select("keyword", "node_uuid", F.coalesce("uri", F.concat(F.lit("unlinked://"), "node_uuid")).alias("uri"), flat.alias("snippet"))
+
+
+@query("g5_scan", "SELECT d.doc_id, g.keyword, g.node_uuid AS target FROM docs d JOIN glossary g ON contains(d.content, g.keyword)")
+def g5(g):
+    hits = S.glossary_hits(g.documents, g.glossary)
+    return hits.join(F.broadcast(g.glossary.select("keyword", F.col("node_uuid").alias("target"))), "keyword").select("doc_id", "keyword", "target")
+
+
+@query("g7_cross_links", """, hit AS (SELECT d.doc_id, d.node_uuid, g.keyword, g.node_uuid AS target FROM docs d JOIN glossary g ON contains(d.content, g.keyword))
+SELECT h.doc_id, t.uri, count(*) AS n, string_agg(h.keyword, ',' ORDER BY h.keyword) AS keywords FROM hit h JOIN docs t ON t.node_uuid = h.target WHERE h.target <> h.node_uuid GROUP BY ALL""")
+def g7(g):
+    hits = S.glossary_hits(g.documents, g.glossary).join(F.broadcast(g.glossary.select("keyword", F.col("node_uuid").alias("target"))), "keyword")
+    t = g.documents.select(F.col("node_uuid").alias("target"), "uri")
+    got = hits.join(t, "target").where(F.col("target") != F.concat(F.lit("d-"), F.col("doc_id").cast("string")))
+    return got.groupBy("doc_id", "uri").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("keyword")), ",").alias("keywords"))
+
+
+@query("g9_corpus_scan", "SELECT g.keyword, count(*) AS documents, sum((length(d.content) - length(replace(d.content, g.keyword, ''))) // length(g.keyword))::BIGINT >= count(*) AS enough, max(CASE WHEN d.node_uuid = g.node_uuid THEN 1 ELSE 0 END) AS self FROM docs d JOIN glossary g ON contains(d.content, g.keyword) GROUP BY 1")
+def g9(g):
+    hits = S.glossary_hits(g.documents, g.glossary).join(F.broadcast(g.glossary.select("keyword", "node_uuid")), "keyword")
+    own = F.max((F.concat(F.lit("d-"), F.col("doc_id").cast("string")) == F.col("node_uuid")).cast("int"))
+    return hits.groupBy("keyword").agg(F.count("*").alias("documents"), (F.sum("hits") >= F.count("*")).alias("enough"), own.alias("self"))
+
+
+@query("j4_composite", "SELECT a.doc_id, b.priority FROM docs a JOIN docs b ON a.namespace = b.namespace AND a.domain = b.domain AND a.path = b.path")
+def j4(g):
+    d = g.documents
+    return d.select("namespace", "domain", "path", "doc_id").join(d.select("namespace", "domain", "path", "priority"), ["namespace", "domain", "path"]).select("doc_id", "priority")
