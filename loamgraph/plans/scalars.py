@@ -1 +1,120 @@
+"""Scalar functions applied to whole tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..fixtures import AS_OF
+from ..functions import text as T
+from ..functions import udfs as U
+from ..registry import query
+
+
+@query("s1_parse_uri", r""", u AS (SELECT page_id, '  ' || regexp_replace(url, '^https', 'Core') || '/ ' AS uri FROM pages UNION ALL SELECT -page_id, '/plain/' || page_id FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(trim(uri), '^([a-zA-Z_]\w*)://(.*)$') THEN lower(regexp_extract(trim(uri), '^([a-zA-Z_]\w*)://', 1)) ELSE 'core' END AS domain,
+trim(CASE WHEN regexp_matches(trim(uri), '^([a-zA-Z_]\w*)://(.*)$') THEN regexp_extract(trim(uri), '^([a-zA-Z_]\w*)://(.*)$', 2) ELSE trim(uri) END, '/') AS path FROM u""")
+def s1(g):
+    p = g.table("pages")
+    u = p.select("page_id", F.concat(F.lit("  "), F.regexp_replace("url", "^https", "Core"), F.lit("/ ")).alias("uri"))
+    u = u.unionAll(p.select(-F.col("page_id"), F.concat(F.lit("/plain/"), F.col("page_id").cast("string"))))
+    return u.select("page_id", T.domain_of(F.col("uri")).alias("domain"), T.path_of(F.col("uri")).alias("path"))
+
+
+@query("s4_segments", "SELECT namespace, domain, path, regexp_extract(path, '[^/]*$') AS last, regexp_replace(path, '(^|/)[^/]*$', '') AS parent, split_part(path, '/', 1) AS first, length(path) - length(replace(path, '/', '')) AS depth FROM paths")
+def s4(g):
+    p = F.col("path")
+    return g.paths.select("namespace", "domain", "path", T.last_segment(p).alias("last"), T.parent_path(p).alias("parent"), T.first_segment(p).alias("first"), T.depth(p).cast("long").alias("depth"))
+
+
+@query("s5_snippets", "SELECT doc_id, CASE WHEN length(text) > 50 THEN substr(replace(text, chr(10), ' '), 1, 50) || '...' ELSE replace(text, chr(10), ' ') END AS s50, substr(text, 1, 120) AS s120 FROM documents")
+def s5(g):
+    return g.table("documents").select("doc_id", T.snippet(F.replace("text", F.lit("\n"), F.lit(" ")), 50).alias("s50"), F.substring("text", 1, 120).alias("s120"))
+
+
+@query("s7_typographic", "SELECT item_id, translate('“' || text || '”–‘x’', '‘’‚‛“”„‟–—―‐‑', '''''''''\"\"\"\"-----') AS plain FROM benchmark")
+def s7(g):
+    return g.table("benchmark").select("item_id", T.typographic(F.concat(F.lit("“"), "text", F.lit("”–‘x’"))).alias("plain"))
+
+
+@query("s13_counts", "SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS n FROM documents")
+def s13(g):
+    return g.table("documents").select("doc_id", F.regexp_count("text", F.lit("the")).cast("long").alias("n"))
+
+
+_REL = "CASE WHEN d = 0 THEN '今天' WHEN d = 1 THEN '明天' WHEN d = -1 THEN '昨天' WHEN d = 2 THEN '后天' WHEN d = -2 THEN '前天' ELSE (CASE WHEN abs(d) < 7 THEN abs(d) || '天' WHEN abs(d) < 30 THEN abs(d) // 7 || '周' WHEN abs(d) < 365 THEN abs(d) // 30 || '个月' ELSE abs(d) // 365 || '年' END) || (CASE WHEN d > 0 THEN '后' ELSE '前' END) END"
+
+
+@query("s19_relative", f", x AS (SELECT o_orderkey, date_diff('day', DATE '1996-01-15', CAST(o_orderdate AS DATE)) AS d FROM orders) SELECT o_orderkey, {_REL} AS said FROM x")
+def s19(g):
+    return g.orders.select("o_orderkey", T.relative_day(F.col("o_orderdate").cast("date"), F.lit("1996-01-15").cast("date")).alias("said"))
+
+
+@query("s20_offsets", """, o(off) AS (VALUES ('+3d'), ('-1m'), ('1M'), ('2y'), ('-40d'), ('x'), ('13m')), x AS (SELECT o_orderkey, off, CAST(o_orderdate AS DATE) AS day, TRY_CAST(regexp_extract(lower(off), '^([+-]?\\d+)([dmy])$', 1) AS INT) AS n, regexp_extract(lower(off), '^([+-]?\\d+)([dmy])$', 2) AS u FROM orders, o WHERE o_orderkey % 5 = 0),
+m AS (SELECT *, year(day) * 12 + month(day) - 1 + CASE WHEN u = 'm' THEN n ELSE n * 12 END AS mm FROM x)
+SELECT o_orderkey, off, CAST(CASE WHEN u = 'd' THEN day + n WHEN u IN ('m', 'y') THEN TRY_CAST(format('{:04d}-{:02d}-{:02d}', mm // 12, mm % 12 + 1, day(day)) AS DATE) END AS VARCHAR) AS moved FROM m""".replace("\\\\d", "\\d"))
+def s20(g):
+    o = g.spark.createDataFrame([(x,) for x in ("+3d", "-1m", "1M", "2y", "-40d", "x", "13m")], "off string")
+    d = g.orders.where("o_orderkey % 5 = 0").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.explode(F.array(*[F.lit(r[0]) for r in o.collect()])).alias("off"))
+    return d.select("o_orderkey", "off", T.shifted_day(F.col("day"), F.col("off")).cast("string").alias("moved"))
+
+
+@query("s21_stale_limit", "SELECT id, CASE WHEN p IS NULL THEN 14 WHEN p <= 0 THEN 3 WHEN p = 1 THEN 7 WHEN p = 2 THEN 14 ELSE CAST(least(floor(3.5 * pow(2, least(p, 20))), 36500) AS INT) END AS days FROM (SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE priority + CAST(id % 25 AS INT) END AS p FROM edges)")
+def s21(g):
+    p = F.when(F.col("id") % 7 != 0, F.col("priority") + (F.col("id") % 25).cast("int"))
+    return g.edges.select("id", T.stale_limit(p).alias("days"))
+
+
+@query("s22_language", "SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[a-zA-Z]') THEN 'en' WHEN regexp_matches(text, '[\\x{3040}-\\x{30ff}]') THEN 'ja' ELSE 'zh' END AS code FROM documents")
+def s22(g):
+    return g.table("documents").select("doc_id", T.language(F.col("text")).alias("code"))
+
+
+@query("s24_think", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN ltrim(text) WHEN 1 THEN '' ELSE text END AS answer FROM benchmark")
+def s24(g):
+    n = F.col("item_id") % 3
+    said = F.when(n == 0, F.concat(F.lit("<think>why</think> "), "text")).when(n == 1, F.concat(F.lit("<think>"), "text")).otherwise(F.col("text"))
+    return g.table("benchmark").select("item_id", T.after_think(said).alias("answer"))
+
+
+@query("s25_titles", "SELECT id, regexp_matches(name, '^[a-zA-Z0-9_-]+$') AS valid FROM edges")
+def s25(g):
+    return g.edges.select("id", F.col("name").rlike(T.TITLE).alias("valid"))
+
+
+@query("s26_edge_ids", "SELECT id, replace(parent_uuid, '__', '_') || '__' || replace(replace(name, 'o', '__'), '__', '_') AS edge_id FROM edges")
+def s26(g):
+    return g.edges.select("id", T.edge_id(F.col("parent_uuid"), F.replace("name", F.lit("o"), F.lit("__"))).alias("edge_id"))
+
+
+@query("s12_newlines", r"SELECT item_id, replace('\n' || text, '\n', chr(10)) AS text FROM benchmark")
+def s12(g):
+    return g.table("benchmark").select("item_id", T.literal_newlines(F.concat(F.lit("\\n"), "text")).alias("text"))
+
+
+@query("s6_nfc", "SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+def s6(g):
+    return g.table("documents").select("doc_id", U.nfc(F.col("text")).alias("text"))
+
+
+@query("s14_diff")
+def s14(g):
+    """Unified diff and size of the change between an order memory's successive versions."""
+    b = g.memories.select(F.col("id").alias("next"), F.col("content").alias("after"))
+    return g.memories.join(b, F.col("migrated_to") == F.col("next")).select("id", U.change_summary(F.col("content"), F.col("after")).alias("c")).select("id", "c.*")
+
+
+@query("s11_patch")
+def s11(g):
+    """Each document with its first word replaced through the fuzzy patch; null where that is ambiguous."""
+    word = F.regexp_extract("text", r"^(\S+)", 1)
+    return g.table("documents").select("doc_id", U.fuzzy_patch(F.col("text"), word, F.lit("REPLACED")).alias("text"))
+
+
+@query("i14_mask", "SELECT page_id, regexp_replace('db://user' || page_id || ':pw@host/x', '://([^:/@]+):([^@]+)@', '://\\1:***@') AS url FROM pages")
+def i14b(g):
+    return g.table("pages").select("page_id", T.mask_password(F.concat(F.lit("db://user"), F.col("page_id").cast("string"), F.lit(":pw@host/x"))).alias("url"))
+
+
+@query("as_of_now", f"SELECT count(*) AS n FROM logs WHERE accessed_at <= TIMESTAMP '{AS_OF}'")
+def now(g):
+    return g.logs.where(F.col("accessed_at") <= F.lit(AS_OF).cast("timestamp_ntz")).agg(F.count("*").alias("n"))
