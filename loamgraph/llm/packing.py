@@ -28,8 +28,8 @@ from .common import table, written
 
 LENGTH, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces per partition, rounds of exchange, partitions whose loose bins are pooled, entries of a chunk table.
-ITEMS, ROUNDS, POOL, ENTRIES = 4096, 3, 32, 500_000
+#: Pieces per partition, rounds of exchange, partitions whose loose bins are pooled, entries of the tables of chunks and of letter runs.
+ITEMS, ROUNDS, POOL, ENTRIES, RUNS = 4096, 3, 32, 400_000, 1_500_000
 _ASCII_GAPS = re.compile(r"[ \t\n\r\f\v]+")
 _TAIL = re.compile(r"[^\W\d_]+(?=([!-&(-/:-@\[-`{-~]*)\Z)")
 
@@ -73,7 +73,7 @@ class Chunks:
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > ENTRIES:
             self.known = {}
-        if len(self.cores) > ENTRIES:
+        if len(self.cores) > RUNS:
             self.cores = {}
         odd = ("\x1c", "\x1d", "\x1e", "\x1f")
         split = [_ASCII_GAPS.split(t.strip(" \t\n\r\f\v")) if any(c in t for c in odd) else t.split() for t in texts]
