@@ -7,19 +7,20 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .text import TYPOGRAPHIC
 
 _PLAIN = str.maketrans(*TYPOGRAPHIC)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition."""
     return text.map(lambda t: unicodedata.normalize("NFC", t) if t is not None else None)
 
 
-@F.pandas_udf("unified string, ratio double, size string")
+@F.pandas_udf(StructType([StructField("unified", StringType()), StructField("ratio", DoubleType()), StructField("size", StringType())]))
 def change_summary(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     """A unified diff by lines, the share of changed signs and its name: minor, moderate or major."""
 
@@ -87,6 +88,6 @@ def patched(text: str | None, old: str | None, new: str | None) -> str | None:
     return text[: at[hit]] + fresh + text[at[end] :]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fuzzy_patch(text: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([patched(t, o, n) for t, o, n in zip(text, old, new, strict=True)], dtype=object)

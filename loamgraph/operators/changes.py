@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import cut
+
 #: The tables from the most to the least telling one.
 RANK = {"nodes": 5, "memories": 4, "edges": 3, "paths": 2, "glossary_keywords": 1}
 
@@ -43,6 +45,9 @@ def ancestors(revisions: DataFrame, start: DataFrame, levels: int = 64) -> DataF
     front = start.select("origin", F.col("origin").alias("id"), F.lit(0).alias("depth"))
     out = front
     for _ in range(levels):
+        front = cut(front)
+        if front.isEmpty():
+            break
         front = front.join(up, F.col("id") == F.col("at")).where("parent_id is not null").select("origin", F.col("parent_id").alias("id"), (F.col("depth") + 1).alias("depth"))
         out = out.unionAll(front)
     return out

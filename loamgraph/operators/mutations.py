@@ -5,21 +5,14 @@ Requests of one batch are taken as simultaneous; where two touch the same key th
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.udfs import nfc
 from ..schema import ROOT
 from . import recursive as C
 from .reads import first_by
-
-
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition, applied to content on every write."""
-    return text.map(lambda t: unicodedata.normalize("NFC", t) if t is not None else None)
+from .steps import cut
 
 
 def numbered(df: DataFrame, after: DataFrame, column: str, *order) -> DataFrame:
@@ -41,7 +34,7 @@ def create(paths: DataFrame, edges: DataFrame, memories: DataFrame, requests: Da
     first = F.row_number().over(Window.partitionBy("namespace", "domain", "path").orderBy("seq")) == 1
     got = got.join(taken, ["namespace", "domain", "path"], "left").withColumn("first", first)
     status = F.when(F.col("parent_uuid").isNull(), "no parent").when(F.col("taken") | ~F.col("first"), "taken").otherwise("ok")
-    return got.select("seq", "namespace", "domain", "path", "parent_uuid", "name", "content", "priority", status.alias("status"))
+    return got.select("seq", "namespace", "domain", "path", "parent_uuid", "name", nfc(F.col("content")).alias("content"), "priority", status.alias("status"))
 
 
 def update_content(memories: DataFrame, requests: DataFrame, as_of) -> DataFrame:
@@ -50,7 +43,7 @@ def update_content(memories: DataFrame, requests: DataFrame, as_of) -> DataFrame
     both = active.join(requests.select("node_uuid", F.col("content").alias("new_content")), "node_uuid")
     new = numbered(both, memories.withColumnRenamed("id", "new_id"), "new_id", "node_uuid")
     old = new.select("id", "node_uuid", "content", F.lit(True).alias("deprecated"), F.col("new_id").alias("migrated_to"), "world_timestamp")
-    fresh = new.select(F.col("new_id").alias("id"), "node_uuid", F.col("new_content").alias("content"), F.lit(False).alias("deprecated"), F.lit(None).cast("long").alias("migrated_to"), "world_timestamp")
+    fresh = new.select(F.col("new_id").alias("id"), "node_uuid", nfc(F.col("new_content")).alias("content"), F.lit(False).alias("deprecated"), F.lit(None).cast("long").alias("migrated_to"), "world_timestamp")
     return old.unionByName(fresh)
 
 
@@ -82,6 +75,9 @@ def cascade(edges: DataFrame, paths: DataFrame, aliases: DataFrame, levels: int
     out = front
     e = edges.select(F.col("parent_uuid").alias("node"), F.col("child_uuid").alias("next"), "name")
     for _ in range(levels):
+        front = cut(front)
+        if front.isEmpty():
+            break
         front = front.join(e, "node").where(~F.array_contains("seen", F.col("next"))).select(F.col("next").alias("node"), F.concat_ws("/", "path", "name").alias("path"), (F.col("depth") + 1).alias("depth"), F.concat("seen", F.array("next")).alias("seen"), "namespace", "domain")
         out = out.unionByName(front)
     new = out.select("namespace", "domain", "path", F.col("node").alias("node_uuid"), "depth").join(paths.select("namespace", "domain", "path"), ["namespace", "domain", "path"], "left_anti")

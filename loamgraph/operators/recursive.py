@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .steps import cut
+
 
 def ends(links: DataFrame, hops: int = 50) -> DataFrame:
     """(id, target, hop): where following links(id, next) from each id ends, within ``hops`` steps; null where a link
@@ -16,6 +18,8 @@ def ends(links: DataFrame, hops: int = 50) -> DataFrame:
         joined = at.join(far, "to", "left")
         at = joined.select("id", F.when(F.col("to").isNull(), None).when(F.col("there").isNull(), F.col("to")).otherwise(F.coalesce("to2", "to")).alias("to"), (F.col("hop") + F.coalesce("hop2", F.lit(0))).alias("hop"))
         step *= 2
+        if step in (8, 64, 512):  # a plan of at most three doublings
+            at = cut(at)
     known = links.select(F.col("id").alias("to"), F.col("next").isNull().alias("last"))
     out = at.join(known, "to", "left")
     return out.select("id", F.when(F.col("hop") == 0, F.col("id")).when(F.col("last") & (F.col("hop") <= hops), F.col("to")).alias("target"), "hop")
@@ -27,6 +31,9 @@ def descend(edges: DataFrame, start: DataFrame, levels: int) -> DataFrame:
     front = start.select("node", "path", F.lit(0).alias("depth"), F.array("node").alias("seen"))
     out = front
     for _ in range(levels):
+        front = cut(front)
+        if front.isEmpty():
+            break
         front = front.join(e, "node").where(~F.array_contains("seen", F.col("next"))).select(F.col("next").alias("node"), F.concat_ws("/", "path", "name").alias("path"), (F.col("depth") + 1).alias("depth"), F.concat("seen", F.array("next")).alias("seen"))
         out = out.unionAll(front)
     return out.drop("seen")
@@ -38,5 +45,8 @@ def reachable(links: DataFrame, start: DataFrame, levels: int) -> DataFrame:
     front = seen
     for _ in range(levels):
         front = front.join(links.select(F.col("a").alias("node"), "b"), "node").select("origin", F.col("b").alias("node")).distinct().join(seen, ["origin", "node"], "left_anti")
-        seen = seen.unionAll(front)
+        front = cut(front)
+        if front.isEmpty():
+            break
+        seen = cut(seen.unionAll(front))
     return seen.distinct()

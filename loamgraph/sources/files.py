@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def save(tables: dict[str, DataFrame], root: str, version: int) -> None:
@@ -58,7 +59,7 @@ def write_markdown(sections: DataFrame, path: str) -> None:
     sections.repartitionByRange("uri").sortWithinPartitions("uri").select(F.concat(head, meta, F.lit("\n"), "content", F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def card_text(png: pd.Series) -> pd.Series:
     """The base64 text of a PNG's ``chara`` chunk, or null."""
 
