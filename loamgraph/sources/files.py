@@ -49,7 +49,7 @@ def parse_markdown(text: Column) -> Column:
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.explode(parse_markdown(F.col("value"))).alias("s")).select("s.*")
+    return spark.read.text(path, wholetext=True).select(F.explode(parse_markdown(F.col("value"))).alias("s")).select("s.*")
 
 
 def write_markdown(sections: DataFrame, path: str) -> None:

@@ -134,7 +134,7 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     g.logs.write.parquet(f"{tmp_path}/logs")
     g.changes.write.parquet(f"{tmp_path}/writes")
     for name, src, make, batch in (
-        ("seen", "logs", access.last_access, lambda: g.logs.groupBy("node_uuid").agg(F.max("accessed_at").alias("last"), F.count("*").alias("n"))),
+        ("seen", "logs", access.last_access, lambda: g.logs.groupBy("node_uuid").agg(F.max("accessed_at").cast("timestamp").alias("last"), F.count("*").alias("n"))),
         ("kept", "writes", access.recorded, lambda: changes.recorded(g.changes).select("row_key", "before", "after")),
     ):
         live = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{src}").schema).parquet(f"{tmp_path}/{src}")
