@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .steps import cut
 
 #: Weights of the indexed columns and the two constants of the ranking formula.
 WEIGHTS = {"path": 2.5, "uri": 2.0, "content": 1.0, "disclosure": 1.0, "terms": 0.75}
@@ -28,7 +29,8 @@ _FOLDS = _folds()
 
 def index_tokens(text: Column) -> Column:
     """Runs of letters and digits, small, without marks."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), *_FOLDS), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.regexp_extract_all(F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, *_FOLDS)).otherwise(low), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def search_documents(docs: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -42,11 +44,11 @@ def search_documents(docs: DataFrame, glossary: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(term, key, f) with f the weighted frequency, and (key, size): the inverted index and the documents' lengths."""
-    size = sum((F.size(index_tokens(F.col(c))) for c in WEIGHTS), F.lit(0))
-    weighed = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
-    each = F.flatten(F.array(*[F.transform(index_tokens(F.col(c)), weighed(w)) for c, w in WEIGHTS.items()]))
-    posts = docs.select(key, F.explode(each).alias("x")).groupBy("x.term", key).agg(F.sum("x.w").alias("f"))
-    return posts, docs.select(key, size.alias("size"))
+    # one row per indexed column first, so that each text is split into tokens once
+    columns = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(c).alias("text")) for c, w in WEIGHTS.items()]))
+    split = docs.select(key, columns.alias("x")).select(key, "x.w", index_tokens(F.col("x.text")).alias("tokens"))
+    posts = split.select(key, "w", F.explode("tokens").alias("term")).groupBy("term", key).agg(F.sum("w").alias("f"))
+    return posts, split.groupBy(key).agg(F.sum(F.size("tokens")).alias("size"))
 
 
 def search(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc_id") -> DataFrame:
@@ -58,14 +60,16 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc
     posts, sizes = postings(docs, key)
     asked = queries.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(T.search_tokens(F.col("query")), lambda t: index_tokens(t))))).alias("term"))
     many = asked.groupBy("query_id").agg(F.count("*").alias("asked"))
+    sizes = cut(sizes)
     total = sizes.agg(F.count("*").alias("n_docs"), F.avg("size").alias("avg_size"))
-    hits = posts.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    # what a query can score is small beside the corpus: it is kept, and the texts are read no further
+    hits = cut(posts.join(asked.select("term").distinct(), "term", "left_semi"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     scored = hits.join(df, "term").join(sizes, key).join(F.broadcast(total), F.lit(True))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("avg_size")))
     per = scored.withColumn("part", part).join(asked, "term").groupBy("query_id", key).agg(F.count("*").alias("found"), F.round(-F.sum("part"), 6).alias("score"))
-    full = per.join(F.broadcast(many), "query_id").withColumn("pass", (F.col("found") < F.col("asked")).cast("int"))
+    full = per.join(many, "query_id").withColumn("pass", (F.col("found") < F.col("asked")).cast("int"))
     at = full.join(docs.select(key, "node_uuid", "priority", F.length("path").alias("path_length")), key)
     order = ("pass", "score", "priority", "path_length", key)
     one = Window.partitionBy("query_id", "node_uuid").orderBy(*order)
