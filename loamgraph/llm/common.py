@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words: space and the five ASCII controls from tab to carriage return.
@@ -51,10 +51,11 @@ def clean() -> None:
 atexit.register(clean)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors. ``parts``: files
+    at most, for results whose size is known to be small."""
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -72,21 +73,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large and small stars: each round re-hangs every neighbour on the smallest one, and ends when
     a round changes nothing. Each round is two grouped minima, so a hub costs one row per edge, never a pair list;
-    the minima are written before they are joined, so both sides of a join come from a shuffle that AQE can split.
+    a hub's minimum is written before it is joined, so both sides of that join come from a shuffle that AQE can split.
     """
-    was = None
-    links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    for _ in range(rounds):
+    was, parts = None, None
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    for turn in range(rounds):
+        seen = Observation()
+        links = written(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "links", parts)
+        now = seen.get
+        if turn and now == was:
+            break
+        was, parts = now, max(4, now["n"] // 250_000)
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low", parts)
         big = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         kept = big.unionAll(low.where("a <> m").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        kept = written(kept, "kept")
-        low = written(kept.groupBy("a").agg(F.min("b").alias("m")), "low")
+        low = kept.groupBy("a").agg(F.min("b").alias("m"))
         small = kept.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-        links = written(small.where("a <> b").distinct(), "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == was:
-            break
-        was = now
+        links = small.where("a <> b").distinct()
     return links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id")

@@ -232,8 +232,9 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent: in
     sizes = written(sizes.select(F.col("root").alias("r"), "many", parts.alias("parts")), "sizes")
     h = F.pmod(F.xxhash64("cid", F.lit(9)), F.lit(1 << 30))
     placed = written(members.join(sizes, F.col("root") == F.col("r")).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("parts")).cast("int")).withColumn("pilot", (F.col("parts") > 1) & (h * F.col("many") < PILOTS * (1 << 30))).drop("r", "many"), "placed")
-    # a repeated id may have other texts too: the set's name tells the one that is meant
-    texts = docs.select(F.col("doc_id").cast("long").alias("low"), "text").join(placed.select("low", "key", "cid", "root", "block", "parts", "pilot"), "low").select("text", "key", "cid", "root", "block", "parts", "pilot")
+    # a repeated id may have other texts too: the set's name tells the one that is meant. Texts are shuffled at every
+    # size, so a small run shows the plan of a large one.
+    texts = docs.select(F.col("doc_id").cast("long").alias("low"), "text").join(placed.select("low", "key", "cid", "root", "block", "parts", "pilot").hint("merge"), "low").select("text", "key", "cid", "root", "block", "parts", "pilot")
 
     def right(batches):
         for batch in batches:
@@ -313,7 +314,7 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay: one document of each component, all columns as they are."""
     found = written(near(docs, percent).select("doc_id", "kept"), "near")
     gone = written(found.where("not kept").select("doc_id").distinct(), "gone")
-    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    stay = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     twice = written(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return stay
