@@ -116,4 +116,4 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     made = written(made, "repeats")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (size == F.col("_mix_size"))
-    return docs.join(made, same).withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_repeats")))).select(docs.columns)
+    return docs.join(made.hint("merge"), same).withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_repeats")))).select(docs.columns)
