@@ -25,7 +25,7 @@ from .labelled import PLAIN, gathered, passing, sample, scored
 
 #: Labelled rows that the machine is fitted on, at most; inputs at most; hash bits; least z of an input.
 LIMIT, INPUTS, BITS, Z = 8000, 1024, 20, 4.0
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 40, 128, 0.05, 1e-3
+FACTORS, STEPS, BATCH, RATE, DECAY = 8, 2500, 128, 0.05, 1e-3
 
 
 def terms(text: str) -> np.ndarray:
@@ -94,8 +94,9 @@ def fit(found: list[np.ndarray], y: np.ndarray) -> Machine:
     rng = np.random.default_rng(11)
     w0, w, v = float(np.log(prior / (1 - prior))), np.zeros(len(inputs)), rng.normal(0, 0.01, (len(inputs), FACTORS))
     g0, gw, gv = 1e-8, np.full_like(w, 1e-8), np.full_like(v, 1e-8)
-    for _ in range(EPOCHS if len(inputs) else 0):
-        for part in np.array_split(rng.permutation(n), max(1, n // BATCH)):
+    batches = max(1, n // BATCH)
+    for _ in range(-(-STEPS // batches) if len(inputs) else 0):  # as many steps on a small sample as on a large one
+        for part in np.array_split(rng.permutation(n), batches):
             xb = x[part]
             s = xb @ v
             out = w0 + xb @ w + 0.5 * ((s**2).sum(1) - xb @ (v**2).sum(1))
