@@ -8,7 +8,7 @@ themselves) and are packed again, and the better packing stays. At the end the l
 partitions are pooled and packed once more, so partitions do not each leave a half-empty bin.
 
 Tokenising looks up white-space-separated chunks in a bounded table, as the tokenizer never joins across white
-space; a full table is emptied, never skipped.
+space; a table lives as long as its task, and a full one is emptied, never skipped.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each; a null id stays null;
 an empty table gives an empty result; extra columns are not looked at.
@@ -17,6 +17,7 @@ an empty table gives an empty result; extra columns are not looked at.
 from __future__ import annotations
 
 import re
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -29,7 +30,7 @@ from .common import table, written
 LENGTH, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces per partition, rounds of exchange, partitions whose loose bins are pooled, entries of the tables of chunks and of letter runs.
-ITEMS, ROUNDS, POOL, ENTRIES, RUNS = 4096, 3, 32, 400_000, 1_500_000
+ITEMS, ROUNDS, POOL, ENTRIES, RUNS = 4096, 3, 32, 400_000, 600_000
 _ASCII_GAPS = re.compile(r"[ \t\n\r\f\v]+")
 _TAIL = re.compile(r"[^\W\d_]+(?=([!-&(-/:-@\[-`{-~]*)\Z)")
 
@@ -47,11 +48,14 @@ class Chunks:
         from tokenizers import Tokenizer
 
         self.of, self.known, self.cores = Tokenizer.from_file(path), {}, {}
+        # bytes as the vocabulary spells them: printable ones as themselves, the others from 256 on, in order
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.spell = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
 
     def encode(self, words: list[str]) -> list[bytes]:
         out = []
         for k in range(0, len(words), 4096):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.of.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)]
+            out += [array("I", e.ids).tobytes() for e in self.of.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)]
         return out
 
     def learn(self, new: list[str]) -> None:
@@ -63,11 +67,12 @@ class Chunks:
                 split.append((w, low, m[1]))
             else:
                 plain.append(w)
-        parts = {x for _, a, b in split for x in (a, b) if x and x not in self.cores}
-        fresh = list(parts) + plain
-        got = dict(zip(fresh, self.encode(fresh), strict=True))
-        self.cores.update((p, got[p]) for p in parts)
-        self.known.update((w, got[w]) for w in plain)
+        # a run of small letters or of signs is one unit of the vocabulary's merges: no need to normalise or split it
+        merge = self.of.model.tokenize
+        for part in {x for _, a, b in split for x in (a, b) if x and x not in self.cores}:
+            spelled = part if part.isascii() else "".join(map(self.spell.__getitem__, part.encode()))
+            self.cores[part] = array("I", [t.id for t in merge(spelled)]).tobytes()
+        self.known.update(zip(plain, self.encode(plain), strict=True))
         self.known.update((w, self.cores[a] + self.cores[b] if b else self.cores[a]) for w, a, b in split)
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -85,16 +90,6 @@ class Chunks:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-def chunks(path: str) -> Chunks:
-    """One table per worker process and tokenizer: it is kept on the library's module, which outlives a task."""
-    import tokenizers
-
-    held = vars(tokenizers).setdefault("_loamgraph_chunks", {})
-    if path not in held:
-        held[path] = Chunks(path)
-    return held[path]
-
-
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -103,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     path = tokenizer or default_tokenizer()
 
     def cut(batches):
-        table_, mark = chunks(path), np.array([end], "<u4").tobytes()
+        table_, mark = Chunks(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for k in range(0, len(doc_ids), 512):
