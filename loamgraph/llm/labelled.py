@@ -16,25 +16,32 @@ PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def sample(docs: DataFrame, labels: DataFrame, target: str, limit: int) -> DataFrame:
-    """(text, y) of at most ``limit`` labelled documents outside the held-out fifth, in the order of a hash of the id.
+    """(doc_id, text, y) of at most ``limit`` labelled documents outside the held-out fifth: the first by a hash of the id.
 
-    The chosen ids are at most ``limit`` rows of two numbers, so that side is broadcast and no text is shuffled.
+    The chosen ids are at most ``limit`` rows of two numbers, so that side is broadcast and only texts of the sample
+    are shuffled. Of rows that repeat an id the smallest text counts, so the bound holds however often an id repeats.
     """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     one = known.groupBy("doc_id").agg(F.max(F.col(target).cast("int")).alias("y"))
     chosen = one.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def gathered(rows: DataFrame, terms: Callable[[str], np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each sampled text's term buckets and its label; as large as the sample's bound allows, whatever the corpus."""
+    """Each sampled text's term buckets and its label; as large as the sample's bound allows, whatever the corpus.
+
+    In the order of the ids' hash, as fits depend on the order of their rows and that of partitions varies.
+    """
 
     def extract(batches):
         for batch in batches:
-            found = [terms(t.as_py()) for t in batch.column(0)]
-            yield pa.record_batch([pa.array([x.tobytes() for x in found], pa.binary()), batch.column(1)], names=["terms", "y"])
+            found = [terms(t.as_py()) for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), batch.column(2), batch.column(3)], names=["h", "terms", "y", "doc_id"])
 
-    got = rows.mapInArrow(extract, "terms binary, y int").toArrow()
+    keyed = rows.select(F.xxhash64("doc_id", F.lit(7)).alias("h"), "text", "y", F.col("doc_id").cast("string").alias("doc_id"))
+    got = keyed.mapInArrow(extract, "h long, terms binary, y int, doc_id string").toArrow()
+    got = got.sort_by([("h", "ascending"), ("doc_id", "ascending")])
     found = [np.frombuffer(x.as_py(), np.uint32) for x in got.column("terms")]
     return found, np.array(got.column("y").to_pylist(), np.int64)
 

@@ -108,3 +108,14 @@ def test_factor_pairs_learn_a_combination():
         y.append(int(a and b))
     score = toxicity.fit(found, np.array(y)).scorer()
     assert score(["base alpha beta"])[0] > 0.8 > 0.3 > max(score(["base alpha", "base beta", "base"]))
+
+
+@pytest.mark.parametrize(("model", "kind"), [(toxicity, "toxic"), (quality, "quality")])
+def test_fit_ignores_partitions_and_repeats(spark, model, kind):
+    """Rows in another order and partitioning give the same scores; a repeated id is one row of the sample."""
+    docs, labels = labelled(kind)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, f"doc_id long, {kind} int")
+    again = spark.createDataFrame(docs[::-1] + docs[:1] * 300, "doc_id long, text string").repartition(7, "text")
+    scores = lambda m: [r.score for r in model.score(d, m).orderBy("doc_id").collect()]
+    assert scores(model.train(d, lab, 400)) == scores(model.train(again, lab, 400))
