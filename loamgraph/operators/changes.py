@@ -39,15 +39,17 @@ def reverted(state: DataFrame, rows: DataFrame) -> DataFrame:
     return keep.unionByName(rows.where("before is not null").select("row_key", F.col("before").alias("image")))
 
 
-def ancestors(revisions: DataFrame, start: DataFrame, levels: int = 64) -> DataFrame:
-    """(origin, id, depth) of start(origin) and every revision above it."""
-    up = revisions.select(F.col("id").alias("at"), "parent_id")
-    front = start.select("origin", F.col("origin").alias("id"), F.lit(0).alias("depth"))
-    out = front
-    for _ in range(levels):
-        front = cut(front)
-        if front.isEmpty():
-            break
-        front = front.join(up, F.col("id") == F.col("at")).where("parent_id is not null").select("origin", F.col("parent_id").alias("id"), (F.col("depth") + 1).alias("depth"))
-        out = out.unionAll(front)
-    return out
+def ancestors(revisions: DataFrame, start: DataFrame) -> DataFrame:
+    """(origin, id, depth) of start(origin) and every revision above it, however many: log2(depth) rounds, each of which
+    adds what lies 2^k links above all that is known. Each revision comes once, so a cycle of parents ends."""
+    up = cut(revisions.where("parent_id is not null").select(F.col("id").alias("at"), F.col("parent_id").alias("above")))
+    out = cut(start.select("origin", F.col("origin").alias("id"), F.lit(0).alias("depth")).distinct())
+    step = 1
+    while True:
+        more = out.join(up, F.col("id") == F.col("at")).select("origin", F.col("above").alias("id"), (F.col("depth") + step).alias("depth"))
+        more = cut(more.groupBy("origin", "id").agg(F.min("depth").alias("depth")).join(out, ["origin", "id"], "left_anti"))
+        if more.isEmpty():
+            return out
+        out = cut(out.unionAll(more))
+        far = up.select(F.col("at").alias("above"), F.col("above").alias("above2"))
+        up, step = cut(up.join(far, "above").select("at", F.col("above2").alias("above"))), 2 * step

@@ -67,14 +67,14 @@ def purge(memories: DataFrame, targets: DataFrame) -> DataFrame:
     return left.join(known, F.col("migrated_to") == F.col("g"), "left").select("id", "node_uuid", F.when(F.col("migrated_to").isNull(), None).otherwise(F.col("goal")).alias("migrated_to"))
 
 
-def cascade(edges: DataFrame, paths: DataFrame, aliases: DataFrame, levels: int = 8) -> DataFrame:
-    """Paths that aliases(namespace, domain, path, node_uuid) bring: the alias and one for each way down from its node,
-    unless taken."""
+def cascade(edges: DataFrame, paths: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Paths that aliases(namespace, domain, path, node_uuid) bring: the alias and one for each way down from its node, to
+    the last level, unless taken."""
     start = aliases.select(F.col("node_uuid").alias("node"), "path", "namespace", "domain")
     front = start.select("node", "path", F.lit(0).alias("depth"), F.array("node").alias("seen"), "namespace", "domain")
     out = front
     e = edges.select(F.col("parent_uuid").alias("node"), F.col("child_uuid").alias("next"), "name")
-    for _ in range(levels):
+    while True:
         front = cut(front)
         if front.isEmpty():
             break
@@ -84,10 +84,10 @@ def cascade(edges: DataFrame, paths: DataFrame, aliases: DataFrame, levels: int
     return first_by(new, ["namespace", "domain", "path"], "depth", "node_uuid")
 
 
-def would_cycle(edges: DataFrame, requests: DataFrame, levels: int = 16) -> DataFrame:
+def would_cycle(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """For requests(parent_uuid, child_uuid): whether the parent is the child or below it; never for the root."""
     links = edges.select(F.col("parent_uuid").alias("a"), F.col("child_uuid").alias("b"))
-    below = C.reachable(links, requests.select(F.col("child_uuid").alias("origin"), F.col("child_uuid").alias("node")).distinct(), levels)
+    below = C.reachable(links, requests.select(F.col("child_uuid").alias("origin"), F.col("child_uuid").alias("node")).distinct())
     hit = below.select(F.col("origin").alias("child_uuid"), F.col("node").alias("parent_uuid"), F.lit(True).alias("hit"))
     got = requests.join(hit, ["child_uuid", "parent_uuid"], "left")
     return got.select("parent_uuid", "child_uuid", (F.coalesce("hit", F.lit(False)) & (F.col("parent_uuid") != ROOT)).alias("cycle"))

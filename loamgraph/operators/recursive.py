@@ -39,11 +39,12 @@ def descend(edges: DataFrame, start: DataFrame, levels: int) -> DataFrame:
     return out.drop("seen")
 
 
-def reachable(links: DataFrame, start: DataFrame, levels: int) -> DataFrame:
-    """(origin, node) for every node that links(a, b) reach from start(origin, node), within ``levels`` steps."""
+def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
+    """(origin, node) for every node that links(a, b) reach from start(origin, node), in as many steps as it takes: the
+    frontier holds new nodes only, so cycles end."""
     seen = start.select("origin", "node")
     front = seen
-    for _ in range(levels):
+    while True:
         front = front.join(links.select(F.col("a").alias("node"), "b"), "node").select("origin", F.col("b").alias("node")).distinct().join(seen, ["origin", "node"], "left_anti")
         front = cut(front)
         if front.isEmpty():

@@ -87,12 +87,12 @@ def c16(g):
 @query("c17_ancestors", REV + ", an AS (SELECT id AS origin, id, parent_id, 0 AS depth FROM rev WHERE id % 100 = 7 UNION ALL SELECT an.origin, r.id, r.parent_id, an.depth + 1 FROM an JOIN rev r ON r.id = an.parent_id) SELECT origin, id, depth FROM an")
 def c17(g):
     r = revisions(g)
-    got = C.ancestors(r, r.where("id % 100 = 7").select(F.col("id").alias("origin")), 18)
+    got = C.ancestors(r, r.where("id % 100 = 7").select(F.col("id").alias("origin")))
     return got.join(r.select("id"), "id", "left_semi")
 
 
 @query("c18_checkout", REV + ", an AS (SELECT id AS origin, id, parent_id, 0 AS depth FROM rev WHERE id % 100 = 7 UNION ALL SELECT an.origin, r.id, r.parent_id, an.depth + 1 FROM an JOIN rev r ON r.id = an.parent_id) SELECT origin, id % 3 AS key, arg_max(id, depth) AS nearest_target, arg_min(id, depth) AS nearest_head FROM an GROUP BY ALL")
 def c18(g):
     r = revisions(g)
-    got = C.ancestors(r, r.where("id % 100 = 7").select(F.col("id").alias("origin")), 18).join(r.select("id"), "id", "left_semi")
+    got = C.ancestors(r, r.where("id % 100 = 7").select(F.col("id").alias("origin"))).join(r.select("id"), "id", "left_semi")
     return got.groupBy("origin", (F.col("id") % 3).alias("key")).agg(F.max_by("id", "depth").alias("nearest_target"), F.min_by("id", "depth").alias("nearest_head"))

@@ -34,7 +34,7 @@ t AS (SELECT *, 0 AS depth FROM st UNION ALL SELECT t.namespace, t.domain, t.pat
 SELECT namespace, domain, path, node_uuid, depth FROM t""")
 def m3(g):
     a = g.edges.where("child_uuid like 'n-%'").select(F.lit("").alias("namespace"), F.lit("notes").alias("domain"), F.concat(F.lit("mirror_"), "name").alias("path"), F.col("child_uuid").alias("node_uuid"))
-    return M.cascade(g.edges, g.paths, a, 4)
+    return M.cascade(g.edges, g.paths, a)
 
 
 @query("m4_remove", """, req AS (SELECT namespace, domain, path AS base FROM paths WHERE namespace = '' AND (node_uuid LIKE 'n-1%' OR path LIKE '%_copy')),
@@ -83,7 +83,7 @@ def m13(g):
     c = g.table("customer").where("c_custkey % 10 = 0")
     req = req.unionAll(c.select(tag("c-", "c_custkey"), F.concat(F.lit("c-"), (F.col("c_custkey") + 1).cast("string")))).unionAll(g.table("region").select(F.lit("ROOT"), tag("r-", "r_regionkey")))
     req = req.unionAll(g.spark.createDataFrame([("r-1", "r-1")], req.schema)).distinct()
-    return M.would_cycle(g.edges, req, 4)
+    return M.would_cycle(g.edges, req)
 
 
 @query("m15_last_access", "SELECT node_uuid, strftime(max(accessed_at), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n FROM logs GROUP BY 1")

@@ -59,6 +59,22 @@ def test_alias_cascade_and_cycle(spark):
     assert {(r.parent_uuid, r.child_uuid): r.cycle for r in mutations.would_cycle(e, asked).collect()} == {("c", "a"): True, ("a", "c"): False, ("ROOT", "a"): False, ("b", "b"): True}
 
 
+def test_closures_reach_the_last_level(spark):
+    n = 100
+    r = frame(spark, [(k, k - 1 if k else None) for k in range(n)], "id long, parent_id long")
+    got = changes.ancestors(r, frame(spark, [(n - 1,), (70,), (0,)], "origin long")).collect()
+    assert sorted((x.origin, x.id, x.depth) for x in got) == sorted((o, k, o - k) for o in (n - 1, 70, 0) for k in range(o + 1))
+    ring = changes.ancestors(frame(spark, [(5, 1), (1, 2), (2, 3), (3, 1)], "id long, parent_id long"), frame(spark, [(5,), (2,)], "origin long"))
+    assert sorted(map(tuple, ring.collect())) == [(2, 1, 2), (2, 2, 0), (2, 3, 1), (5, 1, 1), (5, 2, 2), (5, 3, 3), (5, 5, 0)]
+    depth = 17
+    e = frame(spark, [(f"n{k}", f"n{k + 1}", f"n{k + 1}") for k in range(depth)], "parent_uuid string, child_uuid string, name string")
+    asked = frame(spark, [(f"n{depth}", "n0"), ("n0", f"n{depth}")], "parent_uuid string, child_uuid string")
+    assert {r.parent_uuid: r.cycle for r in mutations.would_cycle(e, asked).collect()} == {f"n{depth}": True, "n0": False}
+    p = frame(spark, [], "namespace string, domain string, path string")
+    got = mutations.cascade(e, p, frame(spark, [("", "x", "m", "n0")], "namespace string, domain string, path string, node_uuid string")).collect()
+    assert {r.depth for r in got} == set(range(depth + 1))
+
+
 def test_remove_refuses_when_a_child_would_be_lost(spark):
     p = frame(spark, [("", "core", "f", "f"), ("", "core", "f/c", "c"), ("", "core", "g", "g"), ("", "core", "g/d", "d"), ("", "x", "d2", "d")], "namespace string, domain string, path string, node_uuid string")
     got = mutations.remove_paths(p, None, frame(spark, [("", "core", "f"), ("", "core", "g")], "namespace string, domain string, path string")).collect()
