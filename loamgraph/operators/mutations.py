@@ -60,11 +60,17 @@ def purge(memories: DataFrame, targets: DataFrame) -> DataFrame:
     the touched nodes."""
     gone = memories.join(targets, "id").where("deprecated").select("id", "migrated_to", "node_uuid")
     left = memories.join(gone.select("node_uuid").distinct(), "node_uuid").join(gone.select("id"), "id", "left_anti")
-    # runs of deleted versions are followed to their end
-    inner = gone.select(F.col("id"), F.col("migrated_to").alias("next"))
-    ends = C.ends(inner.unionByName(left.select("id", F.lit(None).cast("long").alias("next")))).select(F.col("id").alias("g"), "target")
-    known = ends.join(gone.select(F.col("id").alias("target"), F.lit(True).alias("dead")), "target", "left").select("g", F.when(F.col("dead").isNull(), F.col("target")).alias("goal"))
-    return left.join(known, F.col("migrated_to") == F.col("g"), "left").select("id", "node_uuid", F.when(F.col("migrated_to").isNull(), None).otherwise(F.col("goal")).alias("migrated_to"))
+    # runs of deleted versions are skipped whole: pointers double until none leads to a deleted version
+    at = cut(gone.select("id", F.col("migrated_to").alias("goal")))
+    n, step = at.count(), 1
+    while step < n and not at.join(at.select(F.col("id").alias("goal")), "goal", "left_semi").isEmpty():
+        far = at.select(F.col("id").alias("goal"), F.col("goal").alias("goal2"), F.lit(True).alias("dead"))
+        at = cut(at.join(far, "goal", "left").select("id", F.when(F.col("dead"), F.col("goal2")).otherwise(F.col("goal")).alias("goal")))
+        step *= 2
+    # what still leads to a deleted version runs in a ring of them, after which no version stays
+    known = at.select(F.col("id").alias("g"), "goal").join(gone.select(F.col("id").alias("goal")), "goal", "left_anti")
+    over = gone.select(F.col("id").alias("g"), F.lit(True).alias("dead")).join(known, "g", "left")
+    return left.join(over, F.col("migrated_to") == F.col("g"), "left").select("id", "node_uuid", F.when(F.col("dead"), F.col("goal")).otherwise(F.col("migrated_to")).alias("migrated_to"))
 
 
 def cascade(edges: DataFrame, paths: DataFrame, aliases: DataFrame) -> DataFrame:

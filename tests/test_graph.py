@@ -50,6 +50,19 @@ def test_chain_longer_than_the_hops(spark):
     assert got[80] == 80 and got[30] == 80 and got[29] is None
 
 
+def test_purge_of_a_long_run(spark):
+    n = 150
+    rows = [(k, "n", "", k < n, k + 1 if k < n else None) for k in range(n + 1)] + [(900, "m", "", True, 901), (901, "m", "", True, 5000), (902, "m", "", True, None), (903, "m", "", True, 902)]
+    m = frame(spark, rows, "id long, node_uuid string, content string, deprecated boolean, migrated_to long")
+    dead = {k for k in range(1, 130)} | {131, 140, 141, 901, 902}
+    want = {r[0]: r[4] for r in rows}
+    for k in sorted(dead):  # one by one
+        goal = want.pop(k)
+        want = {a: goal if b == k else b for a, b in want.items()}
+    got = mutations.purge(m, frame(spark, [(k,) for k in dead], "id long")).collect()
+    assert {r.id: r.migrated_to for r in got} == want
+
+
 def test_alias_cascade_and_cycle(spark):
     e = frame(spark, [("ROOT", "a", "a"), ("a", "b", "b"), ("b", "c", "c")], "parent_uuid string, child_uuid string, name string")
     p = frame(spark, [("", "core", "a"), ("", "core", "a/b"), ("", "x", "m/b")], "namespace string, domain string, path string")
