@@ -311,15 +311,15 @@ def near(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay: one document of each component, all columns as they are."""
+    """The rows of docs that stay: one document of each component, all columns as they are. A repeated id is settled
+    first: its other texts neither stay nor speak against other documents."""
+    twice = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if not twice.isEmpty():
+        first = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text")).alias("x")).select("x.*")
+        docs = written(docs.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(first), "single")
     found = written(near(docs, percent).select("doc_id", "kept"), "near")
-    gone = written(found.where("not kept").select("doc_id").distinct(), "gone")
-    stay = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    twice = written(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return stay
-    first = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text")).alias("x")).select("x.*")
-    return stay.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(first)
+    gone = written(found.where("not kept").select("doc_id"), "gone")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def op6_near(spark, sf_dir) -> DataFrame:

@@ -77,6 +77,17 @@ def test_edges_of_the_table(spark):
     assert near.near(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_repeated_id_with_other_texts(spark, swap):
+    r = random.Random(9)
+    a, b = (" ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(200)) for _ in range(2))
+    a, b = sorted((a, b), reverse=swap)
+    docs = [(3, b + " x"), (5, a), (5, b), (7, a + " y"), (None, a)]
+    stay = {(x.doc_id, x.text) for x in near.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    # the first text of 5 in order is a, or b when swapped; a document of either family stays
+    assert stay == ({(3, b + " x"), (7, a + " y"), (None, a)} if swap else {(3, b + " x"), (5, a), (None, a)})
+
+
 def test_likelihood_estimate_is_close():
     r = np.random.default_rng(2)
     for j in (0.2, 0.5, 0.85, 0.95):
