@@ -117,9 +117,9 @@ def write_monolithic(pages: DataFrame, out_dir: str, file_bytes: int = FILE_BYTE
     return written(pages.mapInArrow(write, "name string"), "warc-files")
 
 
-def normalise(files: DataFrame, in_dir: str, out_dir: str, drop_source: bool = False) -> DataFrame:
+def normalise(files: DataFrame, in_dir: str, out_dir: str) -> DataFrame:
     """Rewrites every file with a member per record and a sidecar ``.idx`` (offset, length, id per line); returns the
-    index rows (file, offset, length)."""
+    new files' names, records and bytes. The sources stay, so that a lost or speculative task can be run again."""
 
     def one(batches):
         fs, base = store(in_dir)
@@ -137,8 +137,6 @@ def normalise(files: DataFrame, in_dir: str, out_dir: str, drop_source: bool = F
                         at += len(member)
                 with to.open_output_stream(f"{target}/{new}.idx") as side:
                     side.write("".join(f"{a}\t{n}\t{i}\n" for a, n, i in rows).encode())
-                if drop_source:
-                    fs.delete_file(f"{base}/{name}")
                 yield pa.record_batch([pa.array([new], pa.string()), pa.array([len(rows)], pa.int64()), pa.array([at], pa.int64())], names=["file", "records", "bytes"])
 
     return written(files.mapInArrow(one, "file string, records long, bytes long"), "warc-done")
@@ -195,7 +193,9 @@ def round_trip(pages: DataFrame, out_dir: str, min_bytes: int = MIN_BYTES) -> Da
     n = files.count()
     if not n:
         return spark.createDataFrame([], PAGE)
-    made = normalise(files.repartition(n), raw, done, drop_source=True)
+    made = normalise(files.repartition(n), raw, done)
+    fs, base = store(raw)  # every new file is committed by now
+    fs.delete_dir(base)
     return read_records(read_index(spark, made, done), done)
 
 

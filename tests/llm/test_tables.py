@@ -107,6 +107,26 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.where("false"), scratch(spark, "t")).count() == 0
 
 
+def test_warc_keeps_the_source_until_all_is_written(spark, monkeypatch):
+    from pyarrow.fs import FileSelector
+
+    out = scratch(spark, "t")
+    fs, base = store(f"{out}/monolithic")
+    held = lambda: len(fs.get_file_info(FileSelector(base, allow_not_found=True)))
+    seen = {}
+
+    def noted(df, tag, plain=warc.written):
+        got = plain(df, tag)
+        seen[tag] = held()
+        return got
+
+    monkeypatch.setattr(warc, "written", noted)
+    df = spark.createDataFrame([(k, "u", f"<p>{k}</p>") for k in range(40)], "page_id long, url string, html string").repartition(3)
+    got = warc.round_trip(df, out)
+    assert seen["warc-done"] == seen["warc-files"] > 0 and held() == 0
+    assert got.count() == 40
+
+
 def test_warc_reads_any_gzip_layout():
     recs = [warc.record(k, "u", b"p" * k, None) for k in range(50)]
     one = zlib.compressobj(6, wbits=31)
