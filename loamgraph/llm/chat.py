@@ -6,12 +6,17 @@ turns, so one ordered pass gives every prefix of every conversation. A conversat
 proper prefix of another one is dropped by an anti-join, equal conversations keep the smallest id, and what
 remains (the maximal conversations) is rendered.
 
-Prefixes run over blocks of ``BLOCK`` turns: a window inside each block and one over the block totals, so a
-conversation with a third of all turns is no single task; rendered text comes per block too.
+Positions come from row order, never from turn numbers: exact repeats are counted as one row, the distinct rows are
+dealt by ranges of (conversation, turn, role, text) and sorted there, and counts per range are summed. Blocks are
+``BLOCK`` positions: prefixes run inside each block and over the block totals, and text is rendered per block, so a
+conversation with a third of all rows is no single task, whatever its turn numbers. Ranges look at the first ``HEAD``
+characters of role and text; rows that share these and the turn within one conversation meet in one range.
 
 Defined results: null roles and texts differ from empty ones in the fingerprint and render as empty; rows with a
 null conversation form one conversation (null); null turns come first; rows that repeat a turn number are ordered
-by role and text, and exact repeats stay; an empty table gives an empty result; extra columns are not looked at.
+by role and text, and exact repeats stay; part is the block of positions, floor((pos - 1) / BLOCK), which is
+floor(turn / BLOCK) as in the SQL where turns are numbered 0, 1, 2, ...; an empty table gives an empty result; extra
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,35 +24,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
-BLOCK = 256
+BLOCK, HEAD = 256, 200
 OPEN, CLOSE = "<|", "|>"
 
 
-def turns(conv: DataFrame) -> DataFrame:
-    """Adds pos (1, 2, ... in a conversation), block and the two lanes of each prefix's fingerprint."""
-    base = conv.select("conv_id", "turn", "role", "text").withColumn("part", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
-    inner = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
-    counts = base.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+def ordered(conv: DataFrame) -> DataFrame:
+    """conv_id, role, text, n (how often), i (the order over all conversations) and d (a name of role and text) of each
+    distinct row."""
+    rows = conv.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
+    head = lambda c: F.substring(c, 1, HEAD)
+    dealt = rows.repartitionByRange("conv_id", "turn", head("role"), head("text")).sortWithinPartitions("conv_id", "turn", "role", "text")
+    d = F.md5(F.to_json(F.struct(F.col("role").isNull().alias("nr"), "role", F.col("text").isNull().alias("nt"), "text")))
+    return written(dealt.select("conv_id", "role", "text", "n", F.monotonically_increasing_id().alias("i"), d.alias("d")), "ordered")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """i, conv_id, d, part, first and k: the k equal rows from position ``first`` on that lie in one block."""
+    slim = rows.select("conv_id", "i", "n", "d", F.shiftright("i", 33).alias("range"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    counts = slim.groupBy("conv_id", "range").agg(F.sum("n").alias("m"))
+    starts = counts.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), F.coalesce(F.sum("m").over(before(Window.partitionBy("conv_id").orderBy("range"))), F.lit(0)).alias("start"))
+    inside = slim.withColumn("ahead", F.coalesce(F.sum("n").over(before(Window.partitionBy("conv_id", "range").orderBy("i"))), F.lit(0)))
+    at = inside.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r")))
+    at = at.select("i", "conv_id", "d", "n", (F.col("start") + F.col("ahead")).alias("s"))
+    block = lambda x: F.floor(x / BLOCK)
+    at = at.withColumn("part", F.explode(F.sequence(block(F.col("s")), block(F.col("s") + F.col("n") - 1))))
+    first, last = F.greatest("s", F.col("part") * BLOCK), F.least(F.col("s") + F.col("n"), (F.col("part") + 1) * BLOCK)
+    return written(at.select("i", "conv_id", "d", "part", (first + 1).alias("first"), (last - first).alias("k")), "placed")
+
+
+def turns(at: DataFrame) -> DataFrame:
+    """pos (1, 2, ... in a conversation), part and the two lanes of each prefix's fingerprint."""
+    inner = Window.partitionBy("conv_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    placed = base.withColumn("k", F.row_number().over(inner)).join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).drop("c", "p")
-    placed = placed.withColumn("pos", F.col("start") + F.col("k")).drop("start")
-    one = F.md5(F.to_json(F.struct("pos", F.col("role").isNull().alias("nr"), "role", F.col("text").isNull().alias("nt"), "text")))
+    # a row that fills many blocks goes to these first
+    each = at.select("conv_id", "part", "first", "k", "d").repartition("conv_id", "part")
+    each = each.select("conv_id", "part", "d", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("k") - 1)).alias("pos"))
+    one = F.md5(F.concat_ws(":", "pos", "d"))
     lane = lambda i: F.conv(F.substring(one, i, 15), 16, 10).cast("long")
-    placed = placed.withColumn("h1", lane(1)).withColumn("h2", lane(17))
-    run = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("a", F.bit_xor("h1").over(run)).withColumn("b", F.bit_xor("h2").over(run))
-    totals = placed.groupBy("conv_id", "part").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+    each = each.withColumn("h1", lane(1)).withColumn("h2", lane(17))
+    each = each.withColumn("a", F.bit_xor("h1").over(inner)).withColumn("b", F.bit_xor("h2").over(inner))
+    totals = each.groupBy("conv_id", "part").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
     carried = totals.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.bit_xor("h1").over(before), F.lit(0)).alias("a0"), F.coalesce(F.bit_xor("h2").over(before), F.lit(0)).alias("b0"))
-    both = placed.join(carried, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
-    return both.select("conv_id", "turn", "pos", "part", "k", "role", "text", F.col("a").bitwiseXOR(F.col("a0")).alias("fp1"), F.col("b").bitwiseXOR(F.col("b0")).alias("fp2"))
+    both = each.join(carried, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
+    return both.select("conv_id", "pos", "part", F.col("a").bitwiseXOR(F.col("a0")).alias("fp1"), F.col("b").bitwiseXOR(F.col("b0")).alias("fp2"))
 
 
 def maximal(conv: DataFrame) -> DataFrame:
     """(conv_id, n_turns, copies) of the conversations that no longer one continues; equal ones keep the smallest id."""
-    marks = turns(conv).select("conv_id", "pos", "fp1", "fp2")
+    return longest_of(placed(ordered(conv)))
+
+
+def longest_of(at: DataFrame) -> DataFrame:
+    """``maximal`` over placed rows."""
+    marks = turns(at).select("conv_id", "pos", "fp1", "fp2")
     ends = marks.groupBy("conv_id").agg(F.max(F.struct("pos", "fp1", "fp2")).alias("e")).select("conv_id", "e.*")
     whole = ends.groupBy("pos", "fp1", "fp2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
     # a prefix is proper in its own conversation if a later turn follows: group first, so that a common opening is one row
@@ -58,13 +90,15 @@ def maximal(conv: DataFrame) -> DataFrame:
 
 def rendered(conv: DataFrame) -> DataFrame:
     """The maximal conversations as marked-up text, one row for each block of turns."""
-    keep = maximal(conv).withColumnRenamed("conv_id", "c")
+    rows = ordered(conv)
+    at = placed(rows)
+    keep = longest_of(at).withColumnRenamed("conv_id", "c")
     line = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit(CLOSE + "\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
-    part = F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK)
-    body = conv.select("conv_id", part.alias("part"), F.struct("turn", "role", "text", line.alias("line")).alias("t"))
-    body = body.join(keep, F.col("conv_id").eqNullSafe(F.col("c")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["line"]), "")
-    return body.groupBy("conv_id", "part", "n_turns", "copies").agg(F.count("*").alias("n_lines"), text.alias("rendered"))
+    body = at.select("i", "conv_id", "part", "first", "k").join(keep, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    body = body.join(rows.select("i", line.alias("line")), "i")
+    lines = F.array_sort(F.collect_list(F.struct("first", "k", "line")))
+    text = F.array_join(F.transform(lines, lambda t: F.repeat(t["line"], t["k"].cast("int"))), "")
+    return body.groupBy("conv_id", "part", "n_turns", "copies").agg(F.sum("k").alias("n_lines"), text.alias("rendered"))
 
 
 def op5_chat(spark, sf_dir) -> DataFrame:

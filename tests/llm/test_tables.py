@@ -26,6 +26,23 @@ def test_chat_keeps_maximal_conversations(spark, monkeypatch):
     assert chat.rendered(df.where("false")).count() == 0
 
 
+def test_chat_blocks_are_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    r = np.random.default_rng(2)
+    word = lambda: (None, "", "a", "b" * 250, "b" * 249 + "a", "é")[r.integers(0, 6)]
+    rows = [(None, None if k % 3 else int(k % 5), ("user", None, "bot")[r.integers(0, 3)], word()) for k in range(90)]
+    rows += [(7, 1, "user", "again")] * 37 + [(7, None, "user", None)] * 3 + [(8, None, "user", None)] * 3 + [(9, 10**9, "user", "late"), (9, 5, "user", "early")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    low = lambda x: (x is not None, x if isinstance(x, int) else (x or "").encode())
+    want = {}
+    for c, many in ((None, 90), (7, 40), (9, 2)):  # 8 is a prefix of 7
+        mine = sorted((x for x in rows if x[0] == c), key=lambda x: (low(x[1]), low(x[2]), low(x[3])))
+        for k in range(0, many, 4):
+            want[c, k // 4] = (many, 1, len(mine[k : k + 4]), "".join(f"<|{x[2] or ''}|>\n{x[3] or ''}\n" for x in mine[k : k + 4]))
+    got = {(x.conv_id, x.part): (x.n_turns, x.copies, x.n_lines, x.rendered) for x in chat.rendered(df).collect()}
+    assert got == want
+
+
 def plain_targets(sizes, weights=(3, 1, 2)):
     """Water-filling by repeated clamping."""
     keys = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
