@@ -16,9 +16,15 @@ from .steps import cut
 
 
 def numbered(df: DataFrame, after: DataFrame, column: str, *order) -> DataFrame:
-    """New ids from the largest one on, in the batch's order."""
+    """New ids from the largest one on, in the batch's order: each range of it is sorted by itself and starts after the
+    rows of those before."""
     top = after.agg(F.coalesce(F.max(column), F.lit(0)).alias("_top"))
-    return df.join(F.broadcast(top)).withColumn(column, F.col("_top") + F.row_number().over(Window.orderBy(*order))).drop("_top")
+    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id()))
+    ranges = dealt.groupBy(F.shiftright("_i", 33).alias("_r")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = ranges.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    at = dealt.withColumn("_r", F.shiftright("_i", 33)).join(F.broadcast(starts), "_r").join(F.broadcast(top))
+    return at.withColumn(column, F.col("_top") + F.col("_start") + F.col("_i").bitwiseAND((1 << 33) - 1) + 1).drop("_top", "_i", "_r", "_start")
 
 
 def create(paths: DataFrame, edges: DataFrame, memories: DataFrame, requests: DataFrame) -> DataFrame:

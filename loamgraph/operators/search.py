@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
+from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .steps import cut
+from .steps import cut, shared
 
 #: Weights of the indexed columns and the two constants of the ranking formula.
 WEIGHTS = {"path": 2.5, "uri": 2.0, "content": 1.0, "disclosure": 1.0, "terms": 0.75}
@@ -91,21 +94,22 @@ def hit_snippet(text: Column, query: Column, around: int = 30, head: int = 80) -
     return F.when(needle.isNotNull(), body).otherwise(T.snippet(text, head))
 
 
-def scan(texts: DataFrame, keywords: list[str], key: str = "doc_id") -> DataFrame:
-    """(key, keyword, hits): every keyword in every text, overlaps included, case kept; one pass over the texts."""
+def scan(texts: DataFrame, keywords: list[str] | Callable[[], list[str]], key: str = "doc_id") -> DataFrame:
+    """(key, keyword, hits): every keyword in every text, overlaps included, case kept; one pass over the texts.
+    ``keywords`` may be a function that fetches them inside a task."""
 
     def run(batches):
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
-        for k in keywords:
+        automaton, words = ahocorasick.Automaton(), keywords() if callable(keywords) else keywords
+        for k in words:
             automaton.add_word(k, k)
         automaton.make_automaton()
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found: dict[str, int] = {}
-                for _, k in automaton.iter(text or "") if keywords else ():
+                for _, k in automaton.iter(text or "") if words else ():
                     found[k] = found.get(k, 0) + 1
                 out += [(doc, k, n) for k, n in found.items()]
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
@@ -116,12 +120,24 @@ def scan(texts: DataFrame, keywords: list[str], key: str = "doc_id") -> DataFram
 
 
 def glossary_hits(texts: DataFrame, glossary: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``scan`` with the glossary's distinct keywords, taken in slices of bounded size."""
-    words = glossary.select("keyword").distinct().where("keyword <> ''")
-    n = words.count()
-    out = None
-    for part in range(max(1, -(-n // SLICE))):
-        mine = words if n <= SLICE else words.where(F.pmod(F.xxhash64("keyword"), F.lit(-(-n // SLICE))) == part)
-        found = scan(texts, sorted(r[0] for r in mine.collect()), key)
-        out = found if out is None else out.unionAll(found)
-    return out
+    """``scan`` with the glossary's distinct keywords, taken in slices of bounded size: files in the shared folder, which
+    only tasks read."""
+    words = cut(glossary.select("keyword").distinct().where("keyword <> ''"))
+    slices = max(1, -(-words.count() // SLICE))
+    path = f"{shared(texts.sparkSession)}/keywords-{uuid.uuid4().hex}"
+    words.withColumn("slice", F.pmod(F.xxhash64("keyword"), F.lit(slices))).repartition("slice").write.partitionBy("slice").parquet(path)
+
+    def fetch(part: int):
+        def words_of() -> list[str]:
+            import re
+
+            import pyarrow.parquet as pq
+            from pyarrow import fs
+
+            where, base = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+            found = where.get_file_info(fs.FileSelector(f"{base}/slice={part}", allow_not_found=True))
+            return [k for f in found if f.base_name.startswith("part-") for k in pq.ParquetFile(where.open_input_file(f.path)).read().column("keyword").to_pylist()]
+
+        return words_of
+
+    return reduce(DataFrame.unionAll, [scan(texts, fetch(part), key) for part in range(slices)])

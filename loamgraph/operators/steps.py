@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the session's shared folder (``spark.checkpoint.dir``; a local one where that is unset),
-    so a plan does not grow with the steps and a lost executor costs nothing."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The session's shared folder (``spark.checkpoint.dir``; a local one where that is unset)."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="loamgraph-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the session's shared folder, so a plan does not grow with the steps and a lost executor
+    costs nothing."""
+    shared(df.sparkSession)
     return df.checkpoint()

@@ -14,7 +14,8 @@ def i9(g):
     s = g.star.where("namespace = ''").withColumn("uri", T.uri_of(F.col("domain"), F.col("path")))
     meta = F.when(F.col("memory_id") % 2 == 0, F.concat(F.lit("<!-- priority: "), F.col("priority").cast("string"), F.lit(" -->\n"))).otherwise("")
     note = F.coalesce(F.concat(F.lit("<!-- disclosure: "), "disclosure", F.lit(" -->\n")), F.lit(""))
-    page = s.groupBy("domain", F.pmod(F.xxhash64("uri"), F.lit(64)).alias("page")).agg(F.concat_ws("\n", F.collect_list(F.concat(F.lit("## "), "uri", F.lit("\n"), meta, note, F.lit("\n"), "content", F.lit("\n")))).alias("value"))
+    pages = max(64, -(-s.count() // 1000))  # about a thousand sections each, however many there are
+    page = s.groupBy("domain", F.pmod(F.xxhash64("uri"), F.lit(pages)).alias("page")).agg(F.concat_ws("\n", F.collect_list(F.concat(F.lit("## "), "uri", F.lit("\n"), meta, note, F.lit("\n"), "content", F.lit("\n")))).alias("value"))
     return page.select(F.explode(S.parse_markdown(F.col("value"))).alias("s")).select("s.*")
 
 

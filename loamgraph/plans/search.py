@@ -92,13 +92,13 @@ def g4(g):
 @query("g5_scan", "SELECT d.doc_id, g.keyword, g.node_uuid AS target FROM docs d JOIN glossary g ON contains(d.content, g.keyword)")
 def g5(g):
     hits = S.glossary_hits(g.documents, g.glossary)
-    return hits.join(F.broadcast(g.glossary.select("keyword", F.col("node_uuid").alias("target"))), "keyword").select("doc_id", "keyword", "target")
+    return hits.join(g.glossary.select("keyword", F.col("node_uuid").alias("target")), "keyword").select("doc_id", "keyword", "target")
 
 
 @query("g7_cross_links", """, hit AS (SELECT d.doc_id, d.node_uuid, g.keyword, g.node_uuid AS target FROM docs d JOIN glossary g ON contains(d.content, g.keyword))
 SELECT h.doc_id, t.uri, count(*) AS n, string_agg(h.keyword, ',' ORDER BY h.keyword) AS keywords FROM hit h JOIN docs t ON t.node_uuid = h.target WHERE h.target <> h.node_uuid GROUP BY ALL""")
 def g7(g):
-    hits = S.glossary_hits(g.documents, g.glossary).join(F.broadcast(g.glossary.select("keyword", F.col("node_uuid").alias("target"))), "keyword")
+    hits = S.glossary_hits(g.documents, g.glossary).join(g.glossary.select("keyword", F.col("node_uuid").alias("target")), "keyword")
     t = g.documents.select(F.col("node_uuid").alias("target"), "uri")
     got = hits.join(t, "target").where(F.col("target") != F.concat(F.lit("d-"), F.col("doc_id").cast("string")))
     return got.groupBy("doc_id", "uri").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("keyword")), ",").alias("keywords"))
@@ -106,7 +106,7 @@ def g7(g):
 
 @query("g9_corpus_scan", "SELECT g.keyword, count(*) AS documents, sum((length(d.content) - length(replace(d.content, g.keyword, ''))) // length(g.keyword))::BIGINT >= count(*) AS enough, max(CASE WHEN d.node_uuid = g.node_uuid THEN 1 ELSE 0 END) AS self FROM docs d JOIN glossary g ON contains(d.content, g.keyword) GROUP BY 1")
 def g9(g):
-    hits = S.glossary_hits(g.documents, g.glossary).join(F.broadcast(g.glossary.select("keyword", "node_uuid")), "keyword")
+    hits = S.glossary_hits(g.documents, g.glossary).join(g.glossary.select("keyword", "node_uuid"), "keyword")
     own = F.max((F.concat(F.lit("d-"), F.col("doc_id").cast("string")) == F.col("node_uuid")).cast("int"))
     return hits.groupBy("keyword").agg(F.count("*").alias("documents"), (F.sum("hits") >= F.count("*")).alias("enough"), own.alias("self"))
 

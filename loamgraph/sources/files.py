@@ -36,7 +36,7 @@ HEADING = r"(?m)^#{1,6} (\S+://.+)$"
 
 def parse_markdown(text: Column) -> Column:
     """Sections (uri, priority, disclosure, content) of an exported page; sections without content are left out."""
-    parts = F.slice(F.split(text, r"(?m)^(?=#{1,6} \S+://)"), 1, 1 << 20)
+    parts = F.split(text, r"(?m)^(?=#{1,6} \S+://)")
 
     def section(p):
         body = F.regexp_replace(p, r"(?m)\A#{1,6} \S+://.*$", "")

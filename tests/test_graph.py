@@ -129,6 +129,27 @@ def test_scan_finds_overlaps(spark):
     assert S.scan(d, []).count() == 0
 
 
+def test_glossary_stays_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(S, "SLICE", 2)
+    d = frame(spark, [(1, "abcabc é"), (2, None), (3, "x")], "doc_id long, content string")
+    g = frame(spark, [(k,) for k in ("ab", "bc", "abca", "é", "ab", "", "zz", None)], "keyword string")
+    with monkeypatch.context() as m:
+        m.setattr(type(d), "collect", lambda self: pytest.fail("keywords went to the driver"))
+        hits = S.glossary_hits(d, g)
+    assert sorted((r.doc_id, r.keyword, r.hits) for r in hits.collect()) == [(1, "ab", 2), (1, "abca", 1), (1, "bc", 2), (1, "é", 1)]
+
+
+def test_numbers_come_from_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(1000).select(F.format_string("n%04d", F.col("id") * 7 % 1000).alias("node_uuid")).repartition(5)
+        got = mutations.numbered(df, frame(spark, [(41,), (7,)], "new_id long"), "new_id", "node_uuid").withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.new_id for r in sorted(got, key=lambda r: r.node_uuid)] == list(range(42, 1042))
+    assert len({r.p for r in got}) > 1
+
+
 def test_patch():
     assert patched("say “hi” now", 'say "hi"', "X") == "X now"
     assert patched("a  b\r\nc", "a b\nc", "d\ne") == "d\r\ne"
