@@ -62,6 +62,12 @@ def n10(g):
     return links(g).withColumn("k", F.row_number().over(w)).where("k <= 5").select("a", "b")
 
 
+@query("n10_children_50", LEGACY + "SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS k FROM rel) WHERE k <= 50")
+def n10_50(g):
+    w = Window.partitionBy("a").orderBy("b")
+    return links(g).withColumn("k", F.row_number().over(w)).where("k <= 50").select("a", "b")
+
+
 @query("n11_relation", LEGACY + ", l AS (SELECT entity_id, arg_max(id, version) AS state, max(version) AS v FROM sts GROUP BY 1) SELECT r.edge_id, l.state, l.v AS version FROM rel r JOIN l ON l.entity_id = r.a")
 def n11(g):
     s = states(g).groupBy("entity_id").agg(F.max_by("id", "version").alias("state"), F.max("version").alias("version"))

@@ -86,6 +86,18 @@ def m13(g):
     return M.would_cycle(g.edges, req)
 
 
+@query("m13_cycle_all", """, req AS (SELECT 'o-' || o_orderkey AS parent_uuid, 'c-' || o_custkey AS child_uuid FROM orders UNION SELECT 'c-' || c_custkey, 'c-' || (c_custkey + 1) FROM customer UNION SELECT 'ROOT', 'r-' || r_regionkey FROM region UNION SELECT 'r-1', 'r-1'),
+rc AS (SELECT DISTINCT child_uuid AS origin, child_uuid AS node FROM req UNION SELECT rc.origin, e.child_uuid FROM rc JOIN edges e ON e.parent_uuid = rc.node)
+SELECT parent_uuid, child_uuid, parent_uuid <> 'ROOT' AND EXISTS (SELECT 1 FROM rc WHERE rc.origin = req.child_uuid AND rc.node = req.parent_uuid) AS cycle FROM req""")
+def m13_all(g):
+    tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
+    req = g.orders.select(tag("o-", "o_orderkey").alias("parent_uuid"), tag("c-", "o_custkey").alias("child_uuid"))
+    c = g.table("customer")
+    req = req.unionAll(c.select(tag("c-", "c_custkey"), F.concat(F.lit("c-"), (F.col("c_custkey") + 1).cast("string")))).unionAll(g.table("region").select(F.lit("ROOT"), tag("r-", "r_regionkey")))
+    req = req.unionAll(g.spark.createDataFrame([("r-1", "r-1")], req.schema)).distinct()
+    return M.would_cycle(g.edges, req)
+
+
 @query("m15_last_access", "SELECT node_uuid, strftime(max(accessed_at), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n FROM logs GROUP BY 1")
 def m15(g):
     return g.logs.groupBy("node_uuid").agg(F.date_format(F.max("accessed_at"), "yyyy-MM-dd HH:mm:ss").alias("last"), F.count("*").alias("n"))

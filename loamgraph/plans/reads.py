@@ -75,6 +75,12 @@ def q5(g):
     return R.children(g.edges, g.paths, g.active, asked_parents(g))
 
 
+@query("q5_children_all", CHILDREN.replace(" WHERE node_uuid LIKE 'n-%' OR node_uuid LIKE 'r-%')", ")") + "SELECT * FROM kids")
+def q5_all(g):
+    at = g.paths.select("node_uuid", "namespace", "domain", "path")
+    return R.children(g.edges, g.paths, g.active, at.unionAll(g.spark.createDataFrame([("ROOT", "", "core", "")], at.schema)))
+
+
 @query("q6_all_paths", "SELECT namespace, domain, path, regexp_extract(path, '[^/]*$') AS name, node_uuid, memory_id, priority, disclosure FROM star")
 def q6(g):
     return g.star.select("namespace", "domain", "path", T.last_segment(F.col("path")).alias("name"), "node_uuid", "memory_id", "priority", "disclosure").dropDuplicates(["namespace", "domain", "path"])

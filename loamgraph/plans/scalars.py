@@ -58,6 +58,15 @@ def s20(g):
     return d.select("o_orderkey", "off", T.shifted_day(F.col("day"), F.col("off")).cast("string").alias("moved"))
 
 
+@query("s20_offsets_all", """, o(off) AS (VALUES ('+3d'), ('-1m'), ('1M'), ('2y'), ('-40d'), ('x'), ('13m')), x AS (SELECT o_orderkey, off, CAST(o_orderdate AS DATE) AS day, TRY_CAST(regexp_extract(lower(off), '^([+-]?\\d+)([dmy])$', 1) AS INT) AS n, regexp_extract(lower(off), '^([+-]?\\d+)([dmy])$', 2) AS u FROM orders, o),
+m AS (SELECT *, year(day) * 12 + month(day) - 1 + CASE WHEN u = 'm' THEN n ELSE n * 12 END AS mm FROM x)
+SELECT o_orderkey, off, CAST(CASE WHEN u = 'd' THEN day + n WHEN u IN ('m', 'y') THEN TRY_CAST(format('{:04d}-{:02d}-{:02d}', mm // 12, mm % 12 + 1, day(day)) AS DATE) END AS VARCHAR) AS moved FROM m""".replace("\\\\d", "\\d"))
+def s20_all(g):
+    o = g.spark.createDataFrame([(x,) for x in ("+3d", "-1m", "1M", "2y", "-40d", "x", "13m")], "off string")
+    d = g.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.explode(F.array(*[F.lit(r[0]) for r in o.collect()])).alias("off"))
+    return d.select("o_orderkey", "off", T.shifted_day(F.col("day"), F.col("off")).cast("string").alias("moved"))
+
+
 @query("s21_stale_limit", "SELECT id, CASE WHEN p IS NULL THEN 14 WHEN p <= 0 THEN 3 WHEN p = 1 THEN 7 WHEN p = 2 THEN 14 ELSE CAST(least(floor(3.5 * pow(2, least(p, 20))), 36500) AS INT) END AS days FROM (SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE priority + CAST(id % 25 AS INT) END AS p FROM edges)")
 def s21(g):
     p = F.when(F.col("id") % 7 != 0, F.col("priority") + (F.col("id") % 25).cast("int"))
