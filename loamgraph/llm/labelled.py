@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import numpy as np
@@ -28,10 +29,11 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, limit: int) -> DataF
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
-def gathered(rows: DataFrame, terms: Callable[[str], np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each sampled text's term buckets and its label; as large as the sample's bound allows, whatever the corpus.
+def fitted(rows: DataFrame, terms: Callable[[str], np.ndarray], fit: Callable[[list[np.ndarray], np.ndarray], dict]) -> dict:
+    """What ``fit`` makes of each sampled text's term buckets and its label, in one task: only the weights come back.
 
-    In the order of the ids' hash, as fits depend on the order of their rows and that of partitions varies.
+    The task holds what the sample's bound allows, whatever the corpus. Its rows come in the order of the ids' hash, as
+    fits depend on the order of their rows and that of partitions varies. A lost task is run again from the sample.
     """
 
     def extract(batches):
@@ -39,11 +41,16 @@ def gathered(rows: DataFrame, terms: Callable[[str], np.ndarray]) -> tuple[list[
             found = [terms(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), batch.column(2), batch.column(3)], names=["h", "terms", "y", "doc_id"])
 
+    def train(batches):
+        got = pa.Table.from_batches(list(batches), pa.schema([("h", pa.int64()), ("terms", pa.binary()), ("y", pa.int32()), ("doc_id", pa.string())]))
+        got = got.sort_by([("h", "ascending"), ("doc_id", "ascending")])
+        found = [np.frombuffer(x.as_py(), np.uint32) for x in got.column("terms")]
+        weights = fit(found, np.array(got.column("y").to_pylist(), np.int64))
+        yield pa.record_batch([pa.array([pickle.dumps(weights)], pa.binary())], names=["weights"])
+
     keyed = rows.select(F.xxhash64("doc_id", F.lit(7)).alias("h"), "text", "y", F.col("doc_id").cast("string").alias("doc_id"))
-    got = keyed.mapInArrow(extract, "h long, terms binary, y int, doc_id string").toArrow()
-    got = got.sort_by([("h", "ascending"), ("doc_id", "ascending")])
-    found = [np.frombuffer(x.as_py(), np.uint32) for x in got.column("terms")]
-    return found, np.array(got.column("y").to_pylist(), np.int64)
+    got = keyed.mapInArrow(extract, "h long, terms binary, y int, doc_id string").repartition(1).mapInArrow(train, "weights binary").collect()
+    return pickle.loads(got[0][0]) if got else fit([], np.zeros(0, np.int64))
 
 
 def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], threshold: float) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import table
-from .labelled import PLAIN, gathered, passing, sample, scored
+from .labelled import PLAIN, fitted, passing, sample, scored
 from .toxicity import lazily
 
 #: Labelled rows that the model is fitted on, at most; hash bits; fewest rows of an n-gram that counts.
@@ -159,7 +159,7 @@ def fit(found: list[np.ndarray], label: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> Model:
-    return fit(*gathered(sample(docs, labels, "quality", limit), terms))
+    return Model(**fitted(sample(docs, labels, "quality", limit), terms, lambda found, y: vars(fit(found, y))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -2,10 +2,11 @@
 
 score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over the distinct hashed terms of the whole text. The pair
 term gives weight to combinations (an insult with a group mention) that additive weights miss. Terms are hashed
-to 2**20 buckets; those whose share among toxic and other texts differs by ``Z`` standard errors become the
-machine's inputs.
+to 2**20 buckets; the machine's inputs are all those whose share among toxic and other texts differs by ``Z``
+standard errors, and all in some pair whose share of toxic texts is ``JOINT`` standard errors off what the two terms
+give apart, so a term that tells something only beside another one is an input too. Inputs are not capped.
 
-Fitted on at most ``LIMIT`` labelled rows outside the held-out fifth. Only the text is an input of the score.
+Fitted in one task on at most ``LIMIT`` labelled rows outside the held-out fifth. Only the text is an input of the score.
 
 Defined results: null and empty texts score the intercept; repeated rows are scored alike; without labels of both
 classes every score is the share of toxic labels (0 without labels); an empty table gives an empty result; extra
@@ -21,10 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import table
-from .labelled import PLAIN, gathered, passing, sample, scored
+from .labelled import PLAIN, fitted, passing, sample, scored
 
-#: Labelled rows that the machine is fitted on, at most; inputs at most; hash bits; least z of an input.
-LIMIT, INPUTS, BITS, Z = 8000, 1024, 20, 4.0
+#: Labelled rows that the machine is fitted on, at most; hash bits; least z of an input by itself and in a pair; least
+#: share of the rows that a term of a tested pair is in; terms in a side of the squares of pairs.
+LIMIT, BITS, Z, JOINT, SHARE, SIDE = 8000, 20, 4.0, 6.0, 0.01, 2048
 FACTORS, STEPS, BATCH, RATE, DECAY = 8, 2500, 128, 0.05, 1e-3
 
 
@@ -72,8 +74,49 @@ def lazily(model):
     return score
 
 
+def marginal(df: np.ndarray, df1: np.ndarray, n: int, n1: int) -> np.ndarray:
+    """By how many standard errors a term's share differs between both classes."""
+    p = df / n
+    return np.abs(df1 / n1 - (df - df1) / (n - n1)) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / (n - n1)))
+
+
+def joint(rows: list[np.ndarray], y: np.ndarray, width: int) -> np.ndarray:
+    """The terms, of ``width``, in some pair whose share of label 1 is not what its terms give apart.
+
+    The contrast of the four cells (both terms, either one, none) is zero for additive terms; it is taken for all pairs,
+    a square of ``SIDE`` terms at a time.
+    """
+    n, p, total = len(y), y.mean(), y.sum()
+    row, col = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows)
+    c, s = np.bincount(col, minlength=width), np.bincount(col, y[row], width)
+    on = np.zeros(width, bool)
+
+    def square(first: int) -> np.ndarray:
+        """The columns of one side: one 0 or 1 per row."""
+        here = (col >= first) & (col < first + SIDE)
+        x = np.zeros((n, min(SIDE, width - first)), np.float32)
+        x[row[here], col[here] - first] = 1
+        return x
+
+    for i in range(0, width, SIDE):
+        left = square(i)
+        toxic = left * y[:, None].astype(np.float32)
+        for j in range(i, width, SIDE):
+            a, b, right = slice(i, i + SIDE), slice(j, j + SIDE), square(j)
+            c11, s11 = left.T @ right, toxic.T @ right
+            c10, s10, c01, s01 = c[a][:, None] - c11, s[a][:, None] - s11, c[b][None] - c11, s[b][None] - s11
+            c00, s00 = n - c11 - c10 - c01, total - s11 - s10 - s01
+            cells = ((c11, s11, 1), (c10, s10, -1), (c01, s01, -1), (c00, s00, 1))
+            contrast = sum(sign * q / np.maximum(k, 1) for k, q, sign in cells)
+            z = np.abs(contrast) / np.sqrt(p * (1 - p) * sum(1 / np.maximum(k, 1) for k, _, _ in cells))
+            hit = (z >= JOINT) & (np.minimum(np.minimum(c11, c10), np.minimum(c01, c00)) >= 8)
+            on[a] |= hit.any(1)
+            on[b] |= hit.any(0)
+    return on
+
+
 def fit(found: list[np.ndarray], y: np.ndarray) -> Machine:
-    """Picks the inputs and fits the machine by Adagrad on the logistic loss."""
+    """Picks the inputs and fits the machine by Adagrad on the logistic loss, over the inputs that a batch touches."""
     n1, n = int(y.sum()), len(y)
     prior = n1 / n if n else 0.0
     if not 0 < n1 < n:
@@ -81,39 +124,46 @@ def fit(found: list[np.ndarray], y: np.ndarray) -> Machine:
     flat, row = np.concatenate(found), np.repeat(np.arange(n), [len(x) for x in found])
     df = np.bincount(flat, minlength=1 << BITS)
     df1 = np.bincount(flat[y[row] == 1], minlength=1 << BITS)
-    p = df / n
-    z = np.abs(df1 / n1 - (df - df1) / (n - n1)) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / (n - n1)))
-    z[df < 3] = 0
-    inputs = np.sort(np.argsort(-z, kind="stable")[:INPUTS])
-    inputs = inputs[z[inputs] >= Z]
+    use = (marginal(df, df1, n, n1) >= Z) & (df >= 3)
     at = np.full(1 << BITS, -1)
-    at[inputs] = np.arange(len(inputs))
-    x = np.zeros((n, len(inputs)), np.float32)
-    col = at[flat]
-    x[row[col >= 0], col[col >= 0]] = 1
+
+    def kept(inputs: np.ndarray) -> list[np.ndarray]:
+        at[:] = -1
+        at[inputs] = np.arange(len(inputs))
+        return [(i := at[x])[i >= 0] for x in found]
+
+    common = np.flatnonzero((df >= np.maximum(8, n * SHARE)) & (df < n))
+    use[common[joint(kept(common), y, len(common))]] = True
+    inputs = np.flatnonzero(use)
+    rows = kept(inputs)
     rng = np.random.default_rng(11)
     w0, w, v = float(np.log(prior / (1 - prior))), np.zeros(len(inputs)), rng.normal(0, 0.01, (len(inputs), FACTORS))
     g0, gw, gv = 1e-8, np.full_like(w, 1e-8), np.full_like(v, 1e-8)
     batches = max(1, n // BATCH)
     for _ in range(-(-STEPS // batches) if len(inputs) else 0):  # as many steps on a small sample as on a large one
         for part in np.array_split(rng.permutation(n), batches):
-            xb = x[part]
-            s = xb @ v
-            out = w0 + xb @ w + 0.5 * ((s**2).sum(1) - xb @ (v**2).sum(1))
+            mine = [rows[i] for i in part]
+            used, col = np.unique(np.concatenate(mine), return_inverse=True)
+            x = np.zeros((len(part), len(used)))
+            x[np.repeat(np.arange(len(part)), [len(r) for r in mine]), col] = 1
+            wb, vb = w[used], v[used]
+            s = x @ vb
+            out = w0 + x @ wb + 0.5 * ((s**2).sum(1) - x @ (vb**2).sum(1))
             e = (1 / (1 + np.exp(-np.clip(out, -35, 35))) - y[part]) / len(part)
-            d0, dw = e.sum(), xb.T @ e + DECAY * w / len(part)
-            dv = xb.T @ (e[:, None] * s) - (xb.T @ e)[:, None] * v + DECAY * v / len(part)
+            xe = x.T @ e
+            d0, dw = e.sum(), xe + DECAY * wb / len(part)
+            dv = x.T @ (e[:, None] * s) - xe[:, None] * vb + DECAY * vb / len(part)
             g0 += d0**2
-            gw += dw**2
-            gv += dv**2
+            gw[used] += dw**2
+            gv[used] += dv**2
             w0 -= RATE * d0 / np.sqrt(g0)
-            w -= RATE * dw / np.sqrt(gw)
-            v -= RATE * dv / np.sqrt(gv)
-    return Machine(inputs, w0, w, v)
+            w[used] -= RATE * dw / np.sqrt(gw[used])
+            v[used] -= RATE * dv / np.sqrt(gv[used])
+    return Machine(inputs, float(w0), w, v)
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> Machine:
-    return fit(*gathered(sample(docs, labels, "toxic", limit), terms))
+    return Machine(**fitted(sample(docs, labels, "toxic", limit), terms, lambda found, y: vars(fit(found, y))))
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:

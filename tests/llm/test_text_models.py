@@ -110,6 +110,57 @@ def test_factor_pairs_learn_a_combination():
     assert score(["base alpha beta"])[0] > 0.8 > 0.3 > max(score(["base alpha", "base beta", "base"]))
 
 
+def test_factor_pairs_learn_an_exclusive_or():
+    """Each word by itself says nothing; one without the other does."""
+    r = random.Random(10)
+    found, y = [], []
+    for _ in range(4000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        noise = [f"n{r.randrange(200)}" for _ in range(5)]
+        found.append(toxicity.terms(" ".join(["base", *(["insult"] if a else []), *(["group"] if b else []), *noise])))
+        y.append(int(a != b))
+    score = toxicity.fit(found, np.array(y)).scorer()
+    assert min(score(["base insult", "base group n7"])) > 0.8 and max(score(["base insult group", "base n3"])) < 0.3
+
+
+def test_scores_are_the_plain_sum_over_pairs():
+    r = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(60)]
+    inputs = np.unique(np.concatenate([toxicity.terms(w) for w in words[:40]]))
+    m = toxicity.Machine(inputs, 0.3, r.normal(0, 1, len(inputs)), r.normal(0, 0.5, (len(inputs), toxicity.FACTORS)))
+    for _ in range(50):
+        text = " ".join(r.choice(words, r.integers(0, 30)))
+        at = [i for i, x in enumerate(inputs) if x in set(toxicity.terms(text).tolist())]
+        z = m.w0 + sum(m.w[i] for i in at) + sum(m.v[i] @ m.v[k] for n, i in enumerate(at) for k in at[:n])
+        assert abs(m.scorer()([text])[0] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_margins_are_the_plain_weighted_sum():
+    """Margins from raw n-grams, one by one, and the gap between the hinge loss and its dual."""
+    docs, labels = labelled("quality")
+    found, y = [quality.terms(t) for _, t in docs[:400]], np.array([v for _, v in labels[:400]])
+    m = quality.fit(found, y)
+    at = {int(g): k for k, g in enumerate(m.grams)}
+    for x, margin in zip(found[:60], m.margins(found[:60]), strict=True):
+        mine = [at[int(g)] for g in x if int(g) in at]
+        norm = np.sqrt(sum(m.ratio[k] ** 2 for k in mine)) or 1.0
+        assert abs(margin - m.bias - sum(m.weight[k] for k in mine) / norm) < 1e-9
+    p = [(1 + sum(int(g) in x for x in sets)) / (2 + len(sets)) for sets in ([set(f.tolist()) for f, v in zip(found, y, strict=True) if v == k] for k in (1, 0)) for g in m.grams[:5]]
+    assert np.allclose(m.ratio[:5], np.log(np.array(p[:5]) / np.array(p[5:])))
+
+
+def test_dual_coordinate_descent_ends_near_the_least_loss():
+    r = np.random.default_rng(1)
+    rows = [np.sort(r.choice(30, 6, replace=False)) for _ in range(200)]
+    y = np.where([5 in x or 7 in x for x in rows], 1, -1)
+    values = np.abs(r.normal(1, 0.2, 30))
+    w = quality.descend(rows, y, 30, values)
+    scaled = [values[x] / np.sqrt((values[x] ** 2).sum()) for x in rows]
+    top = np.where(y > 0, quality.COST * 200 / (2 * (y > 0).sum()), quality.COST * 200 / (2 * (y < 0).sum()))
+    hinge = lambda v: 0.5 * v @ v + sum(t * max(0.0, 1 - k * (v[x] @ s + v[30])) for t, k, x, s in zip(top, y, rows, scaled, strict=True))
+    assert all(hinge(w) <= 1.02 * hinge(w + r.normal(0, 0.02, 31)) for _ in range(200))
+
+
 @pytest.mark.parametrize(("model", "kind"), [(toxicity, "toxic"), (quality, "quality")])
 def test_fit_ignores_partitions_and_repeats(spark, model, kind):
     """Rows in another order and partitioning give the same scores; a repeated id is one row of the sample."""
