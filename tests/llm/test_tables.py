@@ -8,10 +8,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("loamgraph.llm")
 from loamgraph.llm import chat, media, mixing, search, warc
-from loamgraph.llm.common import components, scratch, shared_dir, store
+from loamgraph.llm.common import components, prefixed, scratch, shared_dir, store
 
 
 def test_chat_keeps_maximal_conversations(spark, monkeypatch):
@@ -83,6 +84,43 @@ def test_mixing_targets_and_repeats(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+def test_mixing_rows_without_or_with_equal_ids(spark):
+    """Sources of null or repeated ids come within one document of their targets, whatever the partitions."""
+    same = [(None, "a", "one two three four five")] * 6000 + [(7, "c", f"w {'x ' * (k % 5)}") for k in range(300)] * 2
+    docs = [(k, "b", "one two three") for k in range(3000)] + same + [(9, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    rows = mixing.mix(df).collect()
+    assert len(rows) == len(docs)
+    sizes = {"a": 30_000, "b": 9000, "c": sum(len(t.split()) for _, s, t in docs if s == "c"), None: 0}
+    for s, want in plain_targets(sizes).items():
+        mine = [x for x in rows if x.source == s]
+        assert abs(sum(x.taken for x in mine) - want) <= 6 and all(x.taken <= 2 * x.size for x in mine)
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(df.repartition(9, "text")).collect()))
+    whole = mixing.mixed(df.withColumn("n", F.length("text")).withColumn("j", F.lit(1)))
+    assert sum(len((x.text or "").split()) for x in whole.collect()) == sum(x.taken for x in rows)
+    assert whole.columns == ["doc_id", "source", "text", "n", "j"]
+
+
+def test_mixing_with_more_sources_than_are_sent(spark, monkeypatch):
+    docs = [(k, f"s{k % 50}", "w " * (k % 17)) for k in range(800)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    sent = sorted(map(str, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    assert sorted(map(str, mixing.mix(df).collect())) == sent
+
+
+def test_running_sums_over_ranges(spark):
+    r = np.random.default_rng(5)
+    rows = [(k, None if k % 7 == 0 else int(r.integers(0, 3)), int(r.integers(0, 9))) for k in range(900)]
+    df = spark.createDataFrame(rows, "id int, g int, n long")
+    got = {x.id: (x.a, x.b) for x in prefixed(df, ["g", "id"], {"a": "n", "b": "1"}, ("g",)).collect()}
+    want, run = {}, {}
+    for k, g, n in rows:
+        want[k] = run.get(g, (0, 0))
+        run[g] = (want[k][0] + n, want[k][1] + 1)
+    assert got == want
+
+
 def test_search_is_exact(spark, monkeypatch):
     monkeypatch.setattr(search, "CANDIDATES", 64)
     monkeypatch.setattr(search, "QUERIES", 8)
