@@ -4,8 +4,9 @@
 sequence. ``pack`` deals the shorter pieces into partitions of bounded size, packs each best-fit decreasing, and
 computes a lower bound on its bins by dual-feasible functions of the size histogram. A partition whose bin count
 equals its bound is certified. Partitions with gaps exchange their documents (they are dealt anew among
-themselves) and are packed again, and the better packing stays. At the end the loosest bins of neighbouring
-partitions are pooled and packed once more, so partitions do not each leave a half-empty bin.
+themselves) and are packed again, until that spares no bin. At the end the loosest bins of neighbouring partitions
+are pooled and packed once more, so partitions do not each leave a half-empty bin; a pool that gains nothing keeps
+its bins. The same functions over the lengths of all pieces certify the whole packing (``sequences_bound``).
 
 Tokenising looks up white-space-separated chunks in a bounded table, as the tokenizer never joins across white
 space; a table lives as long as its task, and a full one is emptied, never skipped.
@@ -29,8 +30,8 @@ from .common import table, written
 
 LENGTH, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces per partition, rounds of exchange, partitions whose loose bins are pooled, entries of the tables of chunks and of letter runs.
-ITEMS, ROUNDS, POOL, ENTRIES, RUNS = 4096, 3, 32, 400_000, 600_000
+#: Pieces per partition, partitions whose loose bins are pooled, entries of the tables of chunks and of letter runs.
+ITEMS, POOL, ENTRIES, RUNS = 4096, 32, 400_000, 600_000
 _ASCII_GAPS = re.compile(r"[ \t\n\r\f\v]+")
 _TAIL = re.compile(r"[^\W\d_]+(?=([!-&(-/:-@\[-`{-~]*)\Z)")
 
@@ -52,6 +53,13 @@ class Chunks:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.spell = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
 
+        # the shortcut below holds for vocabularies that see letters without case and split signs off; others go without
+        self.quick = True
+        probes = ["Hello", "hELLO,", "don't", "ÀÉß", "ﬁn", "x--y", "abc!?", "naïve.", "ŒUVRE", "end...", "Ab-", "zzz"]
+        self.learn(probes)
+        self.quick = all(self.known[w] == x for w, x in zip(probes, self.encode(probes), strict=True))
+        self.known, self.cores = {}, {}
+
     def encode(self, words: list[str]) -> list[bytes]:
         out = []
         for k in range(0, len(words), 4096):
@@ -62,7 +70,7 @@ class Chunks:
         """Letters followed by ASCII signs are two tokens' worth of text; the letters are looked up without case."""
         plain, split = [], []
         for w in new:
-            m = _TAIL.match(w) if w.isascii() or max(w) < "ƀ" else None
+            m = _TAIL.match(w) if self.quick and (w.isascii() or max(w) < "ƀ") else None
             if m and (low := m[0].lower()).isalpha() and len(low) == len(m[0]):
                 split.append((w, low, m[1]))
             else:
@@ -120,7 +128,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
 
 def bound(sizes: np.ndarray, length: int) -> int:
     """The largest lower bound on the bins of these sizes that the dual-feasible functions give."""
-    count = np.bincount(sizes, minlength=length + 1).astype(np.int64)
+    return bound_of(np.bincount(sizes, minlength=length + 1).astype(np.int64), length)
+
+
+def bound_of(count: np.ndarray, length: int) -> int:
+    """The same from how often each size occurs."""
     x = np.arange(length + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // length)
     # f_e: large sizes count as a whole bin, those under e as nothing
@@ -180,24 +192,55 @@ def pack_parts(items: DataFrame, length: int) -> DataFrame:
     return items.select("doc_id", "piece", "start", "length", "ids_crc32", "uid", "part").groupBy("part").applyInArrow(one, PACKED)
 
 
-def gaps(packed: DataFrame) -> tuple[int, int, int]:
-    """(parts with a gap, bins in them, bins their bounds allow)."""
-    per = packed.where("used > least").groupBy("part").agg(F.first("used").alias("u"), F.first("least").alias("l"))
-    n, used, least = per.agg(F.count("*"), F.sum("u"), F.sum("l")).first()
-    return n, used or 0, least or 0
+def repack_loose(loose: DataFrame, length: int) -> DataFrame:
+    """Packs the bins of each ``pool`` once more; a pool whose bins do not become fewer keeps them as they were."""
+
+    def one(got: pa.Table) -> pa.Table:
+        got = got.take(pa.array(np.argsort(got.column("uid").to_numpy(), kind="stable")))
+        sizes = got.column("length").to_numpy()
+        bins, offsets, n = best_fit(sizes, length)
+        pool = got.column("pool").to_numpy()
+        was = len(set(zip(got.column("part").to_pylist(), got.column("bin").to_pylist(), strict=True)))
+        cols = {c.split()[0]: got.column(c.split()[0]) for c in PIECE.split(", ")}
+        if n < was:
+            cols |= {"part": pa.array(pool), "bin": pa.array(bins), "offset": pa.array(offsets)}
+        else:
+            cols |= {c: got.column(c) for c in ("part", "bin", "offset")}
+        return pa.table(cols)
+
+    return loose.select("doc_id", "piece", "start", "length", "ids_crc32", "uid", "part", "bin", "offset", "pool").groupBy("pool").applyInArrow(one, PIECE + ", part long, bin long, offset long")
+
+
+def gaps(packed: DataFrame) -> tuple[int, int]:
+    """(parts with a gap, bins in them)."""
+    per = packed.where("used > least").groupBy("part").agg(F.first("used").alias("u"))
+    n, used = per.agg(F.count("*"), F.sum("u")).first()
+    return n, used or 0
+
+
+def certified(found: DataFrame, length: int = LENGTH) -> int:
+    """The least number of sequences that any packing of ``found`` needs, from how often each length occurs."""
+    counts = found.groupBy("length").agg(F.count("*").alias("n")).collect()  # a row for each length up to a sequence's
+    have = np.zeros(length + 1, np.int64)
+    for r in counts:
+        have[r.length] = r.n
+    return bound_of(have, length)
 
 
-def pack(found: DataFrame, length: int = LENGTH, items: int = ITEMS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``found``."""
+def pack(found: DataFrame, length: int = LENGTH, items: int = ITEMS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``found``, and sequences_bound, the
+    certified least number of sequences for all of them."""
     rows = written(found.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    least = certified(rows, length)
     whole = rows.where(F.col("length") == length).select(*[c.split()[0] for c in PIECE.split(", ")], (F.col("uid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     short = rows.where(F.col("length") < length)
     n = max(1, -(-short.count() // items))
     deal = lambda seed, k: F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(k)).cast("long")
     best = written(pack_parts(short.withColumn("part", deal(0, n)), length), "packed")
-    base = n
-    for turn in range(1, rounds + 1):
-        k, used, _ = gaps(best)
+    base, turn = n, 0
+    while True:  # each round spares a bin at least, or is the last
+        turn += 1
+        k, used = gaps(best)
         if k < 2:
             break
         again = written(pack_parts(best.where("used > least").withColumn("part", base + deal(turn, k)), length), "packed")
@@ -205,15 +248,16 @@ def pack(found: DataFrame, length: int = LENGTH, items: int = ITEMS, rounds: int
         if now >= used:
             break
         best, base = written(best.where("used = least").unionByName(again), "packed"), base + k
+    cols = [c.split()[0] for c in PIECE.split(", ")]
     if n > 1:
         # the bins that are emptiest in their part meet those of other parts
         bins = best.groupBy("part", "bin").agg(F.sum("length").alias("fill"))
         loose = bins.where(F.col("fill") < length - length // 20).select("part", "bin")
         tight = best.join(loose, ["part", "bin"], "left_anti")
-        pooled = best.join(loose, ["part", "bin"], "left_semi").withColumn("part", base + F.floor(F.col("part") / POOL))
-        best = tight.unionByName(pack_parts(pooled, length))
-    packed = best.select(*[c.split()[0] for c in PIECE.split(", ")], ((F.col("part") * (1 << 24) + F.col("bin")) * 2).alias("sequence_id"), "offset")
-    return whole.unionByName(packed)
+        pooled = best.join(loose, ["part", "bin"], "left_semi").withColumn("pool", base + F.floor(F.col("part") / POOL))
+        best = tight.select(*cols, "part", "bin", "offset").unionByName(repack_loose(pooled, length))
+    packed = best.select(*cols, ((F.col("part") * (1 << 24) + F.col("bin")) * 2).alias("sequence_id"), "offset")
+    return whole.unionByName(packed).withColumn("sequences_bound", F.lit(least).cast("long"))
 
 
 def op3_packing(spark, sf_dir) -> DataFrame:

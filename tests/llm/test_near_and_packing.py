@@ -131,6 +131,7 @@ def test_pack_is_whole_and_tight(spark):
         assert x.length == len(x.ids) and x.ids_crc32 == zlib.crc32(np.array(x.ids, "<u4").tobytes())
         ids.setdefault((x.doc_id, x.piece), []).append(x.start)
     rows = packing.pack(packing.pieces(df), items=64).collect()
+    assert {x.sequences_bound for x in rows} == {packing.bound(np.array([x.length for x in rows]), packing.LENGTH)}
     assert len(rows) == sum(len(v) for v in ids.values())
     places = {}
     for x in rows:
