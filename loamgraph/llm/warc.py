@@ -5,8 +5,9 @@ only be read from its start. ``normalise`` inflates such a file once, record by
 gzip member of its own and a sidecar with offset and length of each, so that ``read_records`` fetches single
 records by range reads, spread evenly over tasks.
 
-Which record of equal payloads is the response is decided by a grouped minimum over digests; a digest that a
-third of all pages share costs one row per task there, and AQE splits its side of the join.
+Which record of equal payloads is the response is decided by a grouped minimum over digests, written before it
+is joined; a digest that a third of all pages share costs one row per task there, and AQE splits its side of the join.
+Archives are read back by as many tasks as their bytes ask for.
 
 Defined results: null html is an empty payload; a null page_id is written as "-", read back as null and never
 the response while another id has the payload; rows that repeat the smallest page_id of a payload are all
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, store, table, written
+from .common import scratch, spread, store, table, written
 
 FILE_BYTES = 64 << 20
 MIN_BYTES = 0
@@ -85,9 +86,11 @@ def decided(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Adds refers_to: the smallest page_id with an equal payload, where that is another row's."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(payload).alias("k"), F.octet_length(payload).alias("n"))
-    first = p.where(F.col("n") >= min_bytes).groupBy("k").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("k", "first")
+    # a row per payload that occurs again, written before the join: both sides are then shuffled as they are, and AQE
+    # splits the side of a digest that many pages share
+    first = written(p.where(F.col("n") >= min_bytes).groupBy("k").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("k", "first"), "first")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return p.join(first, "k", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    return p.join(first.hint("merge"), "k", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
 
 def write_monolithic(pages: DataFrame, out_dir: str, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -146,7 +149,7 @@ def read_index(spark, done: DataFrame, out_dir: str) -> DataFrame:
     """The sidecars of the files in ``done`` as rows (file, offset, length), dealt evenly over tasks."""
     lines = spark.read.schema("offset long, length long, id string").option("sep", "\t").option("quote", "").option("pathGlobFilter", "*.idx").csv(out_dir)
     lines = lines.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.idx$", 1).alias("file"), "offset", "length")
-    return lines.join(done.select("file"), "file", "left_semi").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    return lines.join(done.select("file"), "file", "left_semi").repartitionByRange(spread(spark, done.agg(F.sum("bytes")).first()[0] or 0), "file", "offset").sortWithinPartitions("file", "offset")
 
 
 PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
