@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, store, table, written
+from .common import scratch, spread, store, table, written
 
 WIDTH = 64
 SHARD_BYTES = 128 << 20
@@ -111,9 +111,11 @@ def store_media(docs: DataFrame, out_dir: str, shard_bytes: int = SHARD_BYTES) -
 
 
 def addresses(rows: DataFrame) -> DataFrame:
-    """One address per digest, in the order of the shards, spread evenly over tasks whatever their number."""
+    """One address per digest, in the order of the shards, over as many tasks as the images' bytes ask for."""
     at = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    return at.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    at = written(at, "media-at")
+    tasks = spread(rows.sparkSession, at.agg(F.sum("length")).first()[0] or 0)
+    return at.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 READ = "digest binary, width int, height int, bit_depth int, payload_bytes long, tail_crc32 long, media_bytes long, media_digest binary, feature string"
