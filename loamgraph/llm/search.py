@@ -6,10 +6,11 @@ add is at most the product of the two remaining norms (Cauchy-Schwarz). A candid
 bound is under the query's k-th best certain score is out, and the columns of the survivors are compacted before
 the next block of dimensions. Scores of survivors are complete and exact.
 
-The queries are a fixed share of the rows, so query blocks meet every candidate block. Packed blocks are files in
-the shared folder and a pair of blocks is one small row naming two of them, so no vector is shuffled or sent
-twice through a shuffle; a task reads a run of candidate blocks for one query block, and the k-th best scores
-found so far bound what later blocks must reach. Each run yields at most k rows per query, which a grouped top-k
+The queries are a fixed share of the rows, so query blocks meet every candidate block. Packed blocks, of bounded
+bytes, are files in the shared folder; a run of them (those of one packing task) and a query block are one small row
+of file names, so no vector is shuffled or sent twice through a shuffle; a task reads the blocks of its runs for one
+query block after the other, and the k-th best scores found so far bound what later blocks must reach. The number of
+tasks follows the cores, not the number of rows. Each task yields at most k rows per query, which a grouped top-k
 merges.
 
 Components become floor(scale * x). Products are computed as doubles where the norms prove every sum to be below
@@ -27,15 +28,17 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, store, table, written
 
 SCALE, K, EVERY = 256, 5, 50
-#: Rows of a candidate block and of a query block; dimensions that are added at a time; queries that start together.
-CANDIDATES, QUERIES, STEP, TOGETHER = 16384, 512, 16, 64
-BLOCK = "file string, n int, dims int, kind string"
+#: Rows of a candidate block and of a query block, at most; bytes of a block as doubles, at most (one vector if it is
+#: longer); dimensions that are added at a time; queries that start together.
+CANDIDATES, QUERIES, BYTES, STEP, TOGETHER = 16384, 512, 8 << 20, 16, 64
+BLOCK = "file string, n int, dims int, kind string, run int"
 EXACT = float(2**53)
 
 
@@ -47,12 +50,13 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def blocks(v: DataFrame, out_dir: str, rows: int, scale: int) -> DataFrame:
-    """Packs each partition's vectors, ``rows`` at a time, into files of ids and columns of whole numbers."""
+    """Packs each partition's vectors, up to ``rows`` or ``BYTES`` at a time, into files of ids and columns of whole
+    numbers; run: the task that packed a block."""
 
     def pack(batches):
         fs, base = store(out_dir)
         fs.create_dir(base, recursive=True)
-        held, count = [], 0
+        held, count, wide, run = [], 0, 0, TaskContext.get().partitionId()
 
         def emit(batch: pa.RecordBatch):
             lists = batch.column(1)
@@ -65,17 +69,20 @@ def blocks(v: DataFrame, out_dir: str, rows: int, scale: int) -> DataFrame:
             name = uuid.uuid4().hex
             with fs.open_output_stream(f"{base}/{name}") as f:
                 f.write(np.asarray(batch.column(0), "<i8").tobytes() + np.ascontiguousarray(m.T).tobytes())
-            return pa.record_batch([pa.array([x]) for x in (name,)] + [pa.array([x], pa.int32()) for x in (len(lengths), d)] + [pa.array([kind])], names=["file", "n", "dims", "kind"])
+            return pa.record_batch([pa.array([x]) for x in (name,)] + [pa.array([x], pa.int32()) for x in (len(lengths), d)] + [pa.array([kind]), pa.array([run], pa.int32())], names=["file", "n", "dims", "kind", "run"])
 
         for batch in batches:
-            held.append(batch)
-            count += len(batch)
-            while count >= rows:
-                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                yield emit(whole.slice(0, rows))
-                held, count = ([whole.slice(rows)], count - rows) if count > rows else ([], 0)
+            start = 0
+            for k, d in enumerate(np.diff(np.asarray(batch.column(1).offsets)).tolist()):
+                if count == rows or count and (count + 1) * max(wide, d) * 8 > BYTES:
+                    if k > start:
+                        held.append(batch.slice(start, k - start))
+                    yield emit(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held, count, wide, start = [], 0, 0, k
+                count, wide = count + 1, max(wide, d)
+            held.append(batch.slice(start))
         if count:
-            yield emit(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield emit(pa.Table.from_batches([x for x in held if len(x)]).combine_chunks().to_batches()[0])
 
     return written(v.mapInArrow(pack, BLOCK), "blocks")
 
@@ -148,30 +155,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCAL
     folder = scratch(vectors.sparkSession, "vectors")
     cand = blocks(usable(vectors), folder, CANDIDATES, scale)
     question = blocks(ask.repartition(max(1, -(-ask.count() // QUERIES))), folder, QUERIES, scale)
-    nq, nc = question.count(), cand.count()
-    # query blocks are numbered, and every candidate block meets each number once: rows of two file names
-    numbered = question.select((F.row_number().over(Window.orderBy("file")) - 1).alias("q"), *[F.col(x).alias(f"q_{x}") for x in ("file", "n", "dims", "kind")])
-    cells = cand.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(nq, 1) - 1))).alias("q")).join(numbered, "q")
-    cells = cells.select("q_file", "q_n", "q_dims", "q_kind", "file", "n", "dims", "kind").repartitionByRange(max(1, min(nq * nc, 64 * nq)), "q_file", "file").sortWithinPartitions("q_file", "file")
+    # every run of candidate blocks, those of one packing task, meets every query block: rows of file names only
+    names = ["file", "n", "dims", "kind"]
+    runs = cand.groupBy("run").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("blocks"))
+    asks = question.select(F.struct(*names).alias("ask"))
+    asks = written(asks.withColumn("q", F.monotonically_increasing_id()), "asks")
+    numbers = asks.agg(F.collect_list("q").alias("qs"))  # one row: a number for each block of queries
+    cells = runs.join(F.broadcast(numbers)).select("run", "blocks", F.explode("qs").alias("q")).join(asks, "q").select(F.col("ask.file").alias("q_file"), "run", "ask", "blocks")
+    tasks = max(1, min(asks.count() * runs.count(), 8 * vectors.sparkSession.sparkContext.defaultParallelism))
+    cells = cells.repartitionByRange(tasks, "q_file", "run").sortWithinPartitions("q_file", "run").select("ask", "blocks")
 
     def run(batches):
         fs, base = store(folder)
         name, held, qids, q, floor = None, None, None, None, None
         out = lambda: pa.record_batch([pa.array(x, pa.int64()) for x in held], names=["query_id", "vec_id", "score"])
         for batch in batches:
-            for q_file, q_n, q_dims, q_kind, *c_file in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if q_file != name:
+            for ask, found in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if ask["file"] != name:
                     if held:
                         yield out()
-                    name, held = q_file, [np.zeros(0, np.int64)] * 3
-                    qids, q = load(fs, base, q_file, q_n, q_dims, q_kind)
+                    name, held = ask["file"], [np.zeros(0, np.int64)] * 3
+                    qids, q = load(fs, base, **ask)
                     floor = np.full(len(qids), -np.inf)
-                held = best_of([np.concatenate(x) for x in zip(held, top(qids, q, *load(fs, base, *c_file), k, floor), strict=True)], k)
-                ids, start, many = np.unique(held[0], return_index=True, return_counts=True)
-                full = many >= k
-                at = np.searchsorted(ids, qids)
-                at = np.minimum(at, max(len(ids) - 1, 0))
-                floor = np.array([held[2][start[a] + k - 1] if len(ids) and ids[a] == i and full[a] else -np.inf for a, i in zip(at, qids, strict=True)])
+                for block in found:
+                    held = best_of([np.concatenate(x) for x in zip(held, top(qids, q, *load(fs, base, **block), k, floor), strict=True)], k)
+                    ids, start, many = np.unique(held[0], return_index=True, return_counts=True)
+                    full = many >= k
+                    at = np.searchsorted(ids, qids)
+                    at = np.minimum(at, max(len(ids) - 1, 0))
+                    floor = np.array([held[2][start[a] + k - 1] if len(ids) and ids[a] == i and full[a] else -np.inf for a, i in zip(at, qids, strict=True)])
         if held:
             yield out()
 

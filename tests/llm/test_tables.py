@@ -124,6 +124,7 @@ def test_running_sums_over_ranges(spark):
 def test_search_is_exact(spark, monkeypatch):
     monkeypatch.setattr(search, "CANDIDATES", 64)
     monkeypatch.setattr(search, "QUERIES", 8)
+    monkeypatch.setattr(search, "BYTES", 60 * 40 * 8)
     r = np.random.default_rng(4)
     v = r.normal(0, 1, (700, 40))
     v[100:160] = v[0]
