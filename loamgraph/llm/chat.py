@@ -79,7 +79,7 @@ def maximal(conv: DataFrame) -> DataFrame:
 
 def longest_of(at: DataFrame) -> DataFrame:
     """``maximal`` over placed rows."""
-    marks = turns(at).select("conv_id", "pos", "fp1", "fp2")
+    marks = written(turns(at).select("conv_id", "pos", "fp1", "fp2"), "marks")
     ends = marks.groupBy("conv_id").agg(F.max(F.struct("pos", "fp1", "fp2")).alias("e")).select("conv_id", "e.*")
     whole = ends.groupBy("pos", "fp1", "fp2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
     # a prefix is proper in its own conversation if a later turn follows: group first, so that a common opening is one row
