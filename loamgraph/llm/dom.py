@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 #: Elements that are blocks, that hold raw text, and that never hold children.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -47,7 +48,12 @@ def parse(page: str) -> list[Node]:
     """The page's block nodes in page order, the root first; every leaf's ``parts`` is its tidy text."""
     nodes = [Node("root", -1, (), 0)]
     stack, at, in_link, size = [0], 0, False, len(page)
-    low = None
+    low, open_now = None, Counter()  # how many open blocks of each tag, so that a stray end tag costs no search
+
+    def shut_from(k: int) -> None:
+        for i in stack[k:]:
+            open_now[nodes[i].tag] -= 1
+        del stack[k:]
 
     def text(piece: str) -> None:
         if not piece:
@@ -76,6 +82,7 @@ def parse(page: str) -> list[Node]:
         nodes.append(Node(tag, stack[-1], tokens, top.depth + 1))
         top.kids.append(len(nodes) - 1)
         stack.append(len(nodes) - 1)
+        open_now[tag] += 1
 
     while at < size:
         lt = page.find("<", at)
@@ -121,29 +128,26 @@ def parse(page: str) -> list[Node]:
             if name in ("hr", "html", "body"):
                 if name == "hr" and not closing:
                     open_block("hr", ())
-                    stack.pop()
+                    shut_from(len(stack) - 1)
                 continue
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if open_now[name] else ():
                     if nodes[stack[k]].tag == name:
-                        del stack[k:]
+                        shut_from(k)
                         break
                 continue
             shut = CLOSES.get(name)
             if nodes[stack[-1]].tag == "p":
-                stack.pop()
-            if shut:
+                shut_from(len(stack) - 1)
+            if shut and any(open_now[t] for t in shut):
                 for k in range(len(stack) - 1, 0, -1):
                     tag = nodes[stack[k]].tag
                     if tag in shut:
-                        del stack[k:]
+                        shut_from(k)
                         break
                     if tag in HOLDS and not (name in ("tr", "tbody", "tfoot", "thead") and tag in ("td", "th")):
                         break
-            if len(stack) < 400:
-                open_block(name, attribute_tokens(m["a"] or ""))
-            else:
-                text(" ")
+            open_block(name, attribute_tokens(m["a"] or ""))
     for node in nodes:
         node.parts = "" if node.kids else tidy(node.parts)
     return nodes

@@ -9,13 +9,12 @@ The trees are fitted on ``PAGES`` generated pages with known main text (see ``pa
 few seconds, whatever the input's size. Every page is read whole inside the tasks.
 
 Defined results: null or blank html gives an empty text; pages without any main block give an empty text; markup
-that never closes is closed at the page's end; elements nested more than 400 deep are read as text of the 400th;
-repeated rows are each returned; an empty table gives an empty result; extra columns are not looked at.
+that never closes is closed at the page's end; elements may be nested to any depth; repeated rows are each returned; an empty table gives an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -29,49 +28,70 @@ from .dom import parse
 from .pagemaker import MARK, Maker
 from .toxicity import lazily
 
-PAGES, SEED, TOKENS = 500, 3, 192
+#: Generated pages, their seed, hash places of attribute tokens, nodes that go through the trees at a time.
+PAGES, SEED, TOKENS, NODES = 500, 3, 192, 4096
 TAGS = {t: k for k, t in enumerate("root run p h1 h2 h3 h4 li ul ol dl table tr td div section article main aside nav header footer form button label select figure figcaption blockquote pre hr dialog menu fieldset option summary".split())}
 DENSE = 24
-
-
-def features(nodes) -> np.ndarray:
-    """One row per node; subtree sums come from one pass backwards, as children follow their parents."""
-    n = len(nodes)
-    size, links, tags, paras, fields, words, marks = (np.zeros(n) for _ in range(7))
-    own = np.zeros(n)
-    for k, node in enumerate(nodes):
-        t = node.parts
-        own[k] = size[k] = len(t)
-        links[k], tags[k], paras[k], fields[k] = node.links, 1, node.tag == "p" and len(t) > 0, node.fields
-        words[k], marks[k] = t.count(" ") + bool(t), t.count(".") + t.count(",") + t.count("!") + t.count("?")
-    start = np.concatenate([[0], np.cumsum(own)[:-1]])
-    for k in range(n - 1, 0, -1):
-        p = nodes[k].parent
-        for a in (size, links, tags, paras, fields, words, marks):
-            a[p] += a[k]
-    total = max(size[0], 1)
-    x = np.zeros((n, DENSE + 3 * len(TAGS) + 2 * TOKENS), np.float32)
-    for k, node in enumerate(nodes):
-        p = max(node.parent, 0)
-        kids = nodes[p].kids
-        rank = 0 if k == 0 else kids.index(k) if len(kids) < 64 else 64
-        prev = nodes[kids[rank - 1]] if 0 < rank < 64 else None
-        s, q = size[k], max(size[p], 1)
-        x[k, :DENSE] = (
-            node.depth, np.log1p(s), np.log1p(own[k]), s / total, s / q, s / tags[k], min(links[k] / max(s, 1), 2), links[p] / q,
-            np.log1p(tags[k]), np.log1p(paras[k]), paras[k] / tags[k], fields[k], words[k] and s / words[k], marks[k] / max(words[k], 1), start[k] / total, k / n,
-            rank, len(kids), rank / max(len(kids), 1), np.log1p(size[prev_i]) if (prev_i := kids[rank - 1] if prev is not None else -1) >= 0 else -1,
-            np.log1p(paras[p]), paras[p] / max(paras[0], 1), np.log1p(total), len(node.kids),
-        )
-        at = DENSE
-        for tag in (node.tag, nodes[p].tag, nodes[max(nodes[p].parent, 0)].tag):
-            x[k, at + TAGS.get(tag, TAGS["div"])] = 1
-            at += len(TAGS)
-        for w in node.tokens:
-            x[k, at + crc32(w.encode()) % TOKENS] = 1
-        for w in nodes[p].tokens:
-            x[k, at + TOKENS + crc32(w.encode()) % TOKENS] = 1
-    return x
+WIDTH = DENSE + 3 * len(TAGS) + 2 * TOKENS
+
+
+class Columns:
+    """The features of a page's nodes. Sums over subtrees come from one pass backwards, as children follow their parents;
+    ``rows`` makes the matrix of some nodes and some columns, so that a page of any size is never one dense matrix."""
+
+    def __init__(self, nodes):
+        self.nodes, n = nodes, len(nodes)
+        size, links, tags, paras, fields, words, marks, own = (np.zeros(n) for _ in range(8))
+        rank, before = np.zeros(n), np.full(n, -1)
+        depth, parent, kids = np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
+        for k, node in enumerate(nodes):
+            t = node.parts
+            own[k] = size[k] = len(t)
+            links[k], tags[k], paras[k], fields[k] = node.links, 1, node.tag == "p" and len(t) > 0, node.fields
+            words[k], marks[k] = t.count(" ") + bool(t), t.count(".") + t.count(",") + t.count("!") + t.count("?")
+            depth[k], parent[k], kids[k] = node.depth, max(node.parent, 0), len(node.kids)
+            for r, kid in enumerate(node.kids):
+                rank[kid], before[kid] = r, node.kids[r - 1] if r else -1
+        start = np.concatenate([[0], np.cumsum(own)[:-1]])
+        for k in range(n - 1, 0, -1):
+            p = parent[k]
+            for a in (size, links, tags, paras, fields, words, marks):
+                a[p] += a[k]
+        total, s, q, siblings = max(size[0], 1), size, np.maximum(size[parent], 1), kids[parent]
+        self.parent = parent
+        self.dense = np.stack([
+            depth, np.log1p(s), np.log1p(own), s / total, s / q, s / tags, np.minimum(links / np.maximum(s, 1), 2), links[parent] / q,
+            np.log1p(tags), np.log1p(paras), paras / tags, fields, s / np.maximum(words, 1), marks / np.maximum(words, 1), start / total, np.arange(n) / n,
+            rank, siblings, rank / np.maximum(siblings, 1), np.where(before >= 0, np.log1p(size[before]), -1),
+            np.log1p(paras[parent]), paras[parent] / max(paras[0], 1), np.full(n, np.log1p(total)), kids,
+        ], 1).astype(np.float32)
+
+    def rows(self, first: int, last: int, place: np.ndarray) -> np.ndarray:
+        """Nodes ``first`` to ``last``; place: the column of each feature in the matrix, or -1."""
+        x = np.zeros((last - first, place.max(initial=-1) + 1), np.float32)
+        here = place[:DENSE]
+        x[:, here[here >= 0]] = self.dense[first:last, here >= 0]
+        nodes, rows, cols = self.nodes, [], []
+        for k in range(first, last):
+            p = self.parent[k]
+            at = DENSE
+            mine = []
+            for tag in (nodes[k].tag, nodes[p].tag, nodes[self.parent[p]].tag):
+                mine.append(at + TAGS.get(tag, TAGS["div"]))
+                at += len(TAGS)
+            mine += [at + _token(w) for w in nodes[k].tokens]
+            mine += [at + TOKENS + _token(w) for w in nodes[p].tokens]
+            rows += [k - first] * len(mine)
+            cols += mine
+        cols = place[np.array(cols, np.int64)]
+        on = cols >= 0
+        x[np.array(rows, np.int64)[on], cols[on]] = 1
+        return x
+
+
+@lru_cache(100_000)
+def _token(word: str) -> int:
+    return crc32(word.encode()) % TOKENS
 
 
 def decode(nodes, odds: np.ndarray) -> np.ndarray:
@@ -92,8 +112,10 @@ def decode(nodes, odds: np.ndarray) -> np.ndarray:
 
 @cache
 def trained(pages: int = PAGES, seed: int = SEED) -> Boosted:
-    """The trees, over the columns that vary in the generated pages (the others are never split on)."""
+    """The trees, over the columns that vary in the generated pages (the others are never split on): ``model.place`` has
+    the place of each of these in the matrix, and -1 for the others."""
     xs, ys = [], []
+    every = np.arange(WIDTH)
     for k in range(pages):
         nodes = parse(Maker(seed * 1_000_003 + k).page())
         y = np.array([MARK in node.parts for node in nodes], float)
@@ -101,12 +123,15 @@ def trained(pages: int = PAGES, seed: int = SEED) -> Boosted:
             node.parts = node.parts.replace(MARK, "")
         for i in range(len(nodes) - 1, 0, -1):
             y[nodes[i].parent] = max(y[nodes[i].parent], y[i])
-        xs.append(features(nodes)[1:])
+        xs.append(Columns(nodes).rows(1, len(nodes), every))
         ys.append(y[1:])
     x, y = np.concatenate(xs), np.concatenate(ys)
     used = np.flatnonzero((x != x[0]).sum(0) >= 12)
-    model = fit(x[:, used], y, np.ones(len(y)))
-    model.feature = used[model.feature]
+    model = fit(x[:, used], y, (used < DENSE).sum())
+    split = np.unique(model.feature)
+    model.place = np.full(WIDTH, -1)
+    model.place[used[split]] = np.arange(len(split))
+    model.feature = np.searchsorted(split, model.feature)
     return model
 
 
@@ -115,18 +140,18 @@ class Extractor:
         self.model = model
 
     def scorer(self):
-        return lambda pages: [text for chunk in range(0, len(pages), 64) for text in self.some(pages[chunk : chunk + 64])]
-
-    def some(self, pages: list[str]) -> list[str]:
-        """The main texts of a few pages, whose nodes go through the trees together."""
-        parsed = [parse(p) for p in pages]
-        odds = self.model.margin(np.concatenate([features(nodes) for nodes in parsed]))
-        out, at = [], 0
-        for nodes in parsed:
-            kept = decode(nodes, odds[at : at + len(nodes)])
-            at += len(nodes)
-            out.append("\n".join(node.parts for node, k in zip(nodes, kept, strict=True) if k and node.parts))
-        return out
+        return lambda pages: [self.one(p) for p in pages]
+
+    def odds(self, nodes) -> np.ndarray:
+        """The log-odds of each node, ``NODES`` of them at a time."""
+        columns = Columns(nodes)
+        parts = range(0, len(nodes), NODES)
+        return np.concatenate([self.model.margin(columns.rows(k, min(k + NODES, len(nodes)), self.model.place)) for k in parts])
+
+    def one(self, page: str) -> str:
+        nodes = parse(page)
+        kept = decode(nodes, self.odds(nodes))
+        return "\n".join(node.parts for node, k in zip(nodes, kept, strict=True) if k and node.parts)
 
 
 def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
