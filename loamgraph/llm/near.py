@@ -11,7 +11,10 @@
    more has no link to one below ``TOUCH``; what is not in the core meets again around the next centre, while the
    bucket still has classes below ``TOUCH``. After ``TURNS`` turns the rest is hung together unseen, so no pair of
    a bucket is lost.
-4. The hung-together groups (a superset of the wanted components) are verified exactly: texts of a group meet in
+4. A hung-together group larger than a block is cut down first (``refined``): only classes that share a shingle rare in
+   the group, and whose sketches' estimate is ``CORE`` or more, stay together. Texts around a common passage fall apart
+   here without being compared.
+5. What hangs together then (a superset of the wanted components) is verified exactly: texts of a group meet in
    blocks of bounded size, and a breadth-first pass compares each full set with those not yet reached. A group
    larger than a block is first linked inside its blocks and through pilots that all its blocks share; only what is
    then outside its largest component meets all its blocks. Links become components by star contraction.
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import components, table, written
+from .common import components, scratch, store, table, written
 
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -42,6 +45,8 @@ REGISTERS, BASE, BANDS, ROWS = 128, 1.12, 25, 5
 CORE, TOUCH, TURNS = 0.6, 0.3, 4
 #: Classes and shingles of a block, pilots of a group.
 BLOCK, MASS, PILOTS = 128, 2_000_000, 8
+#: Classes of a large group whose shingles give its order; classes whose sketches are compared as they share a rare one.
+SAMPLED, MATES = 64, 1024
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -223,25 +228,143 @@ def linked(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None
 LINK = "a long, b long"
 
 
-def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between classes, enough of them to connect every component; all come from full sets."""
+def hung(keys: np.ndarray, cids: np.ndarray, n: np.ndarray, regs: np.ndarray) -> tuple[list[int], list[int]]:
+    """(cid, head) pairs that connect, within each run of equal ``keys``, what chains of estimates of ``CORE`` or more
+    connect. Members are compared with the run's first one together, and the rest among themselves."""
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    head = np.repeat(start, np.diff(np.append(start, len(keys))))
+    near = np.zeros(len(keys), bool)
+    other = np.flatnonzero(head != np.arange(len(keys)))
+    for k in range(0, len(other), 8192):
+        i = other[k : k + 8192]
+        near[i] = estimate(regs[i], regs[head[i]], n[i], n[head[i]]) >= CORE
+    a, b = cids[near].tolist(), cids[head[near]].tolist()
+    left = other[~near[other]]
+    for first in np.unique(head[left]):
+        run = np.arange(first, first + (head == first).sum())
+        queue, open_ = run[near[run]].tolist(), run[1:][~near[run[1:]]]
+        while len(open_):
+            if queue:
+                at = queue.pop()
+            else:
+                at, open_ = int(open_[0]), open_[1:]
+            hit = estimate(np.broadcast_to(regs[at], (len(open_), regs.shape[1])), regs[open_], np.full(len(open_), n[at]), n[open_]) >= CORE
+            a += cids[open_[hit]].tolist()
+            b += [int(cids[at])] * int(hit.sum())
+            queue += open_[hit].tolist()
+            open_ = open_[~hit]
+    return a, b
+
+
+def refined(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(id, root): the groups of members(cid, low, key, root), cut down to classes that may link.
+
+    Two sets that link share one of their rarest shingles: of n shingles the n - ceil(percent n / 100) + 1 that come first
+    in any order of the group. The order puts last what many of its ``SAMPLED`` classes hold, so a passage that a whole group shares
+    is no such shingle. Classes that share one are hung together where their sketches' estimate is ``CORE`` or more; a
+    shingle that over ``MATES`` classes share hangs them together unseen, so no link is lost.
+    """
+    folder = scratch(docs.sparkSession, "common")
+    sample = members.where("sampled").select("low", "key", "cid", "root")
+    found = whole_texts(docs, sample)
+
+    def common(got: pa.Table) -> pa.Table:
+        sets = [shingles(t) for t in got.column("text").to_pylist()]
+        values, many = np.unique(np.concatenate(sets), return_counts=True)
+        fs, base = store(folder)
+        fs.create_dir(base, recursive=True)
+        root = got.column("root")[0].as_py()
+        with fs.open_output_stream(f"{base}/{root}") as f:
+            f.write(values[many >= max(2, len(sets) // 16)].tobytes())
+        return pa.table({"root": pa.array([root], pa.int64())})
+
+    written(found.select("text", "root").groupBy("root").applyInArrow(common, "root long"), "common-done")
+
+    def prefixes(batches):
+        fs, base = store(folder)
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cids, roots, rows = batch.column("cid").to_pylist(), batch.column("root").to_pylist(), []
+            for text, root in zip(batch.column("text").to_pylist(), roots, strict=True):
+                if root not in held:
+                    if len(held) > 64:
+                        held.clear()
+                    where = f"{base}/{root}"
+                    held[root] = np.frombuffer(fs.open_input_stream(where).read() if fs.get_file_info(where).is_file else b"", np.uint64)
+                s = shingles(text)
+                often = np.isin(s, held[root])
+                rows.append(np.concatenate([s[~often], s[often]])[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64))
+            k = [len(x) for x in rows]
+            yield pa.record_batch([pa.array(np.repeat(np.array(cids, np.int64), k)), pa.array(np.repeat(np.array(roots, np.int64), k)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))], names=["cid", "root", "sh"])
+
+    texts = whole_texts(docs, members.select("low", "key", "cid", "root"))
+    slim = written(texts.mapInArrow(prefixes, "cid long, root long, sh long"), "prefixes")
+    live = written(slim.groupBy("root", "sh").agg(F.count("*").alias("many"), F.min("cid").alias("first")).where("many > 1"), "live")
+    rows = slim.join(live.hint("merge"), ["root", "sh"])
+    unseen = rows.where((F.col("many") > MATES) & (F.col("cid") != F.col("first"))).select(F.col("cid").alias("a"), F.col("first").alias("b"))
+    seen = written(rows.where(F.col("many") <= MATES).select("root", "sh", "cid"), "shared")
+    seen = seen.join(classes.select("cid", "n", "sketch").hint("merge"), "cid").select(F.xxhash64("root", "sh").alias("bucket"), "root", "sh", "cid", "n", "sketch")
+
+    def runs(batches):
+        held = None
+        for batch in batches:
+            got = pa.Table.from_batches([batch])
+            held = got if held is None else pa.concat_tables([held, got])
+            if not len(held):
+                continue
+            key = held.column("bucket").to_numpy()
+            cut = int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])
+            if cut:
+                yield from stars(held.slice(0, cut))
+                held = held.slice(cut).combine_chunks()
+        if held is not None and len(held):
+            yield from stars(held)
+
+    def stars(got: pa.Table):
+        # a hash may name two shingles, whose members are then compared as one run
+        regs = np.frombuffer(b"".join(got.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        a, b = hung(got.column("bucket").to_numpy(), got.column("cid").to_numpy(), got.column("n").to_numpy().astype(np.float64), regs)
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    edges = seen.repartition("root", "sh").sortWithinPartitions("bucket", "cid").mapInArrow(runs, LINK)
+    return components(written(edges.unionAll(unseen).distinct(), "refined"))
+
+
+def whole_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """classes(low, key, ...) with the text of each: the row of id ``low`` whose set has the name ``key``, as a repeated id
+    may have other texts too. Texts are shuffled at every size, so a small run shows the plan of a large one."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("low"), "text").join(classes.hint("merge"), "low").select("text", *[c for c in classes.columns if c != "low"])
+    at = texts.columns.index("key")
+
+    def right(batches):
+        for batch in batches:
+            ok = [xxh3_128_digest(shingles(t).tobytes()) == k for t, k in zip(batch.column(0).to_pylist(), batch.column(at).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return written(texts.mapInArrow(right, texts.schema).drop("key"), "texts")
+
+
+def placed(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """cid, low, key, root, block, parts, pilot and sampled of every member of groups(id, root)."""
     roots = groups.select("root").distinct().select(F.col("root").alias("id"), "root")
     members = written(groups.unionByName(roots).withColumnRenamed("id", "cid").join(classes.select("cid", "low", "key", "n"), "cid"), "members")
     sizes = members.groupBy("root").agg(F.count("*").alias("many"), F.sum("n").alias("mass"))
     parts = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("mass") / MASS)).cast("int")
     sizes = written(sizes.select(F.col("root").alias("r"), "many", parts.alias("parts")), "sizes")
     h = F.pmod(F.xxhash64("cid", F.lit(9)), F.lit(1 << 30))
-    placed = written(members.join(sizes, F.col("root") == F.col("r")).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("parts")).cast("int")).withColumn("pilot", (F.col("parts") > 1) & (h * F.col("many") < PILOTS * (1 << 30))).drop("r", "many"), "placed")
-    # a repeated id may have other texts too: the set's name tells the one that is meant. Texts are shuffled at every
-    # size, so a small run shows the plan of a large one.
-    texts = docs.select(F.col("doc_id").cast("long").alias("low"), "text").join(placed.select("low", "key", "cid", "root", "block", "parts", "pilot").hint("merge"), "low").select("text", "key", "cid", "root", "block", "parts", "pilot")
+    at = members.join(sizes, F.col("root") == F.col("r")).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("parts")).cast("int"))
+    few = lambda n: (F.col("parts") > 1) & (h * F.col("many") < n * (1 << 30))
+    return written(at.select("cid", "low", "key", "root", "block", "parts", few(PILOTS).alias("pilot"), few(SAMPLED).alias("sampled")), "placed")
 
-    def right(batches):
-        for batch in batches:
-            ok = [xxh3_128_digest(shingles(t).tobytes()) == k for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_()))
 
-    texts = written(texts.mapInArrow(right, texts.schema).drop("key"), "texts")
+def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between classes, enough of them to connect every component; all come from full sets."""
+    at = placed(groups, classes)
+    crowd = at.where("parts > 1")
+    if not crowd.isEmpty():
+        finer = refined(docs, classes, crowd, percent)
+        at = at.where("parts = 1").unionByName(placed(finer, classes))
+    texts = whole_texts(docs, at)
 
     def sets_of(got: pa.Table):
         """Each class once, in the order of its number."""

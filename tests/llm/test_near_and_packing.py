@@ -67,6 +67,29 @@ def test_group_larger_than_a_block(spark, monkeypatch):
     check(spark, corpus(5, seed=3))
 
 
+def test_texts_around_a_common_passage(spark, monkeypatch):
+    """120 shared and 60 own words: nothing links but the planted copies, and no block of texts is compared with another."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    shared = [word() for _ in range(120)]
+    docs = [" ".join(shared + [word() for _ in range(60)]) for _ in range(700)]
+    docs += [t + " end" for t in docs[:40]] + [t.replace(" ", "  ") for t in docs[:5]]
+    tags = []
+    monkeypatch.setattr(near, "written", lambda df, tag, *a, plain=near.written: (tags.append(tag), plain(df, tag, *a))[1])
+    rows = near.near(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in rows} == {k: k if k < 700 else k - 700 if k < 740 else k - 740 for k in range(745)}
+    assert "refined" in tags and "links-across" not in tags
+
+
+def test_hung_runs_are_connected():
+    r = np.random.default_rng(7)
+    base = [r.integers(0, 2**63, 400).astype(np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([b[:380], r.integers(0, 2**63, 20).astype(np.uint64)])) for b in base for _ in range(5)]
+    keys = np.array([1] * 15)
+    a, b = near.hung(keys, np.arange(15), np.array([float(len(x)) for x in sets]), near.sketches(sets))
+    assert {x // 5 for x in a} == {0, 1, 2} and all(x // 5 == y // 5 for x, y in zip(a, b, strict=True)) and len(a) == 12
+
+
 def test_edges_of_the_table(spark):
     df = spark.createDataFrame([(None, "a b c d e f", 1), (7, "a b c d e f", 2), (7, "a b c d e f", 3), (9, "a b c d e f", 4)], "doc_id long, text string, n int")
     got = near.near(df).collect()
