@@ -256,17 +256,15 @@ def hung(keys: np.ndarray, cids: np.ndarray, n: np.ndarray, regs: np.ndarray) ->
     return a, b
 
 
-def refined(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(id, root): the groups of members(cid, low, key, root), cut down to classes that may link.
+def refined(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(id, root): the groups of members(text, cid, root, sampled), cut down to classes that may link.
 
     Two sets that link share one of their rarest shingles: of n shingles the n - ceil(percent n / 100) + 1 that come first
     in any order of the group. The order puts last what many of its ``SAMPLED`` classes hold, so a passage that a whole group shares
     is no such shingle. Classes that share one are hung together where their sketches' estimate is ``CORE`` or more; a
     shingle that over ``MATES`` classes share hangs them together unseen, so no link is lost.
     """
-    folder = scratch(docs.sparkSession, "common")
-    sample = members.where("sampled").select("low", "key", "cid", "root")
-    found = whole_texts(docs, sample)
+    folder = scratch(classes.sparkSession, "common")
 
     def common(got: pa.Table) -> pa.Table:
         sets = [shingles(t) for t in got.column("text").to_pylist()]
@@ -278,7 +276,7 @@ def refined(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: in
             f.write(values[many >= max(2, len(sets) // 16)].tobytes())
         return pa.table({"root": pa.array([root], pa.int64())})
 
-    written(found.select("text", "root").groupBy("root").applyInArrow(common, "root long"), "common-done")
+    written(members.where("sampled").select("text", "root").groupBy("root").applyInArrow(common, "root long"), "common-done")
 
     def prefixes(batches):
         fs, base = store(folder)
@@ -297,8 +295,7 @@ def refined(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: in
             k = [len(x) for x in rows]
             yield pa.record_batch([pa.array(np.repeat(np.array(cids, np.int64), k)), pa.array(np.repeat(np.array(roots, np.int64), k)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))], names=["cid", "root", "sh"])
 
-    texts = whole_texts(docs, members.select("low", "key", "cid", "root"))
-    slim = written(texts.mapInArrow(prefixes, "cid long, root long, sh long"), "prefixes")
+    slim = written(members.select("text", "cid", "root").mapInArrow(prefixes, "cid long, root long, sh long"), "prefixes")
     live = written(slim.groupBy("root", "sh").agg(F.count("*").alias("many"), F.min("cid").alias("first")).where("many > 1"), "live")
     rows = slim.join(live.hint("merge"), ["root", "sh"])
     unseen = rows.where((F.col("many") > MATES) & (F.col("cid") != F.col("first"))).select(F.col("cid").alias("a"), F.col("first").alias("b"))
@@ -359,12 +356,12 @@ def placed(groups: DataFrame, classes: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between classes, enough of them to connect every component; all come from full sets."""
-    at = placed(groups, classes)
-    crowd = at.where("parts > 1")
+    texts = whole_texts(docs, placed(groups, classes))
+    crowd = texts.where("parts > 1")
     if not crowd.isEmpty():
-        finer = refined(docs, classes, crowd, percent)
-        at = at.where("parts = 1").unionByName(placed(finer, classes))
-    texts = whole_texts(docs, at)
+        finer = placed(refined(classes, crowd, percent), classes).drop("low", "key")
+        moved = crowd.dropDuplicates(["cid"]).select("text", "cid").join(finer.hint("merge"), "cid").select(*texts.columns)
+        texts = texts.where("parts = 1").unionByName(written(moved, "moved"))
 
     def sets_of(got: pa.Table):
         """Each class once, in the order of its number."""

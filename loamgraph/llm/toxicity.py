@@ -26,7 +26,7 @@ from .labelled import PLAIN, fitted, passing, sample, scored
 
 #: Labelled rows that the machine is fitted on, at most; hash bits; least z of an input by itself and in a pair; least
 #: share of the rows that a term of a tested pair is in; terms in a side of the squares of pairs.
-LIMIT, BITS, Z, JOINT, SHARE, SIDE = 8000, 20, 4.0, 6.0, 0.01, 2048
+LIMIT, BITS, Z, JOINT, SHARE, SIDE = 8000, 20, 4.0, 6.0, 0.01, 512
 FACTORS, STEPS, BATCH, RATE, DECAY = 8, 2500, 128, 0.05, 1e-3
 
 
@@ -88,7 +88,7 @@ def joint(rows: list[np.ndarray], y: np.ndarray, width: int) -> np.ndarray:
     """
     n, p, total = len(y), y.mean(), y.sum()
     row, col = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows)
-    c, s = np.bincount(col, minlength=width), np.bincount(col, y[row], width)
+    c, s = np.bincount(col, minlength=width).astype(np.float32), np.bincount(col, y[row], width).astype(np.float32)
     on = np.zeros(width, bool)
 
     def square(first: int) -> np.ndarray:
