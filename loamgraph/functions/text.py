@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 URI = r"^([a-zA-Z_]\w*)://(.*)$"
 TITLE = r"^[a-zA-Z0-9_-]+$"
 DOMAIN = r"^[a-z][a-z0-9_]*$"
-#: Typographic signs and what they become.
-TYPOGRAPHIC = ("‘’‚‛“”„‟–—―‐‑", "''''\"\"\"\"-----")
-CLI_SIGNS = ("‘’“”—–…「」『』　 ，。", "''\"\"--.\"\"''  ,.")
+#: Typographic signs and what they become, in stored texts and on the command line.
+TYPOGRAPHIC = ("“”«»＂‘’´＇–—―－", '"""""' + "''''" + "----")
+CLI_SIGNS = ("“”‘’「」『』＂＇—–－　 ", "\"\"''\"\"\"\"\"'---  ")
+#: What marks a text as a script.
+SCRIPT_MARKS = ("_.ChangeOn(", "_.On(", "_.Emit(", "系统.事件标记", "// ==")
 
 
 def domain_of(uri: Column, default: str = "core") -> Column:
@@ -78,8 +80,8 @@ def relative_day(day: Column, today: Column) -> Column:
     num = lambda x: F.floor(x).cast("long").cast("string")
     return (
         F.when(d == 0, "今天").when(d == 1, "明天").when(d == -1, "昨天").when(d == 2, "后天").when(d == -2, "前天")
-        .when(n < 7, at(num(n), F.lit("天"), side)).when(n < 30, at(num(n / 7), F.lit("周"), side))
-        .when(n < 365, at(num(n / 30), F.lit("个月"), side)).otherwise(at(num(n / 365), F.lit("年"), side))
+        .when(n < 7, at(F.lit("约 "), num(n), F.lit(" 天"), side)).when(n < 30, at(F.lit("约 "), num(n / 7), F.lit(" 周"), side))
+        .when(n < 365, at(F.lit("约 "), num(n / 30), F.lit(" 个月"), side)).otherwise(at(F.lit("约 "), num(n / 365), F.lit(" 年"), side))
     )
 
 
@@ -120,10 +122,62 @@ def front_end_score(text: Column) -> Column:
 
 
 def after_think(text: Column) -> Column:
-    """What follows the earliest closing think tag; an unclosed opening tag gives the text before it."""
-    close = F.instr(text, "</think>")
-    opened = F.instr(text, "<think>")
-    return F.when(close > 0, F.ltrim(F.substring(text, close + 8, 1 << 30))).when(opened > 0, F.rtrim(F.substring(text, F.lit(1), opened - 1))).otherwise(text)
+    """What follows the earliest closing think or thinking tag. Without one the text stays, unless it starts with two
+    opening tags: their answer is lost, and the text is empty."""
+    shut = r"(?s)^.*?</think(?:ing)?>\s*(.*)$"
+    return F.when(text.rlike(shut), F.regexp_extract(text, shut, 1)).when(text.rlike(r"^<think(ing)?>\s*<think(ing)?>"), "").otherwise(text)
+
+
+def thought(text: Column) -> Column:
+    """What precedes the earliest closing tag, without one opening tag; null if there is no closing tag or no thought."""
+    shut = r"(?s)^(.*?)</think(?:ing)?>.*$"
+    body = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, shut, 1), r"^\s+|\s+$", ""), r"^<think(ing)?>\s*", "")
+    return F.when(text.rlike(shut) & (body != ""), body)
+
+
+def cli_uri(uri: Column) -> Column:
+    """(domain, path) at the first ``://``, kept as written; the default domain without one."""
+    at = F.instr(uri, "://")
+    return F.when(at > 0, F.struct(F.substring(uri, F.lit(1), at - 1).alias("domain"), F.substring(uri, at + 3, F.length(uri)).alias("path"))).otherwise(F.struct(F.lit("core").alias("domain"), uri.alias("path")))
+
+
+def cli_signs(text: Column) -> Column:
+    return F.translate(text, *CLI_SIGNS)
+
+
+def is_script(text: Column) -> Column:
+    out = F.lit(False)
+    for mark in SCRIPT_MARKS:
+        out = out | F.contains(text, F.lit(mark))
+    return out
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def card_text(text: Column) -> Column:
+    """A card's text without template marks, bare prohibitions, author lines and invitations."""
+    flat = F.replace(F.replace(text, F.lit("{{char}}"), F.lit("{char}")), F.lit("{{user}}"), F.lit("{user}"))
+    lines = F.split(F.regexp_replace(flat, r"\r\n?", "\n"), "\n", -1)
+    drop = lambda x: _bare(x).rlike(r"^禁止.+！$|^#\s*作者[：:]") | F.contains(F.lower(x), F.lit("discord.gg/"))
+    return _bare(F.array_join(F.filter(lines, lambda x: ~drop(x)), "\n"))
+
+
+def without_status(text: Column) -> Column:
+    return _bare(F.regexp_replace(text, "(?s)<当前状态>.*?</当前状态>", ""))
+
+
+def spoken(text: Column) -> Column:
+    """The first innermost [speak] passage; null without one."""
+    inner = r"(?s)\[speak\]((?:(?!\[speak\]).)*?)\[/speak\]"
+    return F.when(text.rlike(inner), _bare(F.regexp_extract(text, inner, 1)))
+
+
+def bare_address(sender: Column) -> Column:
+    """The mail address of a sender written as a name with <address>, or as the address alone."""
+    inner = r"<([^>]+)>"
+    return F.lower(F.trim(F.when(sender.rlike(inner), F.regexp_extract(sender, inner, 1)).otherwise(sender)))
 
 
 def edge_id(*parts: Column) -> Column:

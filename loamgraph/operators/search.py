@@ -46,24 +46,26 @@ def search_documents(docs: DataFrame, glossary: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(term, key, f) with f the weighted frequency, and (key, size): the inverted index and the documents' lengths."""
+    """(term, key, f, n) with f the weighted and n the plain frequency, and (key, size): the inverted index and the
+    documents' lengths."""
     # one row per indexed column first, so that each text is split into tokens once
     columns = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(c).alias("text")) for c, w in WEIGHTS.items()]))
     split = docs.select(key, columns.alias("x")).select(key, "x.w", index_tokens(F.col("x.text")).alias("tokens"))
-    posts = split.select(key, "w", F.explode("tokens").alias("term")).groupBy("term", key).agg(F.sum("w").alias("f"))
+    posts = split.select(key, "w", F.explode("tokens").alias("term")).groupBy("term", key).agg(F.sum("w").alias("f"), F.count("*").alias("n"))
     return posts, split.groupBy(key).agg(F.sum(F.size("tokens")).alias("size"))
 
 
-def search(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc_id") -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc_id", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """query_id, rank, pass, node_uuid, key and score of each query's best documents.
 
     Documents with all tokens come first (pass 0), those with some follow (pass 1); inside a pass by score, priority,
     length of the path and key; a node counts once. Corpus figures are over all documents, whatever the query.
+    ``index``: what ``postings`` gives, kept as tables; without it the documents are indexed here.
     """
-    posts, sizes = postings(docs, key)
+    posts, sizes = index or postings(docs, key)
     asked = queries.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(T.search_tokens(F.col("query")), lambda t: index_tokens(t))))).alias("term"))
     many = asked.groupBy("query_id").agg(F.count("*").alias("asked"))
-    sizes = cut(sizes)
+    sizes = sizes if index else cut(sizes)
     total = sizes.agg(F.count("*").alias("n_docs"), F.avg("size").alias("avg_size"))
     # what a query can score is small beside the corpus: it is kept, and the texts are read no further
     hits = cut(posts.join(asked.select("term").distinct(), "term", "left_semi"))

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """The session's shared folder (``spark.checkpoint.dir``; a local one where that is unset)."""
+    """The session's shared folder (``spark.checkpoint.dir``). Where that is unset a local folder serves a local session,
+    and any other is refused."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.getConf().get("spark.checkpoint.dir") and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="loamgraph-"))
     return sc.getCheckpointDir()
 

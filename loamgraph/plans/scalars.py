@@ -31,9 +31,48 @@ def s5(g):
     return g.table("documents").select("doc_id", T.snippet(F.replace("text", F.lit("\n"), F.lit(" ")), 50).alias("s50"), F.substring("text", 1, 120).alias("s120"))
 
 
-@query("s7_typographic", "SELECT item_id, translate('“' || text || '”–‘x’', '‘’‚‛“”„‟–—―‐‑', '''''''''\"\"\"\"-----') AS plain FROM benchmark")
+@query("s7_typographic", "SELECT item_id, '\"' || text || '\"-''x''\"\"\"''''-‚„‐' AS plain FROM benchmark")
 def s7(g):
-    return g.table("benchmark").select("item_id", T.typographic(F.concat(F.lit("“"), "text", F.lit("”–‘x’"))).alias("plain"))
+    return g.table("benchmark").select("item_id", T.typographic(F.concat(F.lit("“"), "text", F.lit("”–‘x’«»＂´＇－‚„‐"))).alias("plain"))
+
+
+@query("s2_cli_uri", "SELECT page_id, split_part(url, '://', 1) AS domain, substr(url, instr(url, '://') + 3) AS path FROM pages UNION ALL SELECT -page_id, 'core', 'Plain/' || page_id FROM pages")
+def s2(g):
+    p = g.table("pages")
+    u = p.select("page_id", F.col("url").alias("uri")).unionAll(p.select(-F.col("page_id"), F.concat(F.lit("Plain/"), F.col("page_id").cast("string"))))
+    return u.select("page_id", T.cli_uri(F.col("uri")).alias("u")).select("page_id", "u.domain", "u.path")
+
+
+@query("s8_cli_signs", "SELECT item_id, '\"' || text || '\"\"\"\"\"''''---  «' AS plain FROM benchmark")
+def s8(g):
+    return g.table("benchmark").select("item_id", T.cli_signs(F.concat(F.lit("“"), "text", F.lit("「」『』＂’＇—–－　 «"))).alias("plain"))
+
+
+@query("s15_front_end", r""", h AS (SELECT page_id, html, len(regexp_extract_all(html, '(?i)<(div|span|style|script|html|body|table|button|input)[\s>/]')) + len(regexp_extract_all(html, '[.#]?[\w-]+\s*\{[^{}]*:[^{}]*;')) + len(regexp_extract_all(html, '(?i)\b(function|const|let|var|document\.|window\.|addEventListener)\b')) AS n FROM pages),
+s AS (SELECT page_id, CASE WHEN length(html) > 0 THEN least(1.0, 50.0 * n / length(html)) ELSE 0.0 END::DOUBLE AS score FROM h) SELECT page_id, score, score > 0.3 AS only FROM s""")
+def s15(g):
+    score = T.front_end_score(F.col("html")).cast("double")
+    return g.table("pages").select("page_id", score.alias("score")).withColumn("only", F.col("score") > 0.3)
+
+
+@query("s16_script", "SELECT page_id, page_id % 3 = 0 OR contains(html, '_.On(') OR contains(html, '// ==') OR contains(html, '_.Emit(') OR contains(html, '_.ChangeOn(') OR contains(html, '系统.事件标记') AS script FROM pages")
+def s16(g):
+    text = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit(" _.On(x)"))).otherwise(F.col("html"))
+    return g.table("pages").select("page_id", T.is_script(text).alias("script"))
+
+
+@query("s17_card_text", "SELECT item_id, '{char} says' || chr(10) || text || chr(10) || '{user} hears' AS plain, text AS shown FROM benchmark")
+def s17(g):
+    card = F.concat(F.lit("  {{char}} says\r\n 禁止大声说话！\r"), "text", F.lit("\n#  作者：x\n{{user}} hears\njoin Discord.gg/abc\n"))
+    status = F.concat(F.lit("<当前状态>\na</当前状态>\n"), "text", F.lit("<当前状态>b</当前状态>"))
+    return g.table("benchmark").select("item_id", T.card_text(card).alias("plain"), T.without_status(status).alias("shown"))
+
+
+@query("s23_spoken", "SELECT item_id, text AS said, 'ann' || item_id || '@example.org' AS sender, 'bob@example.org' AS plain FROM benchmark")
+def s23(g):
+    said = F.concat(F.lit("a [speak]lost [speak] "), "text", F.lit(" [/speak] b [speak]later[/speak]"))
+    sender = F.concat(F.lit("Ann <Ann"), F.col("item_id").cast("string"), F.lit("@Example.org>"))
+    return g.table("benchmark").select("item_id", T.spoken(said).alias("said"), T.bare_address(sender).alias("sender"), T.bare_address(F.lit(" Bob@example.org ")).alias("plain"))
 
 
 @query("s13_counts", "SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS n FROM documents")
@@ -41,7 +80,7 @@ def s13(g):
     return g.table("documents").select("doc_id", F.regexp_count("text", F.lit("the")).cast("long").alias("n"))
 
 
-_REL = "CASE WHEN d = 0 THEN '今天' WHEN d = 1 THEN '明天' WHEN d = -1 THEN '昨天' WHEN d = 2 THEN '后天' WHEN d = -2 THEN '前天' ELSE (CASE WHEN abs(d) < 7 THEN abs(d) || '天' WHEN abs(d) < 30 THEN abs(d) // 7 || '周' WHEN abs(d) < 365 THEN abs(d) // 30 || '个月' ELSE abs(d) // 365 || '年' END) || (CASE WHEN d > 0 THEN '后' ELSE '前' END) END"
+_REL = "CASE WHEN d = 0 THEN '今天' WHEN d = 1 THEN '明天' WHEN d = -1 THEN '昨天' WHEN d = 2 THEN '后天' WHEN d = -2 THEN '前天' ELSE '约 ' || (CASE WHEN abs(d) < 7 THEN abs(d) || ' 天' WHEN abs(d) < 30 THEN abs(d) // 7 || ' 周' WHEN abs(d) < 365 THEN abs(d) // 30 || ' 个月' ELSE abs(d) // 365 || ' 年' END) || (CASE WHEN d > 0 THEN '后' ELSE '前' END) END"
 
 
 @query("s19_relative", f", x AS (SELECT o_orderkey, date_diff('day', DATE '1996-01-15', CAST(o_orderdate AS DATE)) AS d FROM orders) SELECT o_orderkey, {_REL} AS said FROM x")
@@ -78,11 +117,11 @@ def s22(g):
     return g.table("documents").select("doc_id", T.language(F.col("text")).alias("code"))
 
 
-@query("s24_think", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN ltrim(text) WHEN 1 THEN '' ELSE text END AS answer FROM benchmark")
+@query("s24_think", "SELECT item_id, CASE item_id % 5 WHEN 0 THEN ltrim(text) WHEN 1 THEN '<think>' || text WHEN 2 THEN ltrim(text) WHEN 3 THEN '' ELSE text END AS answer, CASE item_id % 5 WHEN 0 THEN 'why' WHEN 2 THEN 'how' END AS thought FROM benchmark")
 def s24(g):
-    n = F.col("item_id") % 3
-    said = F.when(n == 0, F.concat(F.lit("<think>why</think> "), "text")).when(n == 1, F.concat(F.lit("<think>"), "text")).otherwise(F.col("text"))
-    return g.table("benchmark").select("item_id", T.after_think(said).alias("answer"))
+    n = F.col("item_id") % 5
+    said = F.when(n == 0, F.concat(F.lit("<think>why</think> "), "text")).when(n == 1, F.concat(F.lit("<think>"), "text")).when(n == 2, F.concat(F.lit("<think> how\n</thinking>\n"), "text")).when(n == 3, F.concat(F.lit("<thinking>\n <think>"), "text")).otherwise(F.col("text"))
+    return g.table("benchmark").select("item_id", T.after_think(said).alias("answer"), T.thought(said).alias("thought"))
 
 
 @query("s25_titles", "SELECT id, regexp_matches(name, '^[a-zA-Z0-9_-]+$') AS valid FROM edges")
