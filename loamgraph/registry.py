@@ -23,7 +23,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def load() -> None:
-    from .plans import changes, diagnostics, files, legacy, mutations, presets, reads, scalars, search  # noqa: F401
+    from .plans import changes, diagnostics, files, legacy, mutations, presets, reads, review, scalars, search  # noqa: F401
 
 
 load()
