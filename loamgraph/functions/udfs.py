@@ -7,7 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from .text import TYPOGRAPHIC
 
@@ -91,3 +91,25 @@ def patched(text: str | None, old: str | None, new: str | None) -> str | None:
 @F.pandas_udf(StringType())
 def fuzzy_patch(text: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([patched(t, o, n) for t, o, n in zip(text, old, new, strict=True)], dtype=object)
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("keyword", StringType())])))
+def occurrences(text: pd.Series, keywords: pd.Series) -> pd.Series:
+    """Where keywords are to be marked in a text (0-based): of each keyword's hits, found one after the other, the leftmost
+    and then the longest that begin where no earlier one goes on."""
+
+    def one(t, words):
+        hits = []
+        for w in words if t and words is not None else ():
+            at = t.find(w) if w else -1
+            while at >= 0:
+                hits.append((at, -len(w), w))
+                at = t.find(w, at + len(w))
+        out, end = [], 0
+        for at, size, w in sorted(hits):
+            if at >= end:
+                out.append({"start": at, "keyword": w})
+                end = at - size
+        return out
+
+    return pd.Series([one(t, w) for t, w in zip(text, keywords, strict=True)], dtype=object)

@@ -115,3 +115,29 @@ def unbind_keywords(glossary: DataFrame, requests: DataFrame) -> DataFrame:
     got = r.join(first_by(glossary, ["keyword", "node_uuid", "namespace"], "id").select("id", "keyword", "node_uuid", "namespace"), ["keyword", "node_uuid", "namespace"], "left")
     first = F.row_number().over(Window.partitionBy("keyword", "node_uuid", "namespace").orderBy("seq")) == 1
     return got.select("seq", "keyword", "node_uuid", "namespace", F.when(first, F.col("id")).alias("removed"))
+
+
+def remember(paths: DataFrame, edges: DataFrame, memories: DataFrame, requests: DataFrame, clock: str | None = None) -> DataFrame:
+    """``create`` for requests(seq, namespace, domain, parent_path, title, content, priority, disclosure, time): a child needs
+    a condition to be found by and a plain title; its world time is the one given, else its parent's, else the clock's."""
+    from .mutations import create
+
+    made = create(paths, edges, memories, requests.select("seq", "namespace", "domain", "parent_path", "title", "content", "priority"))
+    up = memories.where("not deprecated").groupBy(F.col("node_uuid").alias("n")).agg(F.max("world_timestamp").alias("parent_time"))
+    got = made.join(requests.select("seq", "parent_path", "title", "disclosure", "time"), "seq").join(up, F.col("parent_uuid") == F.col("n"), "left")
+    below = F.col("parent_path") != ""
+    status = F.when(below & (F.trim(F.coalesce("disclosure", F.lit(""))) == ""), "no condition").when(F.col("title").isNotNull() & ~F.col("title").rlike(T.TITLE), "bad title").otherwise(F.col("status"))
+    time = F.coalesce("time", F.when(below, F.col("parent_time")), F.lit(clock))
+    return got.select("seq", "namespace", "domain", "path", "parent_uuid", "name", "content", "priority", "disclosure", time.alias("world_timestamp"), status.alias("status"))
+
+
+def merge(star: DataFrame, glossary: DataFrame, requests: DataFrame) -> DataFrame:
+    """Per requests(target, namespace, domain, path), one row a source: how many sources there are and how many are found,
+    the distinct keywords that move to the target, and a status: ok, too few, or missing. Sources of a merge that is ok
+    lose their paths."""
+    s = star.select("namespace", "domain", "path", "node_uuid").distinct()
+    got = requests.join(s, ["namespace", "domain", "path"], "left")
+    words = glossary.groupBy("node_uuid").agg(F.collect_set("keyword").alias("words"))
+    got = got.join(words, "node_uuid", "left")
+    per = got.groupBy("target").agg(F.count("*").alias("sources"), F.count("node_uuid").alias("found"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("words", F.array().cast("array<string>")))))), ",").alias("keywords"))
+    return per.withColumn("status", F.when(F.col("sources") < 2, "too few").when(F.col("found") < F.col("sources"), "missing").otherwise("ok"))

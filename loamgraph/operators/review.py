@@ -6,7 +6,7 @@ is their own id; for memories was_active and is_active tell the versions' states
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -91,3 +91,66 @@ def approve(rows: DataFrame, edges: DataFrame, asked: DataFrame, head: int | Non
     pending = at.agg(F.count(F.when(F.col("hit").isNull(), 1)).alias("pending"))
     pool = F.when(F.col("hit").isNull(), "pending").when(F.col("pending") == 0, "committed").otherwise("approved")
     return at.join(F.broadcast(pending)).select("row_key", "node", pool.alias("pool"), F.when(pool == "committed", F.lit((head or 0) + 1)).cast("long").alias("revision_id"))
+
+
+def net_zero(rows: DataFrame) -> DataFrame:
+    """rows without what came to nothing: rows created and deleted again (made and gone), and with any of these also new
+    nodes that no remaining path leads to, their new versions and keywords, and new edges without a remaining path."""
+    nil = F.col("made") & F.col("gone")
+    some = rows.agg(F.coalesce(F.bool_or(nil), F.lit(False)).alias("some"))
+    alive = rows.where(~nil)
+    ways = alive.where("tbl = 'paths'")
+    ends = alive.where("tbl = 'edges'").select("edge_id", F.col("node_uuid").alias("child"))
+    reached = ways.join(ends, "edge_id").select(F.col("child").alias("n")).unionAll(ways.where("node_uuid is not null").select("node_uuid")).distinct().withColumn("reached", F.lit(True))
+    created = rows.where("tbl = 'nodes' and made").select(F.col("node_uuid").alias("c")).distinct().withColumn("created", F.lit(True))
+    held = ways.select(F.col("edge_id").alias("e")).distinct().withColumn("held", F.lit(True))
+    got = rows.join(reached, F.col("node_uuid") == F.col("n"), "left").join(created, F.col("node_uuid") == F.col("c"), "left").join(held, F.col("edge_id") == F.col("e"), "left").join(F.broadcast(some))
+    lost = F.when(F.col("tbl") == "nodes", F.col("reached").isNull()).when(F.col("tbl").isin("memories", "glossary_keywords"), F.col("created").isNotNull() & F.col("reached").isNull()).when(F.col("tbl") == "edges", F.col("held").isNull()).otherwise(False)
+    return got.where(~(F.col("some") & (nil | (F.col("made") & lost)))).select(rows.columns)
+
+
+def difference(rows: DataFrame, edges: DataFrame, memories: DataFrame) -> DataFrame:
+    """Per group: the content before and after. Each is the version that the change set names; where it names none, the
+    live one, unless the node or a version was created (before) or deleted (after) in the change set."""
+    at = anchors(rows, edges).where("node is not null")
+    mine = rows.withColumn("memory_id", F.when(F.col("tbl") == "memories", F.regexp_extract("row_key", r"^memories:(-?\d+)$", 1).cast("long"))).join(at, "row_key")
+    is_, own = lambda t: F.col("tbl") == t, F.col("node_uuid") == F.col("node")
+    per = mine.groupBy("node").agg(
+        F.max(F.when(is_("memories") & F.col("was_active"), F.col("memory_id"))).alias("b_id"), F.max(F.when(is_("memories") & ~F.col("gone") & F.col("is_active"), F.col("memory_id"))).alias("a_id"),
+        F.bool_or((is_("nodes") | is_("memories")) & own & F.col("made")).alias("born"), F.bool_or((is_("nodes") | is_("memories")) & own & F.col("gone")).alias("died"),
+    )
+    live = memories.where("not deprecated").groupBy(F.col("node_uuid").alias("n")).agg(F.max("content").alias("live"))
+    text = lambda name: memories.select(F.col("id").alias(f"{name}_id"), F.col("content").alias(name))
+    got = per.join(text("b"), "b_id", "left").join(text("a"), "a_id", "left").join(live, F.col("node") == F.col("n"), "left")
+    return got.select(F.col("node").alias("node_uuid"), F.when(F.col("b_id").isNotNull(), F.col("b")).when(~F.col("born"), F.col("live")).alias("before"), F.when(F.col("a_id").isNotNull(), F.col("a")).when(~F.col("died"), F.col("live")).alias("after"))
+
+
+def rollback(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, step, row_key, action): what undoes each group, in order. A created node goes with all it has, and nothing
+    else of its group is needed; else created paths go, the deepest first, deleted ones return, the highest first, then
+    the version that was active and the deleted keywords return and created keywords go."""
+    mine = rows.join(anchors(rows, edges).where("node is not null"), "row_key")
+    fresh = mine.where("tbl = 'nodes' and made").select("node").distinct().withColumn("fresh", F.lit(True))
+    mine = mine.join(fresh, "node", "left")
+    deep = F.size(F.split("path", "/"))
+    path, word = F.col("tbl") == "paths", F.col("tbl") == "glossary_keywords"
+    action = (
+        F.when(F.col("fresh"), F.when((F.col("tbl") == "nodes") & F.col("made"), F.struct(F.lit("delete node").alias("action"), F.lit(0).alias("k"), F.lit(0).alias("d"))))
+        .when(path & F.col("made"), F.struct(F.lit("remove path").alias("action"), F.lit(1).alias("k"), (-deep).alias("d"))).when(path & F.col("gone"), F.struct(F.lit("restore path").alias("action"), F.lit(2).alias("k"), deep.alias("d")))
+        .when((F.col("tbl") == "memories") & F.col("was_active"), F.struct(F.lit("restore version").alias("action"), F.lit(3).alias("k"), F.lit(0).alias("d")))
+        .when(word & F.col("made"), F.struct(F.lit("unbind").alias("action"), F.lit(4).alias("k"), F.lit(0).alias("d"))).when(word & F.col("gone"), F.struct(F.lit("bind").alias("action"), F.lit(4).alias("k"), F.lit(0).alias("d")))
+    )
+    got = mine.withColumn("x", action).where("x is not null")
+    step = F.row_number().over(Window.partitionBy("node").orderBy("x.k", "x.d", "row_key"))
+    return got.select("node", step.cast("long").alias("step"), "row_key", "x.action")
+
+
+def checkout(revisions: DataFrame, writes: DataFrame, head: DataFrame) -> DataFrame:
+    """(target, row_key, before): for each revision at or above head(origin), the images that going back to it restores: of
+    all revisions below it up to the head, each key's before-image nearest the head. writes(id, row_key, before)."""
+    up = C.ancestors(revisions, head)
+    undone = writes.join(up.select("id", "depth"), "id")
+    targets = up.select(F.col("id").alias("target"), F.col("depth").alias("at"))
+    # the nearest image of a key to the head is the same for all targets beyond it: one row per key, then the targets
+    first = undone.groupBy("row_key").agg(F.min(F.struct("depth", "before")).alias("x"))
+    return targets.join(first, F.col("x.depth") < F.col("at")).select("target", "row_key", F.col("x.before").alias("before"))

@@ -55,12 +55,13 @@ def postings(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame
     return posts, split.groupBy(key).agg(F.sum(F.size("tokens")).alias("size"))
 
 
-def search(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc_id", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc_id", index: tuple[DataFrame, DataFrame] | None = None, each: tuple[str, ...] = ()) -> DataFrame:
     """query_id, rank, pass, node_uuid, key and score of each query's best documents.
 
     Documents with all tokens come first (pass 0), those with some follow (pass 1); inside a pass by score, priority,
     length of the path and key; a node counts once. Corpus figures are over all documents, whatever the query.
-    ``index``: what ``postings`` gives, kept as tables; without it the documents are indexed here.
+    ``index``: what ``postings`` gives, kept as tables; without it the documents are indexed here. ``each``: columns of docs
+    whose values are ranked apart.
     """
     posts, sizes = index or postings(docs, key)
     asked = queries.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(T.search_tokens(F.col("query")), lambda t: index_tokens(t))))).alias("term"))
@@ -75,12 +76,12 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("avg_size")))
     per = scored.withColumn("part", part).join(asked, "term").groupBy("query_id", key).agg(F.count("*").alias("found"), F.round(-F.sum("part"), 6).alias("score"))
     full = per.join(many, "query_id").withColumn("pass", (F.col("found") < F.col("asked")).cast("int"))
-    at = full.join(docs.select(key, "node_uuid", "priority", F.length("path").alias("path_length")), key)
+    at = full.join(docs.select(key, "node_uuid", "priority", F.length("path").alias("path_length"), *each), key)
     order = ("pass", "score", "priority", "path_length", key)
-    one = Window.partitionBy("query_id", "node_uuid").orderBy(*order)
+    one = Window.partitionBy("query_id", *each, "node_uuid").orderBy(*order)
     best = at.withColumn("k", F.row_number().over(one)).where("k = 1")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return ranked.where(F.col("rank") <= limit).select("query_id", "rank", "pass", "node_uuid", key, "score")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", *each).orderBy(*order)))
+    return ranked.where(F.col("rank") <= limit).select("query_id", *each, "rank", "pass", "node_uuid", key, "score")
 
 
 def hit_snippet(text: Column, query: Column, around: int = 30, head: int = 80) -> Column:

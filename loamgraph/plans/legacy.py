@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..registry import query
 
 LEGACY = """, ent AS (SELECT 'c-' || c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'faction' ELSE 'character' END AS kind, c_custkey % 11 = 0 AS hidden FROM customer),
@@ -96,3 +97,37 @@ def i13(g):
     e, r, s = entities(g), links(g), states(g).select("entity_id", "o_orderkey", F.col("id").alias("state"))
     chapters = r.join(s, (F.col("a") == F.col("entity_id")) & (F.col("last") == F.col("o_orderkey")))
     return e.select(F.col("id").alias("path"), F.col("id").alias("node")).unionAll(r.select(F.concat_ws("/", "a", "b"), "edge_id")).unionAll(chapters.select(F.concat_ws("/", "a", "b", "state"), "state"))
+
+
+_REQ = """, rq AS (SELECT id AS entity_id, kind, 'old' AS why FROM ent UNION ALL SELECT 'new-' || s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'planet' ELSE 'location' END, 'new' FROM supplier UNION ALL SELECT 'a__' || s_suppkey, 'character', 'bad' FROM supplier UNION ALL VALUES ('states', 'character', 'bad'))
+"""
+
+
+@query("n1_create_entity", LEGACY + _REQ + "SELECT entity_id, CASE WHEN why = 'bad' THEN 'bad id' WHEN kind NOT IN ('character', 'location', 'faction', 'event', 'item') THEN 'bad type' WHEN entity_id IN (SELECT id FROM ent) THEN 'exists' ELSE 'ok' END AS status, CASE WHEN why = 'new' AND kind <> 'planet' THEN entity_id || '_v1' END AS state_id FROM rq")
+def n1(g):
+    """New entities with their first version, or what forbids them: a reserved or ambiguous id, an unknown type, a known id."""
+    s = F.col("s_suppkey")
+    t = g.table("supplier")
+    tag = lambda x: F.concat(F.lit(x), s.cast("string"))
+    req = entities(g).select(F.col("id").alias("entity_id"), "kind").unionAll(t.select(tag("new-"), F.when(s % 4 == 0, "planet").otherwise("location"))).unionAll(t.select(tag("a__"), F.lit("character")))
+    req = req.unionAll(g.spark.createDataFrame([("states", "character")], req.schema))
+    known = entities(g).select(F.col("id").alias("entity_id"), F.lit(True).alias("known"))
+    status = F.when(F.col("entity_id").contains("__") | (F.col("entity_id") == "states"), "bad id").when(~F.col("kind").isin("character", "location", "faction", "event", "item"), "bad type").when(F.col("known"), "exists").otherwise("ok")
+    got = req.join(known, "entity_id", "left").withColumn("status", status)
+    return got.select("entity_id", "status", F.when(F.col("status") == "ok", F.concat("entity_id", F.lit("_v1"))).alias("state_id"))
+
+
+@query("n7_direct_edges", LEGACY + """, rq AS (SELECT a, b FROM rel WHERE last % 3 = 0 UNION SELECT a, a FROM rel UNION SELECT a, 'nobody' FROM rel UNION SELECT b.id, a.id FROM ent a JOIN ent b ON a.id <> b.id AND a.kind = 'faction' AND a.id = 'c-' || CAST(substr(b.id, 3) AS BIGINT) // 2),
+nv AS (SELECT DISTINCT entity_id FROM sts UNION SELECT DISTINCT b FROM rel)
+SELECT a, b, replace(a, '__', '_') || '__' || replace(b, '__', '_') AS edge_id, CASE WHEN a = b THEN 'self' WHEN a NOT IN (SELECT entity_id FROM nv) OR b NOT IN (SELECT entity_id FROM nv) THEN 'no entity' WHEN (a, b) IN (SELECT (a, b) FROM rel) THEN 'exists' ELSE 'ok' END AS status FROM rq""")
+def n7(g):
+    """Direct edges asked for between entities with a current version: one a pair, none to the entity itself."""
+    r = links(g)
+    f = entities(g).where("kind = 'faction'").select(F.col("id").alias("f"))
+    half = entities(g).select("id", F.concat(F.lit("c-"), F.floor(F.substring("id", 3, 20).cast("long") / 2).cast("string")).alias("f")).join(f, "f").where("id <> f").select(F.col("id").alias("a"), F.col("f").alias("b"))
+    req = r.where("last % 3 = 0").select("a", "b").unionAll(r.select("a", F.col("a"))).unionAll(r.select("a", F.lit("nobody"))).unionAll(half).distinct()
+    now = states(g).select("entity_id").unionAll(r.select("b")).distinct()
+    has = lambda c: now.select(F.col("entity_id").alias(c), F.lit(True).alias(f"has_{c}"))
+    got = req.join(has("a"), "a", "left").join(has("b"), "b", "left").join(r.select("a", "b", F.lit(True).alias("there")), ["a", "b"], "left")
+    status = F.when(F.col("a") == F.col("b"), "self").when(F.col("has_a").isNull() | F.col("has_b").isNull(), "no entity").when(F.col("there"), "exists").otherwise("ok")
+    return got.select("a", "b", T.edge_id(F.col("a"), F.col("b")).alias("edge_id"), status.alias("status"))

@@ -209,3 +209,122 @@ def v1(g):
     got = g.star.join(words, F.col("node_uuid") == F.col("n"), "left").join(kids, ["namespace", "domain", "path"], "left")
     view = F.concat(F.lit("# ["), "domain", F.lit("://"), "path", F.lit("]"), note("world_timestamp", "发生于"), note("disclosure", "想起条件"), note("words", "标签"), F.lit("\n\n---\n\n"), "content", F.lit("\n"), below)
     return got.select("namespace", "domain", "path", view.alias("view"))
+
+
+#: Urgent orders are created in the change set; the paths of some of them were deleted again.
+_ZERO = """, zr AS (SELECT *, edge_id % 4 = 0 AS nil FROM paths WHERE domain = 'urgent'),
+zz(row_key, tbl, node_uuid, edge_id, nil, made) AS (SELECT 'paths:' || path, 'paths', node_uuid, edge_id, nil, true FROM zr UNION ALL SELECT 'edges:' || edge_id, 'edges', node_uuid, edge_id, false, true FROM zr
+ UNION ALL SELECT 'nodes:' || node_uuid, 'nodes', node_uuid, NULL, false, edge_id % 3 <> 0 FROM zr UNION ALL SELECT 'memories:' || a.id, 'memories', a.node_uuid, NULL, false, true FROM active a JOIN zr ON zr.node_uuid = a.node_uuid),
+rc AS (SELECT DISTINCT node_uuid FROM zz WHERE tbl = 'paths' AND NOT nil), nw AS (SELECT node_uuid FROM zz WHERE tbl = 'nodes' AND made)
+"""
+
+
+def zeroed(g):
+    p = g.paths.where("domain = 'urgent'").select("node_uuid", "edge_id", "path", (F.col("edge_id") % 4 == 0).alias("nil"))
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, tbl, key, edge, made, gone: df.select(F.concat(F.lit(f"{tbl}:"), key).alias("row_key"), F.lit(tbl).alias("tbl"), "node_uuid", edge.alias("edge_id"), none("string").alias("parent_uuid"), none("string").alias("namespace"), none("string").alias("domain"), none("string").alias("path"), made.alias("made"), gone.alias("gone"), none("boolean").alias("was_active"), none("boolean").alias("is_active"))
+    yes, no = F.lit(True), F.lit(False)
+    m = g.active.join(p.select("node_uuid"), "node_uuid", "left_semi")
+    out = row(p, "paths", F.col("path"), F.col("edge_id"), yes, F.col("nil")).unionByName(row(p, "edges", F.col("edge_id").cast("string"), F.col("edge_id"), yes, no))
+    return out.unionByName(row(p, "nodes", F.col("node_uuid"), none("long"), F.col("edge_id") % 3 != 0, no)).unionByName(row(m, "memories", F.col("id").cast("string"), none("long"), yes, no))
+
+
+@query("c4_no_op_rows", _ZERO + """SELECT row_key, tbl FROM zz WHERE NOT nil AND NOT (made AND CASE tbl WHEN 'nodes' THEN node_uuid NOT IN (SELECT node_uuid FROM rc)
+ WHEN 'memories' THEN node_uuid IN (SELECT node_uuid FROM nw) AND node_uuid NOT IN (SELECT node_uuid FROM rc) WHEN 'edges' THEN edge_id NOT IN (SELECT edge_id FROM zz WHERE tbl = 'paths' AND NOT nil) ELSE false END)""")
+def c4(g):
+    return V.net_zero(zeroed(g)).select("row_key", "tbl")
+
+
+@query("c7_old_keys", "SELECT 'paths:' || coalesce(nullif(namespace, 'ns_building'), '') || '|' || domain || '|' || path AS row_key, coalesce(nullif(namespace, 'ns_building'), '') AS namespace FROM paths")
+def c7(g):
+    """Rows of old change sets without a namespace get the empty one, and their keys with it."""
+    old = g.paths.withColumn("namespace", F.when(F.col("namespace") != "ns_building", F.col("namespace")))
+    fixed = old.withColumn("namespace", F.coalesce("namespace", F.lit("")))
+    return fixed.select(F.concat(F.lit("paths:"), F.concat_ws("|", "namespace", "domain", "path")).alias("row_key"), "namespace")
+
+
+@query("c13_difference", CHANGED + """, mi AS (SELECT an.node, ch.*, CASE WHEN tbl = 'memories' THEN CAST(substr(row_key, 10) AS BIGINT) END AS mid FROM ch JOIN an USING (row_key) WHERE an.node IS NOT NULL),
+pe AS (SELECT node, max(CASE WHEN tbl = 'memories' AND was_active THEN mid END) AS b, max(CASE WHEN tbl = 'memories' AND NOT gone AND is_active THEN mid END) AS a, bool_or(tbl IN ('nodes', 'memories') AND node_uuid = node AND made) AS born, bool_or(tbl IN ('nodes', 'memories') AND node_uuid = node AND gone) AS died FROM mi GROUP BY 1)
+SELECT pe.node AS node_uuid, CASE WHEN b IS NOT NULL THEN mb.content WHEN NOT coalesce(born, false) THEN lv.content END AS before, CASE WHEN a IS NOT NULL THEN ma.content WHEN NOT coalesce(died, false) THEN lv.content END AS after
+FROM pe LEFT JOIN memories mb ON mb.id = pe.b LEFT JOIN memories ma ON ma.id = pe.a LEFT JOIN active lv ON lv.node_uuid = pe.node""")
+def c13(g):
+    return V.difference(changed(g), g.edges, g.memories)
+
+
+@query("c14_rollback", CHANGED + """, mi AS (SELECT an.node, ch.*, len(string_split(path, '/')) AS deep, bool_or(tbl = 'nodes' AND made) OVER (PARTITION BY an.node) AS fresh FROM ch JOIN an USING (row_key) WHERE an.node IS NOT NULL),
+ac AS (SELECT *, CASE WHEN tbl = 'paths' AND made THEN 1 WHEN tbl = 'paths' AND gone THEN 2 WHEN tbl = 'memories' AND was_active THEN 3 END AS k FROM mi WHERE NOT fresh)
+SELECT node, row_number() OVER (PARTITION BY node ORDER BY k, CASE k WHEN 1 THEN -deep WHEN 2 THEN deep ELSE 0 END, row_key) AS step, row_key, CASE k WHEN 1 THEN 'remove path' WHEN 2 THEN 'restore path' ELSE 'restore version' END AS action FROM ac WHERE k IS NOT NULL""")
+def c14(g):
+    return V.rollback(changed(g), g.edges)
+
+
+@query("c18_checkout_images", """, rev AS (SELECT DISTINCT o_orderkey AS id, o_custkey, o_orderdate FROM orders WHERE o_orderkey > 0), pa AS (SELECT id, CASE WHEN id > 1 THEN (SELECT max(b.id) FROM rev b WHERE b.id <= a.id // 2) END AS parent_id FROM rev a),
+hd AS (SELECT max(id) AS h FROM rev), up AS (SELECT h AS id, 0 AS depth FROM hd UNION ALL SELECT pa.parent_id, up.depth + 1 FROM up JOIN pa ON pa.id = up.id WHERE pa.parent_id IS NOT NULL),
+un AS (SELECT 'c-' || o_custkey % 5 AS row_key, arg_min('at ' || rev.id, depth) AS before, min(depth) AS d FROM up JOIN rev ON rev.id = up.id GROUP BY 1)
+SELECT up.id AS target, row_key, before FROM up JOIN un ON un.d < up.depth""")
+def c18(g):
+    """Going back from the newest revision to each one above it; a revision's parent is the last one of at most half its number."""
+    from pyspark.sql import Window
+
+    o = g.orders.where("o_orderkey > 0").select(F.col("o_orderkey").alias("id"), "o_custkey").distinct()
+    half = o.select((F.floor(F.col("id") / 2)).alias("k"), "id").unionAll(o.select(F.col("id").alias("k"), F.lit(None).cast("long")))
+    w = Window.partitionBy(F.floor(F.log2(F.greatest(F.col("k"), F.lit(1))))).orderBy("k", F.col("id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = half.withColumn("mine", F.max(F.when(F.col("id").isNull(), F.col("k"))).over(w))
+    tops = o.groupBy(F.floor(F.log2(F.greatest(F.col("id"), F.lit(1)))).alias("band")).agg(F.max("id").alias("top"))
+    last = last.where("id is not null").withColumn("band", F.floor(F.log2(F.greatest(F.col("k"), F.lit(1)))))
+    below = last.where("mine is null").join(tops.withColumnRenamed("band", "b"), F.col("b") < F.col("band")).groupBy("id").agg(F.max("top").alias("mine"))
+    parent = last.where("mine is not null").select("id", "mine").unionByName(below.select("id", "mine")).where("id > 1 and mine < id")
+    revisions = o.select("id").join(parent, "id", "left").select("id", F.col("mine").alias("parent_id"))
+    writes = o.select("id", F.concat(F.lit("c-"), (F.col("o_custkey") % 5).cast("string")).alias("row_key"), F.concat(F.lit("at "), F.col("id").cast("string")).alias("before"))
+    return V.checkout(revisions, writes, o.agg(F.max("id").alias("origin")))
+
+
+@query("m21_merge", """, rq AS (SELECT 'core://merged/' || (o_custkey % 97) AS target, p.namespace, p.domain, CASE WHEN p.edge_id % 50 = 7 THEN path || '_gone' ELSE path END AS path FROM paths p JOIN ord ON p.edge_id = 4000000000 + o_orderkey WHERE o_orderkey % 3 = 0),
+g AS (SELECT rq.target, s.node_uuid FROM rq LEFT JOIN (SELECT DISTINCT namespace, domain, path, node_uuid FROM star) s USING (namespace, domain, path))
+SELECT target, count(*) AS sources, count(node_uuid) AS found, '' AS keywords, CASE WHEN count(*) < 2 THEN 'too few' WHEN count(node_uuid) < count(*) THEN 'missing' ELSE 'ok' END AS status FROM g GROUP BY 1""")
+def m21(g):
+    o = g.orders.where("o_orderkey % 3 = 0").select((F.lit(4_000_000_000) + F.col("o_orderkey")).alias("edge_id"), F.concat(F.lit("core://merged/"), (F.col("o_custkey") % 97).cast("string")).alias("target"))
+    req = g.paths.join(o, "edge_id").select("target", "namespace", "domain", F.when(F.col("edge_id") % 50 == 7, F.concat("path", F.lit("_gone"))).otherwise(F.col("path")).alias("path"))
+    return X.merge(g.star, g.glossary, req)
+
+
+@query("m24_remember", """, rq AS (SELECT edge_id AS seq, namespace, domain, path AS parent_path, CASE edge_id % 5 WHEN 0 THEN 'bad title' ELSE 'child' END AS title, CASE WHEN edge_id % 7 = 0 THEN ' ' ELSE 'when asked' END AS disclosure, CASE WHEN edge_id % 11 = 0 THEN '2024-05-05' END AS time FROM paths WHERE domain = 'urgent'
+ UNION ALL SELECT -1, '', 'core', '', 'topmost', NULL, NULL)
+SELECT seq, r.namespace, r.domain, CASE WHEN parent_path = '' THEN title ELSE parent_path || '/' || title END AS path, CASE WHEN parent_path = '' THEN 'ROOT' ELSE p.node_uuid END AS parent_uuid, title AS name, 'text' AS content, 5 AS priority, disclosure,
+ coalesce(time, CASE WHEN parent_path <> '' THEN a.world_timestamp END, '2000-01-01') AS world_timestamp, CASE WHEN parent_path <> '' AND trim(coalesce(disclosure, '')) = '' THEN 'no condition' WHEN title = 'bad title' THEN 'bad title' ELSE 'ok' END AS status
+FROM rq r LEFT JOIN paths p ON p.namespace = r.namespace AND p.domain = r.domain AND p.path = r.parent_path LEFT JOIN active a ON a.node_uuid = p.node_uuid""")
+def m24(g):
+    e = F.col("edge_id")
+    text = lambda x: F.lit(x).cast("string")
+    req = g.paths.where("domain = 'urgent'").select(e.alias("seq"), "namespace", "domain", F.col("path").alias("parent_path"), F.when(e % 5 == 0, "bad title").otherwise("child").alias("title"), text("text").alias("content"), F.lit(5).alias("priority"), F.when(e % 7 == 0, " ").otherwise("when asked").alias("disclosure"), F.when(e % 11 == 0, "2024-05-05").alias("time"))
+    top = g.spark.createDataFrame([(-1, "", "core", "", "topmost", "text", 5, None, None)], "seq long, namespace string, domain string, parent_path string, title string, content string, priority int, disclosure string, time string")
+    return X.remember(g.paths, g.edges, g.memories, req.unionAll(top), "2000-01-01")
+
+
+@query("w13_orphans", "SELECT id, node_uuid, row_number() OVER (PARTITION BY node_uuid ORDER BY id) AS k FROM memories WHERE deprecated")
+def w13(g):
+    from pyspark.sql import Window
+
+    return g.memories.where("deprecated").select("id", "node_uuid", F.row_number().over(Window.partitionBy("node_uuid").orderBy("id")).cast("long").alias("k"))
+
+
+@query("v9_boot_lines", """, l AS (SELECT parent_uuid AS block, domain || '://' || path AS uri FROM star WHERE namespace = ''), f AS (SELECT domain || '://' || path AS uri FROM paths WHERE node_uuid LIKE 'c-%1' OR node_uuid LIKE 'n-%') SELECT block, '- ' || uri AS line FROM l WHERE uri NOT IN (SELECT uri FROM f)""")
+def v9(g):
+    """Entries of a start page whose addresses are not shown in full on it."""
+    from ..functions import text as T
+
+    uri = T.uri_of(F.col("domain"), F.col("path")).alias("uri")
+    full = g.paths.where("node_uuid like 'c-%1' or node_uuid like 'n-%'").select(uri)
+    lines = g.star.where("namespace = ''").select(F.col("parent_uuid").alias("block"), uri)
+    return lines.join(full, "uri", "left_anti").select("block", F.concat(F.lit("- "), "uri").alias("line"))
+
+
+@query("g8_occurrences")
+def g8(g):
+    """Where each document's glossary keywords are marked: leftmost, then longest, without overlaps."""
+    from ..functions.udfs import occurrences
+    from ..operators import search as S
+
+    words = S.glossary_hits(g.documents, g.glossary).groupBy("doc_id").agg(F.array_sort(F.collect_set("keyword")).alias("words"))
+    d = g.documents.select("doc_id", "content").join(words, "doc_id")
+    return d.select("doc_id", F.explode(occurrences("content", "words")).alias("x")).select("doc_id", F.col("x.start").alias("start"), F.col("x.keyword").alias("keyword"))

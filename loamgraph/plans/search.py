@@ -50,6 +50,13 @@ def f10(g):
     return S.search(g.documents, asked(g), 100, index=(g.postings, g.sizes))
 
 
+@query("q22_search_everywhere", F6.replace("PARTITION BY sc.query_id ORDER BY", "PARTITION BY sc.query_id, se.namespace ORDER BY").replace("se.node_uuid, CAST", "se.node_uuid, se.namespace, se.uri, CAST") + "SELECT query_id, namespace, CAST(rank AS INT) AS rank, doc_id FROM rk WHERE rank <= 10 AND starts_with(uri, 'src1://')")
+def q22(g):
+    """The best ten of every namespace, of which those of one domain are kept."""
+    got = S.search(g.documents, asked(g), 10, index=(g.postings, g.sizes), each=("namespace",))
+    return got.join(g.documents.where(F.col("uri").startswith("src1://")).select("doc_id"), "doc_id").select("query_id", "namespace", "rank", "doc_id")
+
+
 @query("f1_tokens", f"SELECT item_id, unnest({_F1.format('text')}) AS token FROM benchmark")
 def f1(g):
     return g.table("benchmark").select("item_id", F.explode(T.search_tokens(F.col("text"))).alias("token"))

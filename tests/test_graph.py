@@ -194,3 +194,30 @@ def test_streams_equal_batches(spark, sf, tmp_path):
         finally:
             q.stop()
         assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, batch().collect()))
+
+
+def test_occurrences_against_brute_force(spark):
+    """Leftmost, then longest, no overlaps; each keyword's own hits are found one after the other."""
+    import random
+
+    from loamgraph.functions.udfs import occurrences
+
+    r = random.Random(3)
+    rows = [("".join(r.choice("ab") for _ in range(r.randint(0, 30))), sorted({"".join(r.choice("ab") for _ in range(r.randint(1, 4))) for _ in range(4)})) for _ in range(60)] + [("", ["a"]), (None, ["a"]), ("aa", None)]
+    df = spark.createDataFrame(rows, "t string, k array<string>")
+    for x in df.select("t", "k", occurrences("t", "k").alias("got")).collect():
+        hits = []
+        for w in x.k or ():
+            at = 0
+            while x.t and at + len(w) <= len(x.t):
+                if x.t[at : at + len(w)] == w:
+                    hits.append((at, w))
+                    at += len(w)
+                else:
+                    at += 1
+        want, end = [], 0
+        for at, w in sorted(hits, key=lambda h: (h[0], -len(h[1]))):
+            if at >= end:
+                want.append((at, w))
+                end = at + len(w)
+        assert [(g.start, g.keyword) for g in x.got] == want
