@@ -30,10 +30,14 @@ from .common import table, written
 
 LENGTH, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces per partition, partitions whose loose bins are pooled, entries of the tables of chunks and of letter runs.
-ITEMS, POOL, ENTRIES, RUNS = 4096, 32, 400_000, 600_000
+#: Pieces per partition, partitions whose loose bins are pooled, entries of the table of chunks.
+ITEMS, POOL, ENTRIES = 4096, 32, 600_000
 _ASCII_GAPS = re.compile(r"[ \t\n\r\f\v]+")
-_TAIL = re.compile(r"[^\W\d_]+(?=([!-&(-/:-@\[-`{-~]*)\Z)")
+#: ASCII signs but the apostrophe, which may begin a unit of letters; their runs at the end of a chunk that follow a
+#: letter or digit; separators of text.split() that the tokenizer does not take for white space.
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_TAILS = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[^\W_].)[!-&(-/:-@\[-`{-~]*(?!\S)")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def default_tokenizer() -> str:
@@ -43,12 +47,13 @@ def default_tokenizer() -> str:
 
 
 class Chunks:
-    """Ids of texts, as little-endian 32-bit bytes, through tables of chunks and of their letter runs."""
+    """Ids of texts, as little-endian 32-bit bytes, through a table of chunks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.of, self.known, self.cores = Tokenizer.from_file(path), {}, {}
+        self.of, self.known = Tokenizer.from_file(path), {}
+        self.added = [t.content for t in self.of.get_added_tokens_decoder().values()]
         # bytes as the vocabulary spells them: printable ones as themselves, the others from 256 on, in order
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.spell = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
@@ -58,7 +63,7 @@ class Chunks:
         probes = ["Hello", "hELLO,", "don't", "ÀÉß", "ﬁn", "x--y", "abc!?", "naïve.", "ŒUVRE", "end...", "Ab-", "zzz"]
         self.learn(probes)
         self.quick = all(self.known[w] == x for w, x in zip(probes, self.encode(probes), strict=True))
-        self.known, self.cores = {}, {}
+        self.known = {}
 
     def encode(self, words: list[str]) -> list[bytes]:
         out = []
@@ -67,29 +72,44 @@ class Chunks:
         return out
 
     def learn(self, new: list[str]) -> None:
-        """Letters followed by ASCII signs are two tokens' worth of text; the letters are looked up without case."""
-        plain, split = [], []
+        """A run of letters, looked up without case, or of signs is one unit of the vocabulary's merges, with no need to
+        normalise or split it; letters followed by signs are two. All else is left to the tokenizer."""
+        plain, split, units = [], [], {}
         for w in new:
-            m = _TAIL.match(w) if self.quick and (w.isascii() or max(w) < "ƀ") else None
-            if m and (low := m[0].lower()).isalpha() and len(low) == len(m[0]):
-                split.append((w, low, m[1]))
+            if self.quick and (not (k := w.rstrip(_SIGNS)) or (k.isalpha() and (w.isascii() or max(w) < "ƀ") and len(low := k.lower()) == len(k))):
+                if not k or w == low:
+                    units[w] = None
+                else:
+                    split.append((w, low, w[len(k) :]))
             else:
                 plain.append(w)
-        # a run of small letters or of signs is one unit of the vocabulary's merges: no need to normalise or split it
-        merge = self.of.model.tokenize
-        for part in {x for _, a, b in split for x in (a, b) if x and x not in self.cores}:
-            spelled = part if part.isascii() else "".join(map(self.spell.__getitem__, part.encode()))
-            self.cores[part] = array("I", [t.id for t in merge(spelled)]).tobytes()
-        self.known.update(zip(plain, self.encode(plain), strict=True))
-        self.known.update((w, self.cores[a] + self.cores[b] if b else self.cores[a]) for w, a, b in split)
+        for _, a, b in split:
+            units[a] = units[b] = None
+        merge, known = self.of.model.tokenize, self.known
+        for part in units:
+            if part and part not in known:
+                spelled = part if part.isascii() else "".join(map(self.spell.__getitem__, part.encode()))
+                known[part] = array("I", [t.id for t in merge(spelled)]).tobytes()
+        known.update(zip(plain, self.encode(plain), strict=True))
+        known.update((w, known[a] + known[b] if b else known[a]) for w, a, b in split)
+
+    def words(self, text: str) -> list[str]:
+        """The chunks to look up. In plain Latin text case goes, and signs at a chunk's end are chunks of their own, so that
+        there are few different ones; a chunk that ends otherwise keeps them."""
+        if any(c in text for c in _ODD):
+            return _ASCII_GAPS.split(text.strip(" \t\n\r\f\v"))
+        if self.quick and not any(x in text for x in self.added):
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text.split()
+            return _TAILS.sub(r" \g<0>", text.lower()).split()
+        return text.split()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > ENTRIES:
             self.known = {}
-        if len(self.cores) > RUNS:
-            self.cores = {}
-        odd = ("\x1c", "\x1d", "\x1e", "\x1f")
-        split = [_ASCII_GAPS.split(t.strip(" \t\n\r\f\v")) if any(c in t for c in odd) else t.split() for t in texts]
+        split = [self.words(t) for t in texts]
         new = set()
         for words in split:
             new.update(words)
