@@ -140,18 +140,50 @@ class Extractor:
         self.model = model
 
     def scorer(self):
-        return lambda pages: [self.one(p) for p in pages]
-
-    def odds(self, nodes) -> np.ndarray:
-        """The log-odds of each node, ``NODES`` of them at a time."""
-        columns = Columns(nodes)
-        parts = range(0, len(nodes), NODES)
-        return np.concatenate([self.model.margin(columns.rows(k, min(k + NODES, len(nodes)), self.model.place)) for k in parts])
+        return self.some
+
+    def some(self, pages: list[str]) -> list[str]:
+        """The main texts of pages, whose nodes go through the trees together, about ``NODES`` at a time."""
+        out, held, count = [], [], 0
+        for page in pages:
+            held.append(parse(page))
+            count += len(held[-1])
+            if count >= NODES:
+                out += self.texts(held)
+                held, count = [], 0
+        return out + self.texts(held)
 
     def one(self, page: str) -> str:
-        nodes = parse(page)
-        kept = decode(nodes, self.odds(nodes))
-        return "\n".join(node.parts for node, k in zip(nodes, kept, strict=True) if k and node.parts)
+        return self.some([page])[0]
+
+    def odds(self, parsed) -> np.ndarray:
+        """The log-odds of the pages' nodes, from matrices of at most ``NODES`` rows."""
+        blocks, count, out = [], 0, []
+
+        def through() -> None:
+            if blocks:
+                out.append(self.model.margin(np.concatenate(blocks)))
+                blocks.clear()
+
+        for nodes in parsed:
+            columns = Columns(nodes)
+            for k in range(0, len(nodes), NODES):
+                rows = columns.rows(k, min(k + NODES, len(nodes)), self.model.place)
+                if count + len(rows) > NODES:
+                    through()
+                    count = 0
+                blocks.append(rows)
+                count += len(rows)
+        through()
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def texts(self, parsed) -> list[str]:
+        odds, out, at = self.odds(parsed), [], 0
+        for nodes in parsed:
+            kept = decode(nodes, odds[at : at + len(nodes)])
+            at += len(nodes)
+            out.append("\n".join(node.parts for node, k in zip(nodes, kept, strict=True) if k and node.parts))
+        return out
 
 
 def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
