@@ -141,3 +141,23 @@ def merge(star: DataFrame, glossary: DataFrame, requests: DataFrame) -> DataFram
     got = got.join(words, "node_uuid", "left")
     per = got.groupBy("target").agg(F.count("*").alias("sources"), F.count("node_uuid").alias("found"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("words", F.array().cast("array<string>")))))), ",").alias("keywords"))
     return per.withColumn("status", F.when(F.col("sources") < 2, "too few").when(F.col("found") < F.col("sources"), "missing").otherwise("ok"))
+
+
+def edges_for(edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """The edge of each requests(seq, parent_uuid, child_uuid, name, priority): the one that joins the pair, or a new one,
+    which the first request for the pair names. New ids follow the largest one, in the order of the pairs."""
+    from .mutations import numbered
+
+    there = edges.groupBy("parent_uuid", "child_uuid").agg(F.min("id").alias("id"))
+    there = there.join(edges.select("id", "name", "priority"), "id")
+    fresh = first_by(requests.join(there.select("parent_uuid", "child_uuid"), ["parent_uuid", "child_uuid"], "left_anti"), ["parent_uuid", "child_uuid"], "seq")
+    made = numbered(fresh.select("parent_uuid", "child_uuid", "name", "priority"), edges, "id", "parent_uuid", "child_uuid")
+    cols = ["parent_uuid", "child_uuid", "id", "name", "priority"]
+    every = there.select(*cols, F.lit(False).alias("created")).unionByName(made.select(*cols, F.lit(True).alias("created")))
+    return requests.select("seq", "parent_uuid", "child_uuid").join(every, ["parent_uuid", "child_uuid"]).select("seq", *cols, "created")
+
+
+def pointers(memories: DataFrame, asked: DataFrame) -> DataFrame:
+    """(row_key, before): the versions of asked(node_uuid) as a change set keeps them, by id and state without content."""
+    gone = memories.join(asked.select("node_uuid").distinct(), "node_uuid", "left_semi")
+    return gone.select(F.concat(F.lit("memories:"), F.col("id").cast("string")).alias("row_key"), F.to_json(F.struct("id", "node_uuid", "deprecated", "migrated_to")).alias("before"))

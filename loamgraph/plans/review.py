@@ -328,3 +328,36 @@ def g8(g):
     words = S.glossary_hits(g.documents, g.glossary).groupBy("doc_id").agg(F.array_sort(F.collect_set("keyword")).alias("words"))
     d = g.documents.select("doc_id", "content").join(words, "doc_id")
     return d.select("doc_id", F.explode(occurrences("content", "words")).alias("x")).select("doc_id", F.col("x.start").alias("start"), F.col("x.keyword").alias("keyword"))
+
+
+@query("m14_edges", """, rq AS (SELECT id AS seq, parent_uuid, child_uuid, 'again' AS name, 1 AS priority FROM edges UNION ALL SELECT -id, 'r-1', child_uuid, name, priority FROM edges WHERE child_uuid LIKE 'o-%'),
+th AS (SELECT parent_uuid, child_uuid, arg_min(id, id) AS id, arg_min(name, id) AS name, arg_min(priority, id) AS priority FROM edges GROUP BY ALL),
+fr AS (SELECT parent_uuid, child_uuid, arg_min(name, seq) AS name, arg_min(priority, seq) AS priority FROM rq WHERE (parent_uuid, child_uuid) NOT IN (SELECT (parent_uuid, child_uuid) FROM th) GROUP BY ALL),
+nw AS (SELECT *, (SELECT max(id) FROM edges) + row_number() OVER (ORDER BY parent_uuid, child_uuid) AS id FROM fr)
+SELECT seq, parent_uuid, child_uuid, x.id, x.name, x.priority, created FROM rq JOIN (SELECT parent_uuid, child_uuid, id, name, priority, false AS created FROM th UNION ALL SELECT parent_uuid, child_uuid, id, name, priority, true FROM nw) x USING (parent_uuid, child_uuid)""")
+def m14(g):
+    again = g.edges.select(F.col("id").alias("seq"), "parent_uuid", "child_uuid", F.lit("again").alias("name"), F.lit(1).alias("priority"))
+    more = g.edges.where("child_uuid like 'o-%'").select(-F.col("id"), F.lit("r-1"), "child_uuid", "name", "priority")
+    return X.edges_for(g.edges, again.unionAll(more))
+
+
+@query("c8_pointers", """SELECT 'memories:' || id AS row_key, '{"id":' || id || ',"node_uuid":"' || node_uuid || '","deprecated":' || deprecated || CASE WHEN migrated_to IS NOT NULL THEN ',"migrated_to":' || migrated_to ELSE '' END || '}' AS before FROM memories WHERE node_uuid LIKE 'o-%'""")
+def c8(g):
+    return X.pointers(g.memories, g.nodes.where("uuid like 'o-%'").select(F.col("uuid").alias("node_uuid")))
+
+
+@query("q24_revisions", """, rev AS (SELECT DISTINCT o_orderkey AS id, CASE WHEN o_orderkey > 1 THEN o_orderkey // 2 END AS parent_id FROM orders WHERE o_orderkey > 0), rq AS (SELECT c_custkey AS id FROM customer)
+SELECT rq.id, rev.parent_id, rev.id IS NOT NULL AS known FROM rq LEFT JOIN rev ON rev.id = rq.id""")
+def q24(g):
+    """Revisions by number, with their parents; an unknown number is answered as such."""
+    rev = g.orders.where("o_orderkey > 0").select(F.col("o_orderkey").alias("r"), F.when(F.col("o_orderkey") > 1, F.floor(F.col("o_orderkey") / 2)).alias("parent_id")).distinct()
+    return g.table("customer").select(F.col("c_custkey").alias("id")).join(rev, F.col("id") == F.col("r"), "left").select("id", "parent_id", F.col("r").isNotNull().alias("known"))
+
+
+@query("w9_crowded_first", """, m AS (SELECT parent_uuid, count(DISTINCT child_uuid) AS n FROM edges GROUP BY 1 HAVING count(DISTINCT child_uuid) > 10) SELECT parent_uuid, n, row_number() OVER (ORDER BY n DESC, parent_uuid) AS place FROM m""")
+def w9(g):
+    """Crowded parents in the order of a report: the fullest first. Places are counted over ranges, not in one task."""
+    from ..operators.mutations import numbered
+
+    many = g.edges.groupBy("parent_uuid").agg(F.countDistinct("child_uuid").alias("n")).where("n > 10")
+    return numbered(many, g.spark.createDataFrame([(0,)], "place long"), "place", F.col("n").desc(), "parent_uuid").select("parent_uuid", "n", "place")
