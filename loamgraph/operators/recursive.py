@@ -25,13 +25,14 @@ def ends(links: DataFrame, hops: int = 50) -> DataFrame:
     return out.select("id", F.when(F.col("hop") == 0, F.col("id")).when(F.col("last") & (F.col("hop") <= hops), F.col("to")).alias("target"), "hop")
 
 
-def descend(edges: DataFrame, start: DataFrame, levels: int) -> DataFrame:
-    """All (node, path, depth) under start(node, path): names joined by slashes, no node twice on one path."""
+def descend(edges: DataFrame, start: DataFrame, levels: int | None = None) -> DataFrame:
+    """All (node, path, depth) under start(node, path), to the last level or to ``levels``: names joined by slashes, no
+    node twice on one path, so rings of edges end."""
     e = edges.select(F.col("parent_uuid").alias("node"), F.col("child_uuid").alias("next"), "name")
     front = start.select("node", "path", F.lit(0).alias("depth"), F.array("node").alias("seen"))
-    out = front
-    for _ in range(levels):
-        front = cut(front)
+    out, level = front, 0
+    while levels is None or level < levels:
+        front, level = cut(front), level + 1
         if front.isEmpty():
             break
         front = front.join(e, "node").where(~F.array_contains("seen", F.col("next"))).select(F.col("next").alias("node"), F.concat_ws("/", "path", "name").alias("path"), (F.col("depth") + 1).alias("depth"), F.concat("seen", F.array("next")).alias("seen"))

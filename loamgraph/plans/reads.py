@@ -391,7 +391,7 @@ def v8(g):
 SELECT t.path, repeat('#', least(t.depth, 6)) || ' core://' || t.path || chr(10) || chr(10) || a.content AS text FROM t JOIN active a ON a.node_uuid = t.node WHERE t.depth > 0""")
 def i8(g):
     e = g.edges.where("parent_uuid <> 'ROOT' or child_uuid like 'r-%'")
-    tree = C.descend(e, g.spark.createDataFrame([("ROOT", None)], "node string, path string"), 4).where("depth > 0")
+    tree = C.descend(e, g.spark.createDataFrame([("ROOT", None)], "node string, path string")).where("depth > 0")
     a = g.active.select("node_uuid", "content")
     head = F.concat(F.repeat(F.lit("#"), F.least("depth", F.lit(6))), F.lit(" core://"), "path", F.lit("\n\n"), "content")
     return tree.join(a, F.col("node") == F.col("node_uuid")).select("path", head.alias("text"))
