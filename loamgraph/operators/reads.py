@@ -30,8 +30,9 @@ def resolve(star: DataFrame, paths: DataFrame, requests: DataFrame) -> DataFrame
     )
 
 
-def children(edges: DataFrame, paths: DataFrame, active: DataFrame, parents: DataFrame) -> DataFrame:
-    """Children of parents(node_uuid, namespace, domain, path): one row a child, under the path nearest the asker.
+def children_of(edges: DataFrame, paths: DataFrame, active: DataFrame, parents: DataFrame) -> DataFrame:
+    """Children of parents(node_uuid, namespace, domain, path), which come along as ctx_domain and ctx_path: one row a child
+    and asker, under the path nearest the asker.
 
     The first edge per child in (priority, name, id) counts; a child without a path of that edge in the namespace is
     left out, and under the root also one without a path in the asker's domain. Among the edge's paths one under the
@@ -46,7 +47,13 @@ def children(edges: DataFrame, paths: DataFrame, active: DataFrame, parents: Dat
     got = got.where((F.col("parent_uuid") != ROOT) | F.col("ctx_domain").isNull() | (F.col("domain") == F.col("ctx_domain")))
     same = F.col("domain") == F.col("ctx_domain")
     tier = F.when(same & F.col("path").startswith(F.concat(F.col("ctx_path"), F.lit("/"))), 1).when(same, 2).otherwise(3)
-    best = first_by(got, ["parent_uuid", "namespace", "ctx_domain", "ctx_path", "child_uuid"], tier, "domain", "path")
+    return first_by(got, ["parent_uuid", "namespace", "ctx_domain", "ctx_path", "child_uuid"], tier, "domain", "path")
+
+
+def children(edges: DataFrame, paths: DataFrame, active: DataFrame, parents: DataFrame) -> DataFrame:
+    """``children_of`` with a snippet of each child and how many children it has itself."""
+    best = children_of(edges, paths, active, parents)
+    e, at = edges.select("id", "parent_uuid"), paths.select("namespace", F.col("edge_id").alias("id"))
     below = e.join(at, "id").groupBy(F.col("parent_uuid").alias("child_uuid"), "namespace").agg(F.countDistinct("id").alias("approx_children_count"))
     return best.join(below, ["child_uuid", "namespace"], "left").select(
         "parent_uuid", "namespace", "child_uuid", "domain", "path", "name", "priority", "disclosure", "memory_id",

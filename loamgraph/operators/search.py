@@ -84,6 +84,44 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc
     return ranked.where(F.col("rank") <= limit).select("query_id", *each, "rank", "pass", "node_uuid", key, "score")
 
 
+def refreshed(index: tuple[DataFrame, DataFrame], docs: DataFrame, asked: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``postings`` after a change: of the documents in asked(key) all entries go, and those that docs still has are indexed
+    anew. Only the affected documents are split into tokens; the kept index is read once and shuffles nothing if the asked
+    keys are few."""
+    hit = asked.select(key).distinct()
+    posts, sizes = postings(docs.join(hit, key, "left_semi"), key)
+    old_posts, old_sizes = (df.join(hit, key, "left_anti") for df in index)
+    return old_posts.unionByName(posts), old_sizes.unionByName(sizes)
+
+
+def cover_search(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc_id") -> DataFrame:
+    """query_id, rank, pass, key and score by cover density over all indexed columns as one text.
+
+    Pass 0 holds the documents with every token of the query. A cover is a stretch that has them all and none of whose
+    parts does; it counts a tenth, divided by one more than the tokens in it that are not the query's. Pass 1 holds the
+    documents with some tokens, a tenth for each place. Inside a pass by score, priority, length of the path and key.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(T.search_tokens(F.col("query")), lambda t: index_tokens(t))))).alias("term"))
+    many = asked.groupBy("query_id").agg(F.count("*").alias("asked"))
+    tokens = docs.select(key, F.posexplode(index_tokens(F.concat_ws(" ", *[c for c in ("path", "uri", "content", "disclosure", "terms")]))).alias("pos", "term"))
+    # the places of the queries' tokens are few beside the corpus, and a window never holds more than one document's
+    places = cut(tokens.join(asked, "term").select("query_id", key, "pos", "term"))
+    have = places.groupBy("query_id", key).agg(F.countDistinct("term").alias("found"), F.count("*").alias("n")).join(many, "query_id")
+    at = places.withColumn("i", F.row_number().over(Window.partitionBy("query_id", key).orderBy("pos")))
+    each = at.select("query_id", key, "pos", "i", F.col("term").alias("here")).join(asked, "query_id")
+    seen = Window.partitionBy("query_id", key, "term").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.col("here") == F.col("term")
+    last = each.withColumn("last", F.max(F.when(own, F.struct("pos", "i"))).over(seen))
+    ends = last.groupBy("query_id", key, "pos", "i").agg(F.min("last").alias("begin"), F.min(F.col("last").isNotNull()).alias("whole")).where("whole")
+    covers = ends.groupBy("query_id", key, "begin").agg(F.min(F.struct("pos", "i")).alias("end"))
+    noise = (F.col("end.pos") - F.col("begin.pos")) - (F.col("end.i") - F.col("begin.i"))
+    dense = covers.groupBy("query_id", key).agg(F.sum(0.1 / (1 + noise)).alias("dense"))
+    full = have.join(dense, ["query_id", key], "left").withColumn("pass", (F.col("found") < F.col("asked")).cast("int"))
+    got = full.withColumn("score", F.round(F.when(F.col("pass") == 0, F.col("dense")).otherwise(F.col("n") * 0.1), 6)).join(docs.select(key, "priority", F.length("path").alias("path_length")), key)
+    order = Window.partitionBy("query_id").orderBy("pass", F.col("score").desc(), "priority", "path_length", key)
+    return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "pass", key, "score")
+
+
 def hit_snippet(text: Column, query: Column, around: int = 30, head: int = 80) -> Column:
     """The surroundings of the first hit of the query, or of its first token found; else the text's start."""
     low = F.lower(text)

@@ -177,6 +177,33 @@ def q15(g):
     return at.join(many, ["namespace", "node_uuid"]).join(kids, ["node_uuid", "namespace", "domain"], "left").select("namespace", "domain", "path", "memory_id", "aliases", F.coalesce("kids", F.lit(0)).alias("kids"))
 
 
+def whole(sql: str) -> str:
+    """The same SQL, asking for every path's node."""
+    return sql.replace(" WHERE node_uuid LIKE 'n-%' OR node_uuid LIKE 'r-%')", ")")
+
+
+@query("q15_browse_all", whole(CHILDREN) + """, al AS (SELECT p.namespace, p.node_uuid, count(*) AS n FROM paths p GROUP BY ALL),
+kn AS (SELECT parent_uuid, namespace, cd, cp, count(*) AS n FROM c2 WHERE rk = 1 AND domain = cd GROUP BY ALL)
+SELECT s.namespace, s.domain, s.path, s.memory_id, al.n - 1 AS aliases, coalesce(kn.n, 0) AS kids FROM star s JOIN al ON al.namespace = s.namespace AND al.node_uuid = s.node_uuid
+LEFT JOIN kn ON kn.parent_uuid = s.node_uuid AND kn.namespace = s.namespace AND kn.cd = s.domain AND kn.cp = s.path""")
+def q15_all(g):
+    ask = g.paths.select("node_uuid", "namespace", "domain", "path")
+    many = g.paths.groupBy("namespace", "node_uuid").agg((F.count("*") - 1).alias("aliases"))
+    kids = R.children_of(g.edges, g.paths, g.active, ask).where("domain = ctx_domain").groupBy(F.col("parent_uuid").alias("node_uuid"), "namespace", F.col("ctx_domain").alias("domain"), F.col("ctx_path").alias("path")).agg(F.count("*").alias("kids"))
+    at = g.star.select("namespace", "domain", "path", "node_uuid", "memory_id")
+    return at.join(many, ["namespace", "node_uuid"]).join(kids, ["node_uuid", "namespace", "domain", "path"], "left").select("namespace", "domain", "path", "memory_id", "aliases", F.coalesce("kids", F.lit(0)).alias("kids"))
+
+
+@query("v8_three_children_all", whole(CHILDREN) + "SELECT parent_uuid, namespace, child_uuid FROM (SELECT *, row_number() OVER (PARTITION BY parent_uuid, namespace, cd, cp ORDER BY priority NULLS FIRST, path) AS rk3 FROM c2 WHERE rk = 1) WHERE rk3 <= 3")
+def v8_all(g):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("parent_uuid", "namespace", "ctx_domain", "ctx_path").orderBy(F.col("priority").asc_nulls_first(), "path")
+    ask = g.paths.select("node_uuid", "namespace", "domain", "path")
+    ask = ask.unionAll(g.spark.createDataFrame([("ROOT", "", "core", "")], ask.schema))
+    return R.children_of(g.edges, g.paths, g.active, ask).withColumn("k", F.row_number().over(w)).where("k <= 3").select("parent_uuid", "namespace", "child_uuid")
+
+
 @query("q15b_breadcrumbs", """, p AS (SELECT namespace, domain, path, string_split(path, '/') AS parts FROM paths), i AS (SELECT *, unnest(generate_series(1, len(parts))) AS k FROM p)
 SELECT namespace, domain, path, k AS level, array_to_string(parts[1:k], '/') AS crumb FROM i""")
 def q15b(g):

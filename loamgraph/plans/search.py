@@ -122,3 +122,45 @@ def g9(g):
 def j4(g):
     d = g.documents
     return d.select("namespace", "domain", "path", "doc_id").join(d.select("namespace", "domain", "path", "priority"), ["namespace", "domain", "path"]).select("doc_id", "priority")
+
+
+@query("g9_locations", "SELECT g.keyword, d.uri, d.node_uuid = g.node_uuid AS self FROM docs d JOIN glossary g ON contains(d.content, g.keyword)")
+def g9_locations(g):
+    """Every place where a keyword stands, and whether it is the keyword's own node."""
+    hits = S.glossary_hits(g.documents, g.glossary).join(g.glossary.select("keyword", F.col("node_uuid").alias("target")), "keyword")
+    return hits.join(g.documents.select("doc_id", "uri", "node_uuid"), "doc_id").select("keyword", "uri", (F.col("node_uuid") == F.col("target")).alias("self"))
+
+
+_TOKENS = """tk AS (SELECT doc_id, unnest({}) AS term, 2.5::DOUBLE AS w FROM se UNION ALL SELECT doc_id, unnest({}), 2.0::DOUBLE FROM se UNION ALL SELECT doc_id, unnest({}), 1.0::DOUBLE FROM se UNION ALL SELECT doc_id, unnest({}), 0.75::DOUBLE FROM se)
+""".format(*[_TOK.format(f"strip_accents(lower({c}))") for c in ("path", "uri", "content", "terms")])
+
+
+@query("f4b_refresh", _BASE.replace("docs d LEFT JOIN gw", "(SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN 'renewed text ' || doc_id ELSE content END AS content) FROM docs WHERE doc_id % 11 <> 0) d LEFT JOIN gw") + _TOKENS + "SELECT doc_id, count(*) AS size, count(DISTINCT term) AS terms, round(sum(w), 2) AS weight, bool_or(term = 'renewed') AS renewed FROM tk GROUP BY 1")
+def f4b(g):
+    """The kept index after every seventh text has changed and every eleventh document has gone."""
+    k = F.col("doc_id")
+    now = g.documents.where(k % 11 != 0).withColumn("content", F.when(k % 7 == 0, F.concat(F.lit("renewed text "), k.cast("string"))).otherwise(F.col("content")))
+    posts, _ = S.refreshed((g.postings, g.sizes), S.search_documents(now, g.glossary), g.documents.where((k % 7 == 0) | (k % 11 == 0)))
+    return posts.groupBy("doc_id").agg(F.sum("n").alias("size"), F.count("*").alias("terms"), F.round(F.sum("f"), 2).alias("weight"), F.max(F.col("term") == "renewed").alias("renewed"))
+
+
+# the places of the terms matter here, so they are put in the order of their first ones
+@query("f7_cover_search", _BASE + f"""t0 AS (SELECT doc_id, {_F1.removeprefix("list_distinct(")[:-1].format("concat_ws(chr(32), words, path, uri, content)")} AS ws FROM sd),
+t1 AS (SELECT doc_id, term, min(i) AS i FROM (SELECT doc_id, unnest(ws) AS term, unnest(range(len(ws))) AS i FROM t0) GROUP BY ALL),
+t2 AS (SELECT doc_id, string_agg(term, ' ' ORDER BY i) AS ordered FROM t1 GROUP BY 1),
+tx AS (SELECT se.doc_id, {_TOK.format("strip_accents(lower(concat_ws(' ', path, uri, content, ordered)))")} AS ts FROM se LEFT JOIN t2 ON t2.doc_id = se.doc_id),
+pl AS (SELECT doc_id, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM tx),
+qs(query_id, query) AS (VALUES {_VALUES}),
+qt AS (SELECT DISTINCT query_id, unnest({_TOK.format("lower(array_to_string(" + _F1.format("query") + ", ' '))")}) AS term FROM qs),
+qn AS (SELECT query_id, count(*) AS asked FROM qt GROUP BY 1),
+hi AS (SELECT query_id, doc_id, pos, term, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS i FROM pl JOIN qt USING (term)),
+hv AS (SELECT query_id, doc_id, count(DISTINCT term) AS found, count(*) AS n FROM hi GROUP BY ALL),
+la AS (SELECT h.query_id, h.doc_id, h.pos, h.i, qt.term, max(CASE WHEN qt.term = h.term THEN h.pos END) OVER w AS lp, max(CASE WHEN qt.term = h.term THEN h.i END) OVER w AS li FROM hi h JOIN qt ON qt.query_id = h.query_id WINDOW w AS (PARTITION BY h.query_id, h.doc_id, qt.term ORDER BY h.pos ROWS UNBOUNDED PRECEDING)),
+en AS (SELECT query_id, doc_id, pos, i, min(lp) AS bp, min(li) AS bi FROM la GROUP BY ALL HAVING count(*) = count(lp)),
+co AS (SELECT query_id, doc_id, bp, bi, min(pos) AS ep, min(i) AS ei FROM en GROUP BY ALL),
+de AS (SELECT query_id, doc_id, sum(0.1::DOUBLE / (1 + (ep - bp) - (ei - bi))) AS dense FROM co GROUP BY ALL),
+sc AS (SELECT hv.query_id, hv.doc_id, CAST(found < asked AS INT) AS pass, round(CASE WHEN found < asked THEN n * 0.1::DOUBLE ELSE dense END, 6) AS score FROM hv JOIN qn USING (query_id) LEFT JOIN de ON de.query_id = hv.query_id AND de.doc_id = hv.doc_id),
+rk AS (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY pass, score DESC, priority, length(path), sc.doc_id) AS rank FROM sc JOIN se ON se.doc_id = sc.doc_id)
+SELECT query_id, CAST(rank AS INT) AS rank, pass, doc_id, score FROM rk WHERE rank <= 10""")
+def f7(g):
+    return S.cover_search(S.search_documents(g.documents, g.glossary), asked(g))
