@@ -31,6 +31,22 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of ``write_json``; the schema is stated, so nothing is read twice and fields left out are null."""
+    return spark.read.schema(schema).json(path)
+
+
+def write_glossary(words: DataFrame, path: str) -> None:
+    """words(keyword, uri) as JSON lines; keywords that lead nowhere are left out."""
+    write_json(words.where(~F.col("uri").startswith("unlinked://")).select("keyword", "uri"), path)
+
+
+def read_glossary(spark: SparkSession, path: str) -> DataFrame:
+    """Keywords without blanks around them, each pair once; blank ones and those without an address are left out."""
+    raw = read_json(spark, path, "keyword string, uri string").select(F.regexp_replace("keyword", r"^\s+|\s+$", "").alias("keyword"), F.trim("uri").alias("uri"))
+    return raw.where("keyword <> '' and uri <> ''").dropDuplicates(["keyword", "uri"])
+
+
 HEADING = r"(?m)^#{1,6} (\S+://.+)$"
 
 
