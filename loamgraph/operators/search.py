@@ -91,7 +91,7 @@ def refreshed(index: tuple[DataFrame, DataFrame], docs: DataFrame, asked: DataFr
     hit = asked.select(key).distinct()
     posts, sizes = postings(docs.join(hit, key, "left_semi"), key)
     old_posts, old_sizes = (df.join(hit, key, "left_anti") for df in index)
-    return old_posts.unionByName(posts), old_sizes.unionByName(sizes)
+    return posts.unionByName(old_posts), sizes.unionByName(old_sizes)
 
 
 def cover_search(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc_id") -> DataFrame:
