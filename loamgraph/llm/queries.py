@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, extract, media, mixing, near, packing, quality, ranked, resample, search, toxicity, warc
+from . import chat, extract, media, mixing, near, packing, pii, quality, ranked, resample, search, toxicity, warc
 
 QUERIES = {
     "op1_extract": extract.op1_extract,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_topk": search.op8_topk,
     "op9_warc": warc.op9_warc,
     "op10_media": media.op10_media,
+    "op11_pii": pii.op11_pii,
     "op12_ranked": ranked.op12_ranked,
     "op13_resample": resample.op13_resample,
 }
