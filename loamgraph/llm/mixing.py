@@ -35,8 +35,15 @@ def plan(sizes: DataFrame, weights=WEIGHTS, share_num: int = 3, share_den: int =
     words unless every source is capped. Ranks and running sums go over ranges of sources, however many there are."""
     place = [F.col("source").isNull(), F.col("source").cast("binary")]
     pick = F.array(*[F.lit(w) for w in weights])
-    s = prefixed(sizes, place, {"rank": "1"}).withColumn("weight", F.element_at(pick, (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
-    s = prefixed(s.drop("rank"), [F.col("source_size") / F.col("weight"), *place], {"filled": f"{max_epochs} * source_size", "passed": "weight"})
+    few = sizes.limit(SOURCES + 1).count() <= SOURCES
+
+    def before(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+        """``prefixed``; up to ``SOURCES`` rows of a few numbers are ordered in one task."""
+        over = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({k: F.coalesce(F.sum(F.expr(v)).over(over), F.lit(0)) for k, v in sums.items()}) if few else prefixed(df, order, sums)
+
+    s = before(sizes, place, {"rank": "1"}).withColumn("weight", F.element_at(pick, (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
+    s = before(s.drop("rank"), [F.col("source_size") / F.col("weight"), *place], {"filled": f"{max_epochs} * source_size", "passed": "weight"})
     totals = s.agg(F.sum("source_size").alias("all_words"), F.sum("weight").alias("all_weight"))  # one row
     cap = F.col("source_size") * max_epochs
     s = s.join(F.broadcast(totals)).select(
@@ -66,16 +73,27 @@ def slim(docs: DataFrame) -> DataFrame:
 
 
 def keyed(rows: DataFrame, seed: str) -> DataFrame:
-    """Every row of ``slim`` with its key k: rows of an id are numbered in the order of their texts' hashes, over ranges,
-    so a third of all rows may have the same id, or none, and the same text."""
+    """Every row of ``slim`` with its key k, as tables in the shared folder. A row whose id occurs once in its source has
+    its key from the id. Rows that repeat an id are numbered in the order of their texts' hashes, over ranges, so a third of
+    all rows may have the same id, or none, and the same text."""
+    named = written(rows.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.min("t").alias("t"), F.min("size").alias("size")), "ids")
+    single = named.where("n = 1").select("source", "doc_id", "t", "size", F.lit(0).cast("long").alias("j"))
+    again = named.where("n > 1").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"))
+    if not again.isEmpty():
+        same = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+        single = single.unionByName(written(numbered(rows.join(again, same, "left_semi")), "mix"))
+    return single.withColumn("k", order_key(seed, F.col("doc_id"), F.col("j")))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of ``slim`` that repeat an id, with their number j in the order of their texts' hashes."""
     distinct = rows.groupBy("source", "doc_id", F.col("t").isNull().alias("nt"), "t", "size").agg(F.count("*").alias("n"))
     at = prefixed(distinct, ["source", "doc_id", "nt", "t"], {"j0": "n"}, ("source", "doc_id"))
     block = 256  # copies that one row stands for until they are dealt
     at = at.select("source", "doc_id", "t", "size", "j0", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block))).alias("part"))
     at = at.repartition("source", "doc_id", "t", "part")
     j = F.explode(F.sequence(F.col("j0") + F.col("part") * block, F.col("j0") + F.least(F.col("n"), (F.col("part") + 1) * block) - 1))
-    at = at.select("source", "doc_id", "t", "size", j.alias("j"))
-    return at.withColumn("k", order_key(seed, F.col("doc_id"), F.col("j")))
+    return at.select("source", "doc_id", "t", "size", j.alias("j"))
 
 
 def cuts(rows: DataFrame, weights=WEIGHTS, max_epochs: int = 2, share: tuple[int, int] = (3, 2)) -> DataFrame:
@@ -84,7 +102,7 @@ def cuts(rows: DataFrame, weights=WEIGHTS, max_epochs: int = 2, share: tuple[int
     rows = rows.withColumn("bucket", bucket_of("k"))
     parts = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     goals = (
-        plan(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, *share, max_epochs)
+        plan(written(parts.groupBy("source").agg(F.sum("words").alias("source_size")), "sizes"), weights, *share, max_epochs)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(F.lit(0)).cast("long"))
         .withColumn("more", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
         .withColumnRenamed("source", "g")
@@ -114,7 +132,7 @@ def with_cuts(rows: DataFrame, cut: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = 2, seed: str = SEED, share: tuple[int, int] = (3, 2)) -> DataFrame:
     """Per row: doc_id, source, size, source_size, target, repeats and taken."""
-    rows = written(keyed(slim(docs), seed), "mix")
+    rows = keyed(slim(docs), seed)
     out = with_cuts(rows, cuts(rows, weights, max_epochs, share))
     return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
@@ -147,6 +165,10 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 """
 
 
+#: How times are written out for a row's hash: to the microsecond.
+EXACT = {"timestampFormat": "G yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "G yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def mixed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = 2, seed: str = SEED, share: tuple[int, int] = (3, 2)) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, all columns as they are. Columns of docs may have any names.
 
@@ -154,7 +176,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = 2, seed: str = SEE
     shuffled. Rows that repeat an id are told apart by a hash of all their columns; rows equal in all are one row with
     the sum of what their copies take, dealt over tasks in blocks.
     """
-    rows = written(keyed(slim(docs), seed), "mix")
+    rows = keyed(slim(docs), seed)
     cut = cuts(rows, weights, max_epochs, share)
     again = written(rows.where("j > 0").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d")).distinct(), "repeated")
     body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -163,7 +185,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = 2, seed: str = SEE
     take = lambda df: with_cuts(df.withColumnRenamed("_source", "source"), cut).where("repeats > 0")
     out = []
     if not again.isEmpty():
-        many = single.join(again, same, "left_semi").withColumn("_t", F.md5("row.text")).withColumn("_h", F.md5(F.to_json("row")))
+        many = single.join(again, same, "left_semi").withColumn("_t", F.md5("row.text")).withColumn("_h", F.md5(F.to_json("row", EXACT)))
         kinds = written(many.groupBy("_source", "_doc", "_t", "_h").agg(F.first("row").alias("row"), F.count("*").alias("n")), "kinds")
         # the copies of one text are dealt to its rows in the order of their hashes
         at = prefixed(kinds.drop("row"), ["_source", "_doc", F.col("_t").isNull(), "_t", "_h"], {"j0": "n"}, ("_source", "_doc"))

@@ -232,3 +232,16 @@ def test_components(spark):
 
 def test_shared_dir_is_the_sessions(spark):
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_mixing_keeps_rows_that_differ_in_any_column(spark):
+    """Rows of one id that differ in microseconds, in a map or in the sign of zero each come as often as the mix takes them."""
+    at = "timestamp'2024-01-01 00:00:00.00000{}'"
+    rows = [f"(7, 'a b c d', 'x', {at.format(k)}, map('k', {m}), {z})" for k, m, z in ((1, 1, "0.0D"), (2, 1, "0.0D"), (1, 2, "0.0D"), (1, 1, "1.0D"))] + ["(8, 'one two', 'y', null, null, null)"]
+    df = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(doc_id, text, source, ts, m, z)")
+    taken = sorted(r.repeats for r in mixing.mix(df).where("source = 'x'").collect())
+    got = mixing.mixed(df).where("source = 'x'").selectExpr("ts", "m['k'] AS k", "z").collect()
+    each = {}
+    for r in got:
+        each[tuple(r)] = each.get(tuple(r), 0) + 1
+    assert sorted(each.values()) == [t for t in taken if t] and len(each) == sum(t > 0 for t in taken)
