@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import segment as G
 from .steps import cut, shared
 
 #: Weights of the indexed columns and the two constants of the ranking formula.
@@ -36,13 +37,25 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, *_FOLDS)).otherwise(low), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def search_documents(docs: DataFrame, glossary: DataFrame) -> DataFrame:
-    """docs with their glossary words and search terms: the distinct query tokens of all their columns."""
+def search_documents(docs: DataFrame, glossary: DataFrame, lexicon: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """docs with their glossary words and search terms: the distinct query tokens of all their columns. With a ``lexicon``
+    (``segment.lexicon``) runs of CJK signs are split into its words, so a word inside a run is found; docs must then have
+    unique keys."""
     words = glossary.groupBy(F.col("node_uuid").alias("n")).agg(F.array_join(F.array_sort(F.collect_list("keyword")), " ").alias("words"))
     d = docs.join(words, F.col("node_uuid") == F.col("n"), "left").drop("n")
     note = F.col("disclosure") if "disclosure" in docs.columns else F.lit(None).cast("string")
-    terms = F.array_join(T.search_tokens(F.concat_ws(" ", F.coalesce("words", F.lit("")), "path", "uri", "content", note)), " ")
-    return d.withColumn("disclosure", note).withColumn("terms", terms)
+    text = F.concat_ws(" ", F.coalesce("words", F.lit("")), "path", "uri", "content", note)
+    if lexicon is None:
+        return d.withColumn("disclosure", note).withColumn("terms", F.array_join(T.search_tokens(text), " "))
+    own = G.tokens(d, key, text, lexicon).select(F.col(key).alias("_key"), F.array_join("tokens", " ").alias("terms"))
+    return d.withColumn("disclosure", note).join(own, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
+def query_tokens(queries: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """(query_id, token) of every query, each token once."""
+    if lexicon is None:
+        return queries.select("query_id", F.explode(T.search_tokens(F.col("query"))).alias("token"))
+    return G.tokens(queries, "query_id", F.col("query"), lexicon).select("query_id", F.explode("tokens").alias("token")).distinct()
 
 
 def postings(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -55,16 +68,16 @@ def postings(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame
     return posts, split.groupBy(key).agg(F.sum(F.size("tokens")).alias("size"))
 
 
-def search(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc_id", index: tuple[DataFrame, DataFrame] | None = None, each: tuple[str, ...] = ()) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc_id", index: tuple[DataFrame, DataFrame] | None = None, each: tuple[str, ...] = (), words: DataFrame | None = None) -> DataFrame:
     """query_id, rank, pass, node_uuid, key and score of each query's best documents.
 
     Documents with all tokens come first (pass 0), those with some follow (pass 1); inside a pass by score, priority,
     length of the path and key; a node counts once. Corpus figures are over all documents, whatever the query.
     ``index``: what ``postings`` gives, kept as tables; without it the documents are indexed here. ``each``: columns of docs
-    whose values are ranked apart.
+    whose values are ranked apart. ``words``: the lexicon that queries are split with, if documents were.
     """
     posts, sizes = index or postings(docs, key)
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(T.search_tokens(F.col("query")), lambda t: index_tokens(t))))).alias("term"))
+    asked = query_tokens(queries, words).select("query_id", F.explode(index_tokens(F.col("token"))).alias("term")).distinct()
     many = asked.groupBy("query_id").agg(F.count("*").alias("asked"))
     sizes = sizes if index else cut(sizes)
     total = sizes.agg(F.count("*").alias("n_docs"), F.avg("size").alias("avg_size"))
