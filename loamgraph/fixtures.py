@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from dataclasses import dataclass
 from functools import cached_property
@@ -26,16 +28,19 @@ def stamp(text: str):
 
 
 def kept(make):
-    """A projected table that is written once a session and folder, and read from then on: queries prune its columns and
-    push their filters down instead of projecting the graph again. The input files are taken not to change meanwhile."""
+    """A projected table that is written once a session and state of the input files, and read from then on: queries prune
+    its columns and push their filters down instead of projecting the graph again. Tables of earlier states stay as long
+    as the session, as frames may still read them."""
 
     def read(self) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, make.__name__)
+        key = (self.spark.sparkContext.applicationId, self.state, make.__name__)
         if key not in _KEPT:
             df = make(self)
             path = f"{shared(self.spark)}/graph-{make.__name__}-{uuid.uuid4().hex}"
             df.write.parquet(path)
             _KEPT[key] = path, df.schema
+            if len(_KEPT) == 1:
+                atexit.register(forget, self.spark)
         path, schema = _KEPT[key]
         return self.spark.read.schema(schema).parquet(path)
 
@@ -44,6 +49,15 @@ def kept(make):
     return prop
 
 
+def forget(spark: SparkSession) -> None:
+    """Removes the kept tables; frames that read them are dead afterwards."""
+    while _KEPT:
+        _, (path, _) = _KEPT.popitem()
+        with contextlib.suppress(Exception):  # the session may be gone
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @dataclass
 class Graph:
     """The projected tables, each built when first asked for."""
@@ -51,6 +65,17 @@ class Graph:
     spark: SparkSession
     sf_dir: str
 
+    @cached_property
+    def state(self) -> str:
+        """The folder with its files' names, sizes and times."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.sf_dir)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        out = []
+        while files.hasNext():
+            f = files.next()
+            out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        return "\n".join([self.sf_dir, *sorted(out)])
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -159,11 +184,12 @@ class Graph:
 
     @kept
     def postings(self) -> DataFrame:
-        """(term, doc_id, f): the inverted index over the search documents, in the order of the terms, so that a query
-        reads the row groups of its terms only."""
-        from .operators import search as S
+        """(term, doc_id, f, n, cols, places): the inverted index over the search documents, dealt and ordered by term and
+        document, so that a query reads the row groups of its terms only and a common term is not in one file."""
+        from .operators import phrases, search
 
-        return S.postings(S.search_documents(self.documents, self.glossary))[0].repartitionByRange("term").sortWithinPartitions("term")
+        posts = phrases.positions(search.search_documents(self.documents, self.glossary))
+        return posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
 
     @kept
     def sizes(self) -> DataFrame:

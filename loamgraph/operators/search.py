@@ -103,20 +103,24 @@ def refreshed(index: tuple[DataFrame, DataFrame], docs: DataFrame, asked: DataFr
     keys are few."""
     hit = asked.select(key).distinct()
     posts, sizes = postings(docs.join(hit, key, "left_semi"), key)
-    old_posts, old_sizes = (df.join(hit, key, "left_anti") for df in index)
+    old_posts, old_sizes = (df.join(hit, key, "left_anti") for df in (index[0].select("term", key, "f", "n"), index[1]))
     return posts.unionByName(old_posts), sizes.unionByName(old_sizes)
 
 
-def cover_search(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc_id") -> DataFrame:
+def cover_search(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc_id", posts: DataFrame | None = None) -> DataFrame:
     """query_id, rank, pass, key and score by cover density over all indexed columns as one text.
 
     Pass 0 holds the documents with every token of the query. A cover is a stretch that has them all and none of whose
     parts does; it counts a tenth, divided by one more than the tokens in it that are not the query's. Pass 1 holds the
     documents with some tokens, a tenth for each place. Inside a pass by score, priority, length of the path and key.
+    ``posts``: positional postings (``phrases.positions``), so that no text is read; docs then needs no texts.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(T.search_tokens(F.col("query")), lambda t: index_tokens(t))))).alias("term"))
     many = asked.groupBy("query_id").agg(F.count("*").alias("asked"))
-    tokens = docs.select(key, F.posexplode(index_tokens(F.concat_ws(" ", *[c for c in ("path", "uri", "content", "disclosure", "terms")]))).alias("pos", "term"))
+    if posts is not None:
+        tokens = posts.select(key, "term", "places").join(asked.select("term").distinct(), "term", "left_semi").select(key, F.explode("places").alias("pos"), "term")
+    else:
+        tokens = docs.select(key, F.posexplode(index_tokens(F.concat_ws(" ", *[c for c in ("path", "uri", "content", "disclosure", "terms")]))).alias("pos", "term"))
     # the places of the queries' tokens are few beside the corpus, and a window never holds more than one document's
     places = cut(tokens.join(asked, "term").select("query_id", key, "pos", "term"))
     have = places.groupBy("query_id", key).agg(F.countDistinct("term").alias("found"), F.count("*").alias("n")).join(many, "query_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import phrases as P
 from ..operators import search as S
 from ..registry import query
 
@@ -163,4 +164,29 @@ sc AS (SELECT hv.query_id, hv.doc_id, CAST(found < asked AS INT) AS pass, round(
 rk AS (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY pass, score DESC, priority, length(path), sc.doc_id) AS rank FROM sc JOIN se ON se.doc_id = sc.doc_id)
 SELECT query_id, CAST(rank AS INT) AS rank, pass, doc_id, score FROM rk WHERE rank <= 10""")
 def f7(g):
-    return S.cover_search(S.search_documents(g.documents, g.glossary), asked(g))
+    return S.cover_search(g.documents, asked(g), posts=g.postings)
+
+
+# the search terms in the order of their first places
+_ORDERED = f""", t0 AS (SELECT doc_id, {_F1.removeprefix("list_distinct(")[:-1].format("concat_ws(chr(32), words, path, uri, content)")} AS ws FROM sd),
+t1 AS (SELECT doc_id, term, min(i) AS i FROM (SELECT doc_id, unnest(ws) AS term, unnest(range(len(ws))) AS i FROM t0) GROUP BY ALL), t2 AS (SELECT doc_id, string_agg(term, ' ' ORDER BY i) AS ordered FROM t1 GROUP BY 1), so AS (SELECT se.*, ordered FROM se LEFT JOIN t2 USING (doc_id))"""
+_PLACES = _ORDERED + ", ".join(["", *[f"tc{n} AS (SELECT doc_id, {n} AS c, {_TOK.format(f'strip_accents(lower({c}))')} AS ts FROM so)" for n, c in ((0, "path"), (1, "uri"), (2, "content"), (4, "ordered"))]])
+_QUERY = "replace(array_to_string(string_split(text, ' ')[2:3], '_'), chr(10), ' ') || ' ' || string_split(text, ' ')[4]"
+
+
+@query("f5_phrases", _BASE.rstrip().rstrip(",") + _PLACES + f""", pl AS (SELECT doc_id, c, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM (SELECT * FROM tc0 UNION ALL SELECT * FROM tc1 UNION ALL SELECT * FROM tc2 UNION ALL SELECT * FROM tc4)),
+sz AS (SELECT se.doc_id, coalesce(n, 0) AS size FROM se LEFT JOIN (SELECT doc_id, count(*) AS n FROM pl GROUP BY 1) t ON t.doc_id = se.doc_id), tot AS (SELECT count(*) AS n_docs, avg(size) AS avg_size FROM sz),
+qs AS (SELECT item_id AS query_id, {_QUERY} AS query FROM benchmark WHERE len(string_split(text, ' ')) >= 4),
+qt AS (SELECT DISTINCT query_id, {_TOK.format("strip_accents(lower(token))")} AS terms FROM (SELECT query_id, unnest({_F1.format("query")}) AS token FROM qs)), qp AS (SELECT *, array_to_string(terms, ' ') AS phrase FROM qt WHERE len(terms) > 0),
+qn AS (SELECT query_id, count(*) AS asked FROM qp GROUP BY 1), pt AS (SELECT phrase, len(terms) AS many, unnest(terms) AS term, unnest(range(len(terms))) AS off FROM (SELECT DISTINCT phrase, terms FROM qp)),
+be AS (SELECT phrase, many, doc_id, c, pos - off AS b FROM pt JOIN pl USING (term) GROUP BY ALL HAVING count(*) = many),
+po AS (SELECT phrase, doc_id, sum(CASE c WHEN 0 THEN 2.5 WHEN 1 THEN 2.0 WHEN 4 THEN 0.75 ELSE 1.0 END)::DOUBLE AS f FROM be GROUP BY ALL), dfs AS (SELECT phrase, count(*) AS df FROM po GROUP BY 1),
+sc AS (SELECT qp.query_id, po.doc_id, count(*) AS found, round(-sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / avg_size))), 6) AS score FROM po JOIN dfs USING (phrase) JOIN sz USING (doc_id) JOIN qp USING (phrase), tot GROUP BY ALL),
+rk AS (SELECT sc.query_id, sc.doc_id, se.node_uuid, CAST(found < asked AS INT) AS pass, score, row_number() OVER (PARTITION BY sc.query_id ORDER BY found < asked, score, priority, length(path), sc.doc_id) AS rank FROM sc JOIN qn USING (query_id) JOIN se ON se.doc_id = sc.doc_id)
+SELECT query_id, CAST(rank AS INT) AS rank, pass, node_uuid, doc_id, score FROM rk WHERE rank <= 10""")
+def f5_phrases(g):
+    """The second to fourth words of every benchmark text, the first two of them as one phrase, searched for everywhere."""
+    w = F.split("text", " ")
+    b = g.table("benchmark").where(F.size(w) >= 4)
+    asked_ = b.select(F.col("item_id").alias("query_id"), F.concat(F.replace(F.array_join(F.slice(w, 2, 2), "_"), F.lit("\n"), F.lit(" ")), F.lit(" "), F.element_at(w, 4)).alias("query"))
+    return P.phrase_search(g.documents, asked_, g.postings, g.sizes)
