@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -12,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .operators.steps import shared
+from .operators.steps import scratch
 from .schema import ROOT
 
 AS_OF = "2024-02-01 00:00:00"
@@ -36,11 +33,9 @@ def kept(make):
         key = (self.spark.sparkContext.applicationId, self.state, make.__name__)
         if key not in _KEPT:
             df = make(self)
-            path = f"{shared(self.spark)}/graph-{make.__name__}-{uuid.uuid4().hex}"
+            path = scratch(self.spark, f"graph-{make.__name__}")
             df.write.parquet(path)
             _KEPT[key] = path, df.schema
-            if len(_KEPT) == 1:
-                atexit.register(forget, self.spark)
         path, schema = _KEPT[key]
         return self.spark.read.schema(schema).parquet(path)
 
@@ -49,15 +44,6 @@ def kept(make):
     return prop
 
 
-def forget(spark: SparkSession) -> None:
-    """Removes the kept tables; frames that read them are dead afterwards."""
-    while _KEPT:
-        _, (path, _) = _KEPT.popitem()
-        with contextlib.suppress(Exception):  # the session may be gone
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 @dataclass
 class Graph:
     """The projected tables, each built when first asked for."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import segment as G
-from .steps import cut, shared
+from .steps import cut, scratch
 
 #: Weights of the indexed columns and the two constants of the ranking formula.
 WEIGHTS = {"path": 2.5, "uri": 2.0, "content": 1.0, "disclosure": 1.0, "terms": 0.75}
@@ -182,7 +181,7 @@ def glossary_hits(texts: DataFrame, glossary: DataFrame, key: str = "doc_id") ->
     only tasks read."""
     words = cut(glossary.select("keyword").distinct().where("keyword <> ''"))
     slices = max(1, -(-words.count() // SLICE))
-    path = f"{shared(texts.sparkSession)}/keywords-{uuid.uuid4().hex}"
+    path = scratch(texts.sparkSession, "keywords")
     words.withColumn("slice", F.pmod(F.xxhash64("keyword"), F.lit(slices))).repartition("slice").write.partitionBy("slice").parquet(path)
 
     def fetch(part: int):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +26,24 @@ def cut(df: DataFrame) -> DataFrame:
     costs nothing."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder, removed with all below it when the process ends."""
+    path = f"{shared(spark)}/{tag}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(tidy)
+    _MADE.append((spark, path))
+    return path
+
+
+def tidy() -> None:
+    """Removes what ``scratch`` has named; frames that read it are dead afterwards."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
