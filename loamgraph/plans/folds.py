@@ -32,11 +32,13 @@ EDGES = _REQ + """, ef AS (SELECT edge_id, had_priority, had_disclosure, coalesc
 SELECT * FROM ef WHERE priority IS DISTINCT FROM had_priority OR disclosure IS DISTINCT FROM had_disclosure"""
 
 
-def requests(g):
+def requests(g, raw=False):
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     lines = g.table("lineitem").withColumn("seq", F.col("l_orderkey") * 100 + F.row_number().over(w))
+    if raw:
+        return lines
     own = lambda d: F.max(F.when(d, F.col("path")))
     p = g.paths.where("node_uuid like 'o-%'").groupBy(F.substring("node_uuid", 3, 20).cast("long").alias("l_orderkey"))
     p = p.agg(own((F.col("domain") == "core") & ~F.col("path").endswith("_copy")).alias("main"), own(F.col("domain") == "urgent").alias("urgent"))

@@ -23,7 +23,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def load() -> None:
-    from .plans import changes, collect, diagnostics, files, folds, legacy, mutations, pool, presets, reads, relays, review, scalars, search, segment, upkeep  # noqa: F401
+    from .plans import changes, collect, diagnostics, files, folds, legacy, mutations, pool, presets, reads, relays, review, scalars, search, segment, states, upkeep  # noqa: F401
 
 
 load()
