@@ -9,10 +9,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .text import TYPOGRAPHIC
-
-_PLAIN = str.maketrans(*TYPOGRAPHIC)
-
 
 @F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
@@ -35,64 +31,6 @@ def change_summary(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(a, b) for a, b in zip(before, after, strict=True)], columns=["unified", "ratio", "size"])
 
 
-def flattened(text: str) -> tuple[str, list[int]]:
-    """Text in canonical, plain-quoted form with single blanks, and where each of its signs starts in the original.
-
-    Blanks at line ends go, blanks inside a line shrink to one, indents stay, and CRLF becomes a newline.
-    """
-    out, at, k, n, start = [], [], 0, len(text), True
-    while k < n:
-        c = text[k]
-        if c in " \t":
-            e = k
-            while e < n and text[e] in " \t":
-                e += 1
-            if e < n and text[e] not in "\r\n":
-                run = text[k:e] if start else " "
-                out += run
-                at += range(k, e) if start else [k]
-            k = e
-            continue
-        if c == "\r" and text[k + 1 : k + 2] == "\n":
-            k += 1
-            continue
-        e = k + 1
-        while e < n and unicodedata.combining(text[e]):
-            e += 1
-        piece = unicodedata.normalize("NFC", text[k:e]).translate(_PLAIN)
-        out += piece
-        at += [k] * len(piece)
-        start, k = c == "\n", e
-    return "".join(out), [*at, n]
-
-
-def patched(text: str | None, old: str | None, new: str | None) -> str | None:
-    """text with its only match of old replaced: exact first, then in flattened form; None if none or several."""
-    if not text or not old:
-        return None
-    if text.count(old) == 1:
-        return text.replace(old, new or "")
-    if old in text:
-        return None
-    flat, at = flattened(text)
-    want = flattened(old)[0]
-    if not want.strip():
-        return None
-    hit = flat.find(want)
-    if hit < 0 or flat.find(want, hit + 1) >= 0:
-        return None
-    end = hit + len(want)
-    fresh = (new or "").replace("\r\n", "\n")
-    if "\r\n" in text:
-        fresh = fresh.replace("\n", "\r\n")
-    return text[: at[hit]] + fresh + text[at[end] :]
-
-
-@F.pandas_udf(StringType())
-def fuzzy_patch(text: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([patched(t, o, n) for t, o, n in zip(text, old, new, strict=True)], dtype=object)
-
-
 @F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("keyword", StringType())])))
 def occurrences(text: pd.Series, keywords: pd.Series) -> pd.Series:
     """Where keywords are to be marked in a text (0-based): of each keyword's hits, found one after the other, the leftmost

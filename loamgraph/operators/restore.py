@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.udfs import fuzzy_patch, nfc
+from ..functions.spans import fuzzy_patch
+from ..functions.udfs import nfc
 from ..schema import ROOT
 from .mutations import would_cycle
 from .reads import first_by

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import AS_OF
+from ..functions import spans as P
 from ..functions import text as T
 from ..functions import udfs as U
 from ..registry import query
@@ -151,11 +152,11 @@ def s14(g):
     return g.memories.join(b, F.col("migrated_to") == F.col("next")).select("id", U.change_summary(F.col("content"), F.col("after")).alias("c")).select("id", "c.*")
 
 
-@query("s11_patch")
+@query("s11_patch", r"""SELECT doc_id, CASE WHEN w <> '' AND length(text) - length(replace(text, w, '')) = length(w) THEN replace(text, w, 'REPLACED') END AS text FROM (SELECT *, regexp_extract(text, '^(\S+)', 1) AS w FROM documents)""")
 def s11(g):
     """Each document with its first word replaced through the fuzzy patch; null where that is ambiguous."""
     word = F.regexp_extract("text", r"^(\S+)", 1)
-    return g.table("documents").select("doc_id", U.fuzzy_patch(F.col("text"), word, F.lit("REPLACED")).alias("text"))
+    return g.table("documents").select("doc_id", P.fuzzy_patch(F.col("text"), word, F.lit("REPLACED")).alias("text"))
 
 
 @query("i14_mask", "SELECT page_id, regexp_replace('db://user' || page_id || ':pw@host/x', '://([^:/@]+):([^@]+)@', '://\\1:***@') AS url FROM pages")
@@ -166,3 +167,39 @@ def i14b(g):
 @query("as_of_now", f"SELECT count(*) AS n FROM logs WHERE accessed_at <= TIMESTAMP '{AS_OF}'")
 def now(g):
     return g.logs.where(F.col("accessed_at") <= F.lit(AS_OF).cast("timestamp_ntz")).agg(F.count("*").alias("n"))
+
+
+#: Texts with three spaces after a full stop and blanks at line ends.
+_MESSY = r"replace(replace(text, '. ', '.   '), chr(10), ' ' || chr(9) || ' ' || chr(10))"
+_FLAT = r"regexp_replace(regexp_replace({}, '[ \t]*\r?(\n|$)', '\1', 'g'), '([^\n ]) {{2,}}', '\1 ', 'g')"
+
+
+def messy(c):
+    return F.replace(F.replace(c, F.lit(". "), F.lit(".   ")), F.lit("\n"), F.lit(" \t \n"))
+
+
+@query("s9_position_map", f"SELECT doc_id, {_FLAT.format(_MESSY)} AS flat, length({_FLAT.format(_MESSY)}) AS n, CASE WHEN text <> '' THEN length(regexp_replace({_MESSY}, '[ \\t]*\\r?$', '')) - 1 END AS last FROM documents WHERE text IS NOT NULL")
+def s9_position_map(g):
+    """Flattened texts, with the length of the position map and where the last sign comes from."""
+    m = P.position_map(messy(F.col("text")))
+    got = g.table("documents").where("text is not null").select("doc_id", m.alias("m"))
+    return got.select("doc_id", "m.flat", F.size("m.at").cast("long").alias("n"), F.try_element_at("m.at", F.lit(-1)).cast("long").alias("last"))
+
+
+@query("s10_spans", r"""SELECT * FROM (WITH t AS (SELECT doc_id, text, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS want FROM documents WHERE len(string_split(text, ' ')) > 2 AND string_split(text, ' ')[1] <> string_split(text, ' ')[2] AND NOT regexp_matches(text, '  |[ 	
+](
+|$)|^[ 	]|
+[ 	]') AND NOT contains(string_split(text, ' ')[1] || string_split(text, ' ')[2], chr(10))),
+p AS (SELECT doc_id, text, want, unnest(string_split(text, want)) AS part, unnest(range(len(string_split(text, want)))) AS k FROM t),
+q AS (SELECT doc_id, text, want, k, sum(length(part) + length(want)) OVER (PARTITION BY doc_id ORDER BY k) AS done, max(k) OVER (PARTITION BY doc_id) AS parts FROM p),
+h AS (SELECT doc_id, text, want, (done - length(want))::BIGINT AS a, done::BIGINT AS b FROM q WHERE k < parts)
+SELECT doc_id, CAST(a + length(substr(text, 1, a)) - length(replace(substr(text, 1, a), ' ', '')) AS INT) AS start,
+  CAST(CASE WHEN b < length(text) THEN b + length(substr(text, 1, b)) - length(replace(substr(text, 1, b), ' ', '')) ELSE length(text) + length(text) - length(replace(text, ' ', '')) END AS INT) AS "end" FROM h)""")
+def s10_spans(g):
+    """Every place of the first two words of a text in it, after its spaces were doubled; texts with odd blanks are left out, and
+    those that begin with a word twice, whose hits overlap (the SQL counts none of these)."""
+    d, w = g.table("documents"), F.split("text", " ")
+    first, second = F.element_at(w, 1), F.element_at(w, 2)
+    d = d.where((F.size(w) > 2) & (first != second)).where(~F.col("text").rlike(r"  |[ \t\r](\n|\z)|\A[ \t]|\n[ \t]")).where(~F.concat(first, second).contains("\n"))
+    found = d.select("doc_id", F.explode(P.passage_spans(F.replace("text", F.lit(" "), F.lit("  ")), F.concat(first, F.lit(" "), second))).alias("s"))
+    return found.select("doc_id", "s.start", "s.end")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as T
-from loamgraph.functions.udfs import flattened, patched
+from loamgraph.functions.spans import flat, patched
 from loamgraph.operators import changes, mutations, recursive
 from loamgraph.operators import search as S
 from loamgraph.schema import violations
@@ -154,7 +154,7 @@ def test_patch():
     assert patched("say “hi” now", 'say "hi"', "X") == "X now"
     assert patched("a  b\r\nc", "a b\nc", "d\ne") == "d\r\ne"
     assert patched("x x", "x", "y") is None and patched("abc", "q", "y") is None and patched(None, "a", "b") is None
-    assert flattened("é f")[0] == "é f"
+    assert flat("é f")[0] == "é f"
 
 
 def test_markdown_and_cards(spark, tmp_path):
