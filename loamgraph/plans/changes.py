@@ -17,7 +17,7 @@ def c1(g):
     return g.paths.select(F.concat(F.lit("paths:"), F.concat_ws("|", "namespace", "domain", "path")).alias("row_key"), "node_uuid")
 
 
-@query("c2_equal_rows", "SELECT a.id, b.id AS other, a.content IS NOT DISTINCT FROM b.content AND a.world_timestamp IS NOT DISTINCT FROM b.world_timestamp AS same FROM memories a JOIN memories b ON a.migrated_to = b.id")
+@query("c2_equal_rows", ", mm AS MATERIALIZED (SELECT id, migrated_to, content, world_timestamp FROM memories) SELECT a.id, b.id AS other, coalesce(a.content = b.content, a.content IS NULL AND b.content IS NULL) AND coalesce(a.world_timestamp = b.world_timestamp, a.world_timestamp IS NULL AND b.world_timestamp IS NULL) AS same FROM mm a JOIN mm b ON b.id = a.migrated_to")
 def c2(g):
     b = g.memories.select(F.col("id").alias("other"), F.col("content").alias("c2"), F.col("world_timestamp").alias("w2"))
     same = F.col("content").eqNullSafe(F.col("c2")) & F.col("world_timestamp").eqNullSafe(F.col("w2"))
@@ -63,7 +63,7 @@ def c11(g):
     return C.groups(mixed(g))
 
 
-@query("c14_reverted", RECORDED + ", st AS (SELECT 'memories:' || node_uuid AS row_key, content AS image FROM active) SELECT row_key, image FROM st WHERE row_key NOT IN (SELECT row_key FROM rd) UNION ALL SELECT row_key, before FROM rd WHERE before IS NOT NULL")
+@query("c14_reverted", RECORDED + ", st AS (SELECT 'memories:' || node_uuid AS row_key, content AS image FROM active) SELECT st.row_key, image FROM st LEFT JOIN (SELECT row_key AS k FROM rd) r ON r.k = st.row_key WHERE r.k IS NULL UNION ALL SELECT row_key, before FROM rd WHERE before IS NOT NULL")
 def c14(g):
     state = g.active.select(F.concat(F.lit("memories:"), "node_uuid").alias("row_key"), F.col("content").alias("image"))
     return C.reverted(state, C.recorded(g.changes))
