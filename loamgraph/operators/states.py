@@ -114,3 +114,14 @@ def belonging(entities: DataFrame, links: DataFrame, requests: DataFrame) -> tup
     pairs = links.select("child", "parent", F.least("child", "parent").alias("lo"), F.greatest("child", "parent").alias("hi")).distinct()
     made = ends.select(F.explode(F.array(F.struct(F.col("lo").alias("child"), F.col("hi").alias("parent"), F.lit(1).alias("bit")), F.struct(F.col("hi").alias("child"), F.col("lo").alias("parent"), F.lit(2).alias("bit")))).alias("x"), "end").where(F.col("end").bitwiseAND(F.col("x.bit")) > 0)
     return answers, pairs.join(ends, ["lo", "hi"], "left_anti").select("child", "parent").unionByName(made.select("x.child", "x.parent"))
+
+
+def degrees(states: DataFrame, current: DataFrame, edges: DataFrame) -> DataFrame:
+    """states with in_count and out_count over edges(from_id, to_id), one row an edge, and is_current. States with no incoming
+    edge are the orphans; those without any edge the certain ones. Counts are taken before the join, so a state that a
+    third of all edges lead to is one row."""
+    ins = edges.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("in_count"))
+    outs = edges.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("out_count"))
+    now = current.select("id", F.lit(True).alias("now")).distinct()
+    got = states.join(ins, "id", "left").join(outs, "id", "left").join(now, "id", "left")
+    return got.select(states.columns + [F.coalesce(c, F.lit(0)).alias(c) for c in ("in_count", "out_count")] + [F.coalesce("now", F.lit(False)).alias("is_current")])

@@ -23,7 +23,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def load() -> None:
-    from .plans import alias, backfill, changes, collect, diagnostics, files, folds, legacy, mutations, names, pool, presets, reads, relays, review, scalars, search, segment, states, upkeep  # noqa: F401
+    from .plans import alias, backfill, changes, collect, diagnostics, files, folds, legacy, mutations, names, pool, presets, reads, relays, review, scalars, search, segment, states, upkeep, views  # noqa: F401
 
 
 load()
