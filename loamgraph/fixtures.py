@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -149,6 +150,8 @@ class Graph:
     @kept
     def star(self) -> DataFrame:
         """Every path with its edge and its node's active memory."""
+        with ThreadPoolExecutor(3) as side_by_side:  # each from its own scans, so small ones do not wait for the large one
+            list(side_by_side.map(lambda name: getattr(self, name), ("memories", "edges", "paths")))
         e = self.edges.select(F.col("id").alias("edge_id"), "parent_uuid", "child_uuid", "name", "priority", "disclosure")
         m = self.active.select(F.col("id").alias("memory_id"), F.col("node_uuid").alias("m_node"), "content", F.col("created_at").alias("m_created"), "world_timestamp")
         p = self.paths.drop("node_uuid", "created_at").join(e, "edge_id")
@@ -170,12 +173,12 @@ class Graph:
 
     @kept
     def postings(self) -> DataFrame:
-        """(term, doc_id, f, n, cols, places): the inverted index over the search documents, dealt and ordered by term and
-        document, so that a query reads the row groups of its terms only and a common term is not in one file."""
+        """(term, doc_id, f, n, cols, places): the inverted index over the search documents, each file in the order of the
+        terms, so that a query reads the row groups of its terms only and a common term is in all files."""
         from .operators import phrases, search
 
         posts = phrases.positions(search.search_documents(self.documents, self.glossary))
-        return posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        return posts.sortWithinPartitions("term", "doc_id")
 
     @kept
     def sizes(self) -> DataFrame:

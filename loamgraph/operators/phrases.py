@@ -1,12 +1,16 @@
 """Positional postings and what needs them: phrases, and covers that are read from the index instead of the texts.
 
-A posting is a row per term and document with all its places, so the index is made in one pass without a shuffle (the
-places of a document stand in one task) and then dealt by ranges of (term, key): a common term is spread over tasks and
-files, and a query reads the row groups of its terms only.
+A posting is a row per term and document with all its places. The index is made in one pass without a shuffle, as the places
+of a document stand in one task, and each task's rows are sorted by term: a common term is spread over all files, and of each
+file a query reads the row groups of its terms only.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 from .search import B, K1, WEIGHTS, index_tokens, query_tokens
 from .steps import cut
 
+#: Documents whose tokens are grouped together.
+TOGETHER = 256
 #: The order of the columns in the one text that covers are searched in.
 COVER_ORDER = ("path", "uri", "content", "disclosure", "terms")
 
@@ -22,23 +28,29 @@ def positions(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(term, key, f, n, cols, places): each term of each row of docs with its weighted and plain frequency and, side by
     side, the column (in ``COVER_ORDER``) and the place of each occurrence in the columns' texts one after the other. Null
     columns have no tokens; a repeated key must not occur."""
-    weights = [WEIGHTS[c] for c in COVER_ORDER]
+    weights = np.array([WEIGHTS[c] for c in COVER_ORDER])
 
     def run(batches):
         for batch in batches:
-            keys, columns = batch.column(0).to_pylist(), [c.to_pylist() for c in batch.columns[1:]]
-            for i, k in enumerate(keys):
-                found: dict[str, tuple[list[int], list[int]]] = {}
-                place = 0
-                for c, column in enumerate(columns):
-                    for token in column[i]:
-                        cols, places = found.setdefault(token, ([], []))
-                        cols.append(c)
-                        places.append(place)
-                        place += 1
+            for k in range(0, len(batch), TOGETHER):
+                part = batch.slice(k, TOGETHER)
+                lists, docs_ = part.columns[1:], np.arange(len(part))
+                sizes = np.stack([np.diff(np.asarray(x.offsets)) for x in lists])
+                code_of = defaultdict(count().__next__)
+                code = np.concatenate([np.fromiter(map(code_of.__getitem__, x.flatten().to_pylist()), np.int64) for x in lists])
+                doc = np.concatenate([np.repeat(docs_, n) for n in sizes])
+                col = np.repeat(np.arange(len(lists)), sizes.sum(1))
+                before = np.cumsum(sizes, 0) - sizes  # tokens of the document's columns before each
+                within = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes])
+                place = before[col, doc] + within
+                order = np.lexsort((place, doc, code))
+                code, doc, col, place = code[order], doc[order], col[order], place[order]
+                lead = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]) if len(code) else np.zeros(0, np.int64)
+                ends = pa.array(np.r_[lead, len(code)].astype(np.int32))
+                f = np.add.reduceat(weights[col], lead) if len(lead) else np.zeros(0)
                 yield pa.record_batch([
-                    pa.array(found, pa.string()), pa.array([k] * len(found), batch.schema.field(0).type), pa.array([sum(weights[c] for c in x[0]) for x in found.values()], pa.float64()),
-                    pa.array([len(x[0]) for x in found.values()], pa.int64()), pa.array([x[0] for x in found.values()], pa.list_(pa.int8())), pa.array([x[1] for x in found.values()], pa.list_(pa.int32())),
+                    pa.array(list(code_of), pa.string()).take(pa.array(code[lead])), part.column(0).take(pa.array(doc[lead])), pa.array(f), pa.array(np.diff(np.asarray(ends)).astype(np.int64)),
+                    pa.ListArray.from_arrays(ends, pa.array(col.astype(np.int8))), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))),
                 ], names=["term", key, "f", "n", "cols", "places"])
 
     kind = dict(docs.dtypes)[key]
