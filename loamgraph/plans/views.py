@@ -95,3 +95,51 @@ def numbered_batch(rows):
     from ..operators.mutations import numbered
 
     return numbered(rows, rows.sparkSession.range(0).select(F.col("id").alias("seq")), "seq", "namespace", "domain", "path")
+
+
+@query("n4_degrees", _EDGES + """ SELECT ev.id, entity_id, version, coalesce(ic.n, 0) AS in_count, coalesce(oc.n, 0) AS out_count, nv.id IS NOT NULL AS is_current
+FROM ev LEFT JOIN ic ON ic.id = ev.id LEFT JOIN oc ON oc.id = ev.id LEFT JOIN nv ON nv.id = ev.id""")
+def n4_degrees(g):
+    """Every state with its edges in and out, without those that link versions."""
+    edges = directs(g).select(F.col("from_state").alias("from_id"), F.col("to_state").alias("to_id")).unionByName(relays(g).select("from_id", "to_id"))
+    s = every_state(g).select("id", "entity_id", "version")
+    return states.degrees(s, s.groupBy("entity_id").agg(F.max_by("id", "version").alias("id")), edges)
+
+
+@query("n3_overview", RELAYS.rstrip() + """, rr AS (SELECT viewer, target, edge_id, count(relay) AS chapters FROM rs GROUP BY ALL), ra AS (SELECT viewer, count(*) AS relations, CAST(sum(chapters) AS BIGINT) AS chapters FROM rr GROUP BY 1),
+sa AS (SELECT entity_id, count(*) AS versions, max(version) AS version, arg_max(id, version) AS state, arg_max(name, version) AS name FROM sts GROUP BY 1)
+SELECT e.id, e.kind, sa.name, sa.version, sa.state, coalesce(sa.versions, 0) AS versions, coalesce(ra.relations, 0) AS relations, coalesce(ra.chapters, 0) AS chapters FROM ent e LEFT JOIN sa ON sa.entity_id = e.id LEFT JOIN ra ON ra.viewer = e.id""")
+def n3_overview(g):
+    """Every entity with its newest state, the number of its versions, of its latest relations and of the chapters on these."""
+    s = orders(g).groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("versions"), F.max("version").alias("version"), F.max_by("id", "version").alias("state"), F.max_by("name", "version").alias("name"))
+    rel = R.relations(directs(g), relays(g)).groupBy("viewer", "target", "edge_id").agg(F.count("relay").alias("chapters"))
+    rel = rel.groupBy(F.col("viewer").alias("id")).agg(F.count("*").alias("relations"), F.sum("chapters").alias("chapters"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return entities(g).join(s, "id", "left").join(rel, "id", "left").select("id", "kind", "name", "version", "state", none("versions"), none("relations"), none("chapters"))
+
+
+_DOMAINS = """, us AS (SELECT DISTINCT domain, true AS used FROM paths), bo AS (SELECT DISTINCT source AS domain, true AS booted FROM documents WHERE length(source) % 2 = 0 UNION SELECT 'core', true FROM region),
+dm AS (SELECT domain FROM us UNION SELECT source FROM documents UNION SELECT lang FROM documents UNION SELECT n_name FROM nation UNION SELECT 'system' FROM region UNION SELECT lower(n_name) FROM nation)"""
+
+
+@query("m19_domains", _DOMAINS + """ SELECT dm.domain, CASE WHEN NOT regexp_full_match(dm.domain, '[a-z][a-z0-9_]*') OR dm.domain = 'system' THEN 'invalid' WHEN used THEN 'exists' ELSE 'ok' END AS added,
+CASE WHEN used THEN 'has paths' WHEN booted THEN 'in a preset' ELSE 'ok' END AS removed FROM dm LEFT JOIN us ON us.domain = dm.domain LEFT JOIN bo ON bo.domain = dm.domain""")
+def m19_domains(g):
+    """Whether names can be added as domains, and what keeps them from being removed: paths, or an address in any preset."""
+    d, n = g.table("documents"), g.table("nation")
+    used = g.paths.select("domain").distinct().withColumn("used", F.lit(True))
+    lists = d.where(F.length("source") % 2 == 0).select(F.array(F.concat("source", F.lit("://1"))).alias("uris")).unionAll(g.table("region").select(F.array(F.concat(F.lit("core://"), "r_name"))))
+    booted = lists.select(F.explode("uris").alias("uri")).select(T.domain_of(F.col("uri")).alias("domain")).distinct().withColumn("booted", F.lit(True))
+    names = used.select("domain").union(d.select("source")).union(d.select("lang")).union(n.select("n_name")).union(n.select(F.lower("n_name"))).union(g.table("region").select(F.lit("system"))).distinct()
+    got = names.join(used, "domain", "left").join(booted, "domain", "left")
+    added = F.when(~F.col("domain").rlike(T.DOMAIN) | (F.col("domain") == "system"), "invalid").when(F.col("used"), "exists").otherwise("ok")
+    return got.select("domain", added.alias("added"), F.when(F.col("used"), "has paths").when(F.col("booted"), "in a preset").otherwise("ok").alias("removed"))
+
+
+@query("s25_checks", r"""SELECT page_id, regexp_matches(url, '^[a-zA-Z0-9_-]+$') AS title, regexp_matches(url, '^[a-z][a-z0-9_]*$') AS domain, regexp_matches(url, '^([a-zA-Z_]\w*)://(.*)$') AS uri FROM
+(SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN string_split(url, '/')[-1] WHEN 2 THEN lower(regexp_extract(url, '^(\w+)', 1)) ELSE string_split(url, '/')[3] END AS url FROM pages)""")
+def s25_checks(g):
+    """Which of the three forms a name has: addresses, their last parts, their schemes and their hosts."""
+    k, parts = F.col("page_id") % 4, F.split("url", "/")
+    name = F.when(k == 0, F.col("url")).when(k == 1, F.element_at(parts, -1)).when(k == 2, F.lower(F.regexp_extract("url", r"^(\w+)", 1))).otherwise(F.try_element_at(parts, F.lit(3)))
+    return g.table("pages").select("page_id", name.alias("n")).select("page_id", F.col("n").rlike(T.TITLE).alias("title"), F.col("n").rlike(T.DOMAIN).alias("domain"), F.col("n").rlike(T.URI).alias("uri"))
