@@ -65,7 +65,19 @@ def test_classifiers(name, module, kind, cut, spark, sf, docs):
         assert abs(r.score - 1 / (1 + math.exp(-min(max(z, -35), 35)))) < 1e-6
     label = {r.doc_id: r[kind] for r in table(spark, sf, "labels").collect()}
     out = [r for r in rows if r.held_out and label.get(r.doc_id) is not None]
-    assert not out or sum(r.predicted == label[r.doc_id] for r in out) / len(out) > 0.8
+    assert out and sum(r.predicted == label[r.doc_id] for r in out) / len(out) > 0.8
+
+
+@pytest.mark.parametrize(("name", "kind", "rare"), [("op2_toxicity", "toxic", 1), ("op4_quality", "quality", 0)])
+def test_the_rare_class_is_found(name, kind, rare, spark, sf):
+    """Recall and precision of toxic and of poor held-out texts, at the next scale, where there are some of them."""
+    large = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.01")
+    if not os.path.isdir(large):
+        pytest.skip("no larger tables")
+    label = {r.doc_id: r[kind] for r in table(spark, large, "labels").collect()}
+    out = [r for r in QUERIES[name](spark, large).collect() if r.held_out and label.get(r.doc_id) is not None]
+    there, said = ({r.doc_id for r in out if x(r) == rare} for x in (lambda r: label[r.doc_id], lambda r: r.predicted))
+    assert len(there) >= 5 and len(there & said) >= 0.6 * len(there) and len(there & said) >= 0.9 * len(said)
 
 
 def test_packing(spark, sf, docs):

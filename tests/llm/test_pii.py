@@ -124,3 +124,11 @@ def test_time_is_linear(text):
     began = time.time()
     pii.found([text], pii.field())
     assert time.time() - began < 12
+
+
+@pytest.mark.parametrize("text", [
+    "ISBN 978-3-16-148410-0 is a book number, see page 12.", "Order 12345678 shipped 2024-01-02 at 10:20, total $1,234.50 (12% off).", "It grew from 1234567 to 2345678 in 2010-2020.", "Serial 4111 1111 1111 1112 is bad",
+    "2021-03-04T05:06:07Z log 192.168.1.300 err", "at 52.5200, 13.4050 and 48.8566, 2.3522", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20", "uuid 123e4567-e89b-12d3-a456-426614174000", "he works at(home), 2 (at) 3 dollars each (at) home", "user@localhost and @handle #12",
+])
+def test_plain_numbers_are_left_alone(text):
+    assert pii.found([text], pii.field()) == [[]]
