@@ -43,6 +43,8 @@ WORDS = 5
 PERCENT = 85
 REGISTERS, BASE, BANDS, ROWS = 128, 1.12, 25, 5
 CORE, TOUCH, TURNS = 0.6, 0.3, 4
+#: Shingles of texts that are sketched together, about; one text may have more.
+SKETCHED = 500_000
 #: Classes and shingles of a block, pilots of a group.
 BLOCK, MASS, PILOTS = 128, 2_000_000, 8
 #: Classes of a large group whose shingles give its order; classes whose sketches are compared as they share a rare one.
@@ -117,12 +119,16 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.slice(k, 1000)
-                sets = [shingles(t) for t in part.column(1).to_pylist()]
+            first, sets, mass = 0, [], 0
+            for k, text in enumerate(batch.column(1), 1):
+                sets.append(shingles(text.as_py()))
+                mass += len(sets[-1])
+                if mass < SKETCHED and len(sets) < 1000 and k < len(batch):
+                    continue
                 regs = sketches(sets)
                 keys = [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary())], names=["doc_id", "n", "key", "sketch"])
+                yield pa.record_batch([batch.column(0).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary())], names=["doc_id", "n", "key", "sketch"])
+                first, sets, mass = k, [], 0
 
     return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key binary, sketch binary"), "sketched")
 
