@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
+#: Rows whose texts a task holds as Python objects at a time.
+TOGETHER = 512
 #: ASCII that is no letter or digit becomes a space; bytes of other characters stay.
 PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -58,8 +60,9 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], threshold:
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(score(texts) if texts else [], pa.float64())], names=["doc_id", "score"])
+            for k in range(0, len(batch), TOGETHER):
+                part = batch.slice(k, TOGETHER)
+                yield pa.record_batch([part.column(0), pa.array(score([t or "" for t in part.column(1).to_pylist()]), pa.float64())], names=["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -71,7 +74,8 @@ def passing(docs: DataFrame, score: Callable[[list[str]], np.ndarray], keep: Cal
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep(score(texts)) if texts else np.zeros(0, bool), pa.bool_()))
+            for k in range(0, len(batch), TOGETHER):
+                part = batch.slice(k, TOGETHER)
+                yield part.filter(pa.array(keep(score([t or "" for t in part.column(at).to_pylist()])), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
