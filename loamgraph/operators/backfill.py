@@ -19,25 +19,27 @@ def roots(links: DataFrame) -> DataFrame:
     start = cut(links.select("id", "up").join(known, "up", "left").select("id", F.when(F.col("there"), F.col("up")).alias("up")))
 
     def walk(way: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(id, to, done): where each id has come to, and the ids that never end."""
-        at = cut(way.select("id", F.coalesce("up", "id").alias("to"), F.col("up").isNull().alias("done")))
-        n, step = at.where("not done").count(), 1
-        while n and step <= 2 * n:
-            for _ in range(2):  # two doublings in a plan
-                far = at.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("done").alias("done2"))
-                open_ = at.where("not done").join(far, "to").select("id", F.col("to2").alias("to"), F.col("done2").alias("done"))
-                at, step = at.where("done").unionByName(open_), 2 * step
-            at = cut(at)
-            n = at.where("not done").count()
-        return at, at.where("not done")
+        """(id, to) of the ids that end, and of those that never do, which stand on rings then. Ids that have ended are joined no more."""
+        at = cut(way.where("up is not null").select("id", F.col("up").alias("to")))
+        none, stood = way.where("up is null").select("id", F.col("id").alias("to")), None
+        ended = at.limit(0)
+        while True:
+            n, stands = at.agg(F.count("*"), F.countDistinct("to")).first()
+            # the ids that pointers stand on only get fewer; if twice the steps leave as many, all of them are on rings
+            if not n or stands == stood:
+                return none.unionByName(ended), at
+            stood = stands
+            far = at.withColumn("open", F.lit(True)).unionByName(ended.withColumn("open", F.lit(False)))
+            far = far.select(F.col("id").alias("to"), F.col("to").alias("to2"), "open")
+            both = cut(at.join(far, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), F.coalesce("open", F.lit(False)).alias("open")))
+            at, ended = both.where("open").drop("open"), ended.unionByName(both.where("not open").drop("open"))
 
     at, never = walk(start)
-    if never.isEmpty():
-        return at.select("id", F.col("to").alias("root"))
-    # after more steps than there are ids every pointer stands on a ring, and every id of a ring has one on it
-    ring = cut(never.select(F.col("to").alias("id")).distinct()).withColumn("ring", F.lit(True))
-    opened = start.join(ring, "id", "left").select("id", F.when(F.col("ring").isNull(), F.col("up")).alias("up"))
-    return walk(opened)[0].select("id", F.col("to").alias("root"))
+    if not never.isEmpty():
+        ring = never.select(F.col("to").alias("id")).distinct().withColumn("ring", F.lit(True))
+        opened = start.join(never.select("id"), "id", "left_semi").join(ring, "id", "left")
+        at = at.unionByName(walk(cut(opened.select("id", F.when(F.col("ring").isNull(), F.col("up")).alias("up"))))[0])
+    return at.select("id", F.col("to").alias("root"))
 
 
 def nodes_of(memories: DataFrame) -> DataFrame:

@@ -32,3 +32,18 @@ def test_branches_nodes_and_edges(spark):
     _, edges, new = O.graph_of(m, spark.createDataFrame(paths, "domain string, path string, memory_id long, priority int, disclosure string"))
     assert sorted(map(tuple, edges.collect())) == [(1, "ROOT", "kept", "a", 2, None), (2, "ROOT", "own", "b", 9, "y"), (3, "kept", "own", "b", 0, "x"), (4, "own", "m-8", "c", 1, None)]
     assert sorted((x.domain, x.path, x.edge_id) for x in new.collect()) == [("core", "a", 1), ("core", "a/b", 3), ("core", "a/b/c", 4), ("core", "zz/b", 2), ("side", "b", 2)]
+
+
+def test_many_rings_take_no_more_rounds(spark, monkeypatch):
+    """Rounds follow the longest way, not the number of ids on rings."""
+    made = []
+    plain = O.cut
+    monkeypatch.setattr(O, "cut", lambda df: made.append(1) or plain(df))
+
+    def rounds(rings):
+        made.clear()
+        up = {10 * k + j: 10 * k + (j + 1) % 3 for k in range(rings) for j in range(3)} | {10 * k + 3: 10 * k + 1 for k in range(rings)}
+        assert dict(map(tuple, O.roots(spark.createDataFrame(list(up.items()), "id long, up long")).collect())) == loop(up)
+        return len(made)
+
+    assert rounds(2) == rounds(300)
