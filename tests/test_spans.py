@@ -3,6 +3,7 @@
 import random
 import unicodedata
 
+import pandas as pd
 from loamgraph.functions import spans as P
 
 
@@ -58,3 +59,11 @@ def test_patches():
     assert P.patched("a  b\r\nc  d\r\n", "b\nc d", "x\ny") == "a  x\r\ny\r\n"
     assert P.patched("aaa", "aa", "b") is None and P.patched("", "a", "b") is None and P.patched("a", "", "b") is None
     assert P.patched("café  au lait", "café au", None) == " lait" and P.flat("")[0] == ""
+
+
+def test_maps_of_a_batch_leave_in_parts():
+    texts = pd.Series(["ab  c\n" * 20_000, None, "x", *["word " * 30_000] * 12])
+    parts = list(P.position_map.func(iter([texts])))
+    longest = max(len(P.flat(t or "")[1]) for t in texts)
+    assert max(sum(map(len, p["at"])) for p in parts) < P.HELD + longest
+    assert [x for p in parts for x in p["flat"]] == [P.flat(t or "")[0] for t in texts]
