@@ -12,14 +12,14 @@ from ..functions.udfs import nfc
 from ..schema import ROOT
 from . import recursive as C
 from .reads import first_by
-from .steps import cut
+from .steps import cut, table
 
 
 def numbered(df: DataFrame, after: DataFrame, column: str, *order) -> DataFrame:
     """New ids from the largest one on, in the batch's order: each range of it is sorted by itself and starts after the
     rows of those before."""
     top = after.agg(F.coalesce(F.max(column), F.lit(0)).alias("_top"))
-    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id()))
+    dealt = table(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id()), "numbered")
     ranges = dealt.groupBy(F.shiftright("_i", 33).alias("_r")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     starts = ranges.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

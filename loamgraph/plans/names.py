@@ -24,7 +24,7 @@ fr AS (SELECT base, cand, row_number() OVER (PARTITION BY base ORDER BY n) AS j
 
 
 def records(g):
-    number = lambda c: F.substring(c, 3, 20).cast("long")
+    number = lambda c: F.substring(c, 3, 20).try_cast("long")
     e, d, c = entities(g), directs(g), chapters(g)
     text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
     at = F.col("k") * 1000 + number("target")

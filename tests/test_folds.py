@@ -72,3 +72,17 @@ def test_running_values_with_one_hot_key(spark):
     assert got == want
     assert O.running(df.where("false"), ["k"], ["s"], {"n": "a"}).count() == 0
     assert df.select(F.max("s")).first()[0] == 899
+
+
+def test_running_values_over_a_split_key(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [("hot" if k % 3 else f"k{k % 7}", k // 4, k % 4, r.choice([None, k]), r.choice([None] * 9 + [f"v{k}"])) for k in range(900)]
+    df = spark.createDataFrame(rows, "k string, s long, t int, a long, b string").repartition(6)
+    monkeypatch.setattr(O, "SPLIT", 40)
+    out = O.running(df, ["k"], ["s", "t"], {"n": "a"}, {"last": "b"})
+    assert out.columns == ["k", "s", "t", "a", "b", "n", "last"]
+    state, want = {}, {}
+    for k, s, t, a, b in rows:
+        n, last = state.get(k, (0, None))
+        state[k] = want[s, t] = (n + (a is not None), b if b is not None else last)
+    assert {(x.s, x.t): (x.n, x.last) for x in out.collect()} == want
