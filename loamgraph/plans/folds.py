@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import folds as O
+from ..operators.steps import table
 from ..registry import query
 
 #: A request for each line: order lines as requests of one node, the odd ones without content, some through another path.
@@ -55,16 +56,18 @@ def requests(g, raw=False):
 @query("m2_answers", ANSWERS)
 def m2_answers(g):
     """What each of an order's requests finds and leaves, one after the other."""
-    return O.update(g.star, g.memories, requests(g))[0]
+    got = table(O.met(g.star, requests(g)).select("seq", "status", "node_uuid", "memory_id", "had_world", "world_timestamp", "content"), "requests")
+    return O.answers(got, O.versioned(got, g.last_ids))
 
 
 @query("m2_versions", VERSIONS)
 def m2_versions(g):
     """The versions that a batch of several requests a node makes and retires, numbered and linked."""
-    return O.update(g.star, g.memories, requests(g))[1]
+    got = table(O.met(g.star, requests(g)).select("seq", "status", "node_uuid", "memory_id", "had_world", "world_timestamp", "content"), "requests")
+    return O.versions(O.versioned(got, g.last_ids, "content"), g.memories)
 
 
 @query("m2_edges", EDGES)
 def m2_edges(g):
     """Edges whose priority or disclosure the batch changes: the last value given."""
-    return O.update(g.star, g.memories, requests(g))[2]
+    return O.edges(O.met(g.star, requests(g)))
