@@ -64,7 +64,8 @@ def m2_answers(g):
 def m2_versions(g):
     """The versions that a batch of several requests a node makes and retires, numbered and linked."""
     got = table(O.met(g.star, requests(g)).select("seq", "status", "node_uuid", "memory_id", "had_world", "world_timestamp", "content"), "requests")
-    return O.versions(O.versioned(got, g.last_ids, "content"), g.memories)
+    active = g.star.select(F.col("memory_id").alias("id"), "content", "world_timestamp").dropDuplicates(["id"])  # first versions are those at paths
+    return O.versions(O.versioned(got, g.last_ids, "content"), active)
 
 
 @query("m2_edges", EDGES)
