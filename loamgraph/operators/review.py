@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import changes as C
-from .steps import cut
+from .steps import table
 
 CHANGE = "row_key string, tbl string, node_uuid string, edge_id long, parent_uuid string, namespace string, domain string, path string, made boolean, gone boolean, was_active boolean, is_active boolean"
 
@@ -58,13 +58,17 @@ def causes(rows: DataFrame) -> DataFrame:
 
 def anchors(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """(row_key, node): the node of each row's root cause. Causes are followed by pointer doubling to their ends, however
-    far; rows of a ring of causes stand for themselves."""
-    named = cut(node_of(rows, edges).select("row_key", "node"))
-    at = cut(causes(rows))
+    far; rows of a ring of causes stand for themselves. The change set is written once, as each rule of causes reads it."""
+    return _anchors(table(rows, "changes"), edges)
+
+
+def _anchors(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    named = table(node_of(rows, edges).select("row_key", "node"), "named")
+    at = table(causes(rows), "causes")
     first, n, step = at, at.count(), 1
     while step < n and not at.join(at.select(F.col("row_key").alias("cause")), "cause", "left_semi").isEmpty():
         far = at.select(F.col("row_key").alias("cause"), F.col("cause").alias("cause2"))
-        at = cut(at.join(far, "cause", "left").select("row_key", F.coalesce("cause2", "cause").alias("cause")))
+        at = table(at.join(far, "cause", "left").select("row_key", F.coalesce("cause2", "cause").alias("cause")), "causes")
         step *= 2
     at = at.join(first.select(F.col("row_key").alias("cause")), "cause", "left_anti")
     root = named.join(at, "row_key", "left").select("row_key", F.coalesce("cause", "row_key").alias("root"))
@@ -73,7 +77,8 @@ def anchors(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 def groups(rows: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
     """Per root cause's node: a uri to show, the most telling table, what happened to it, rows, and namespaces."""
-    at = anchors(rows, edges).where("node is not null")
+    rows = table(rows, "changes")
+    at = _anchors(rows, edges).where("node is not null")
     image = rows.select("row_key", "tbl", F.when(~F.col("made"), F.lit("b")).alias("before"), F.when(~F.col("gone"), F.lit("a")).alias("after"))
     top = C.groups(image.join(at, "row_key").select("tbl", F.col("node").alias("node_uuid"), "before", "after"))
     uri = T.uri_of(F.col("domain"), F.col("path"))
