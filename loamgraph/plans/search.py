@@ -141,7 +141,7 @@ def f4b(g):
     """The kept index after every seventh text has changed and every eleventh document has gone."""
     k = F.col("doc_id")
     now = g.documents.where(k % 11 != 0).withColumn("content", F.when(k % 7 == 0, F.concat(F.lit("renewed text "), k.cast("string"))).otherwise(F.col("content")))
-    posts, _ = S.refreshed((g.postings, g.sizes), S.search_documents(now, g.glossary), g.documents.where((k % 7 == 0) | (k % 11 == 0)))
+    posts, _ = S.refreshed((g.postings, g.sizes), S.search_documents(now.where(k % 7 == 0), g.glossary), g.documents.where((k % 7 == 0) | (k % 11 == 0)))
     return posts.groupBy("doc_id").agg(F.sum("n").alias("size"), F.count("*").alias("terms"), F.round(F.sum("f"), 2).alias("weight"), F.max(F.col("term") == "renewed").alias("renewed"))
 
 
