@@ -20,3 +20,14 @@ def test_covers_send_a_row_for_each_token_of_a_document(spark, sf):
     run = lambda: registry.QUERIES["f7_cover_search"](spark, sf).write.format("noop").mode("overwrite").save()
     run()
     assert sent(spark, run) <= 10 * spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_phrases_send_no_places_one_by_one(spark):
+    """A row for each term and document, with all places, instead of a row for each place."""
+    text = F.repeat(F.lit("a b c "), 500)
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("p").alias("path"), F.lit("u").alias("uri"), text.alias("content"), F.lit(None).cast("string").alias("disclosure"), F.lit(None).cast("string").alias("terms"))
+    P.positions(docs).write.mode("overwrite").parquet(path := spark.sparkContext.getCheckpointDir() + "/few-posts")
+    posts, asked = spark.read.parquet(path), spark.createDataFrame([("a b", ["a", "b"]), ("b a", ["b", "a"])], "phrase string, terms array<string>")
+    got = []
+    rows = sent(spark, lambda: got.extend(P.phrase_postings(posts, asked).collect()))
+    assert {(x.phrase, x.n) for x in got} == {("a b", 500)} and len(got) == 20 and rows <= 500
