@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .steps import cut
+from .steps import cut, table
 
 #: The tables from the most to the least telling one.
 RANK = {"nodes": 5, "memories": 4, "edges": 3, "paths": 2, "glossary_keywords": 1}
@@ -53,3 +55,31 @@ def ancestors(revisions: DataFrame, start: DataFrame) -> DataFrame:
         out = cut(out.unionAll(more))
         far = up.select(F.col("at").alias("above"), F.col("above").alias("above2"))
         up, step = cut(up.join(far, "above").select("at", F.col("above2").alias("above"))), 2 * step
+
+
+def nearest(revisions: DataFrame, key: Column) -> DataFrame:
+    """(origin, key, nearest_target, nearest_head): of the revisions at and above each one, by a ``key`` that is never null,
+    the furthest and the closest. A row a revision, with both ids for each key among the 2^k ones from it up, so the ancestors
+    themselves are never listed but where parents form a ring."""
+    own = F.create_map(key, F.col("id"))
+    open_, done, step = table(revisions.select("id", F.col("parent_id").alias("to"), own.alias("heads"), own.alias("targets")), "above"), [], 1
+    none = F.map_filter("heads", lambda k, v: F.lit(False))
+    while True:
+        done.append(open_.where("to is null"))
+        open_ = open_.where("to is not null")
+        left = open_.count()
+        if not left or step > left + sum(d.count() for d in done):
+            break
+        every = reduce(DataFrame.unionAll, [*done, open_])
+        # what is pointed at gets less with each step, and is sent to all tasks then, however many point at one
+        up = table(every.join(open_.select(F.col("to").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("heads").alias("h"), F.col("targets").alias("t")), "up")
+        got = open_.join(up, "to", "left").withColumns({"h": F.coalesce("h", none), "t": F.coalesce("t", none)})
+        heads = F.map_concat("heads", F.map_filter("h", lambda k, v: ~F.map_contains_key("heads", k)))
+        targets = F.map_concat(F.map_filter("targets", lambda k, v: ~F.map_contains_key("t", k)), "t")
+        open_, step = table(got.select("id", F.col("far").alias("to"), heads.alias("heads"), targets.alias("targets")), "above"), 2 * step
+    out = reduce(DataFrame.unionAll, done).select(F.col("id").alias("origin"), F.explode("heads").alias("key", "nearest_head"), "targets")
+    out = out.select("origin", "key", F.element_at("targets", F.col("key")).alias("nearest_target"), "nearest_head")
+    if not left:
+        return out
+    rings = ancestors(revisions, open_.select(F.col("id").alias("origin"))).join(revisions.select("id"), "id", "left_semi").withColumn("key", key)
+    return out.unionByName(rings.groupBy("origin", "key").agg(F.max_by("id", "depth").alias("nearest_target"), F.min_by("id", "depth").alias("nearest_head")))

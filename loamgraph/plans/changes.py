@@ -106,6 +106,4 @@ def c17_all(g):
 
 @query("c18_checkout_all", REV + ", an AS (SELECT id AS origin, id, parent_id, 0 AS depth FROM rev UNION ALL SELECT an.origin, r.id, r.parent_id, an.depth + 1 FROM an JOIN rev r ON r.id = an.parent_id) SELECT origin, id % 3 AS key, arg_max(id, depth) AS nearest_target, arg_min(id, depth) AS nearest_head FROM an GROUP BY ALL")
 def c18_all(g):
-    r = revisions(g)
-    got = C.ancestors(r, r.select(F.col("id").alias("origin"))).join(r.select("id"), "id", "left_semi")
-    return got.groupBy("origin", (F.col("id") % 3).alias("key")).agg(F.max_by("id", "depth").alias("nearest_target"), F.min_by("id", "depth").alias("nearest_head"))
+    return C.nearest(revisions(g), F.col("id") % 3).select("origin", "key", "nearest_target", "nearest_head")
