@@ -98,11 +98,17 @@ def cascade(edges: DataFrame, paths: DataFrame, aliases: DataFrame) -> DataFrame
 
 def would_cycle(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """For requests(parent_uuid, child_uuid): whether the parent is the child or below it; never for the root."""
-    links = edges.select(F.col("parent_uuid").alias("a"), F.col("child_uuid").alias("b"))
-    below = C.reachable(links, requests.select(F.col("child_uuid").alias("origin"), F.col("child_uuid").alias("node")).distinct())
-    hit = below.select(F.col("origin").alias("child_uuid"), F.col("node").alias("parent_uuid"), F.lit(True).alias("hit"))
+    hit = above(edges, requests.select("parent_uuid")).withColumn("hit", F.lit(True))
     got = requests.join(hit, ["child_uuid", "parent_uuid"], "left")
-    return got.select("parent_uuid", "child_uuid", (F.coalesce("hit", F.lit(False)) & (F.col("parent_uuid") != ROOT)).alias("cycle"))
+    return got.select("parent_uuid", "child_uuid", F.when(F.col("parent_uuid").isNotNull(), F.coalesce("hit", F.lit(False))).alias("cycle"))
+
+
+def above(edges: DataFrame, parents: DataFrame) -> DataFrame:
+    """(parent_uuid, child_uuid): what may not hang below parents(parent_uuid), which is each itself and all above it; nothing
+    for the root. Going up from the parents meets far less than going down from all that is to hang there."""
+    links = edges.select(F.col("child_uuid").alias("a"), F.col("parent_uuid").alias("b"))
+    top = parents.where(F.col("parent_uuid") != ROOT).select(F.col("parent_uuid").alias("origin"), F.col("parent_uuid").alias("node")).distinct()
+    return C.reachable(links, top).select(F.col("origin").alias("parent_uuid"), F.col("node").alias("child_uuid"))
 
 
 def remove_paths(paths: DataFrame, edges: DataFrame, requests: DataFrame) -> DataFrame:

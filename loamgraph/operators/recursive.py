@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .steps import cut
+from .steps import cut, table
 
 
 def ends(links: DataFrame, hops: int = 50) -> DataFrame:
@@ -43,12 +43,12 @@ def descend(edges: DataFrame, start: DataFrame, levels: int | None = None) -> Da
 def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
     """(origin, node) for every node that links(a, b) reach from start(origin, node), in as many steps as it takes: the
     frontier holds new nodes only, so cycles end."""
-    seen = start.select("origin", "node")
+    seen = table(start.select("origin", "node"), "seen")
     front = seen
     while True:
         front = front.join(links.select(F.col("a").alias("node"), "b"), "node").select("origin", F.col("b").alias("node")).distinct().join(seen, ["origin", "node"], "left_anti")
-        front = cut(front)
+        front = table(front, "front")  # a small one is sent to the links
         if front.isEmpty():
             break
-        seen = cut(seen.unionAll(front))
+        seen = table(seen.unionAll(front), "seen")
     return seen.distinct()

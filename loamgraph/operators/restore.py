@@ -9,15 +9,24 @@ from ..functions import text as T
 from ..functions.spans import fuzzy_patch
 from ..functions.udfs import nfc
 from ..schema import ROOT
-from .mutations import would_cycle
+from .mutations import above
 from .reads import first_by
+from .steps import table
 
 
-def _parent(requests: DataFrame, paths: DataFrame) -> DataFrame:
-    """requests with found_parent, the node at the path above (the root for top paths), and taken."""
+def _ups(requests: DataFrame, paths: DataFrame) -> DataFrame:
+    """(namespace, domain, up, at): the paths that requests want to be below, once each, with their nodes."""
+    asked = requests.select("namespace", "domain", T.parent_path(F.col("path")).alias("up")).distinct()
     up = paths.select("namespace", "domain", F.col("path").alias("up"), F.col("node_uuid").alias("at"))
+    return table(up.join(asked, ["namespace", "domain", "up"], "left_semi"), "ups")
+
+
+def _parent(requests: DataFrame, paths: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """requests with found_parent, the node at the path above (the root for top paths), and taken."""
+    got = requests.withColumn("up", T.parent_path(F.col("path")))
+    up = up if up is not None else _ups(requests, paths)
     there = paths.select("namespace", "domain", "path", F.lit(True).alias("taken"))
-    got = requests.withColumn("up", T.parent_path(F.col("path"))).join(up, ["namespace", "domain", "up"], "left").join(there, ["namespace", "domain", "path"], "left")
+    got = got.join(up, ["namespace", "domain", "up"], "left").join(there, ["namespace", "domain", "path"], "left")
     return got.withColumn("found_parent", F.when(F.col("up") == "", F.lit(ROOT)).otherwise(F.col("at"))).drop("at")
 
 
@@ -41,9 +50,9 @@ def restore_orphans(memories: DataFrame, edges: DataFrame, paths: DataFrame, req
     """Answers requests(seq, memory_id, namespace, domain, path): a version that has no successor gets a path of its own
     and becomes its node's active one. Status: ok, no path, no memory, no parent, taken, superseded or cycle."""
     m = memories.select(F.col("id").alias("memory_id"), "node_uuid", "migrated_to", F.lit(True).alias("known"))
-    got = _parent(requests, paths).join(m, "memory_id", "left")
-    ask = got.where("found_parent is not null and node_uuid is not null").select(F.col("found_parent").alias("parent_uuid"), F.col("node_uuid").alias("child_uuid")).distinct()
-    rings = would_cycle(edges, ask).select(F.col("parent_uuid").alias("found_parent"), F.col("child_uuid").alias("node_uuid"), "cycle")
+    up = _ups(requests, paths)
+    got = _parent(requests.join(m, "memory_id", "left"), paths, up)
+    rings = table(above(edges, up.select(F.col("at").alias("parent_uuid"))), "rings").select(F.col("parent_uuid").alias("found_parent"), F.col("child_uuid").alias("node_uuid"), F.lit(True).alias("cycle"))
     got = got.join(rings, ["found_parent", "node_uuid"], "left")
     first = F.row_number().over(Window.partitionBy("namespace", "domain", "path").orderBy("seq")) == 1
     status = (
