@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ROOT
-from .steps import cut
+from .steps import table
 
 KEY = ["namespace", "domain", "path"]
 
@@ -36,23 +36,23 @@ def dead_nodes(nodes: DataFrame, edges: DataFrame, paths: DataFrame, hard: DataF
     dead from the start, with all paths to them; else only nodes without a path are. The root never dies."""
     hard = hard if hard is not None else nodes.select("uuid").where("false")
     hard = hard.where(F.col("uuid") != ROOT).select("uuid").distinct()
-    goes = cut(losses(edges, paths, hard))
+    goes = table(losses(edges, paths, hard), "losses")
     had = paths.groupBy(F.col("node_uuid").alias("uuid")).agg(F.count("*").alias("had"))
     without = nodes.where(F.col("uuid") != ROOT).select("uuid").join(paths.select(F.col("node_uuid").alias("uuid")), "uuid", "left_anti")
-    front = cut(without.unionByName(hard).distinct())
+    front = table(without.unionByName(hard).distinct(), "front")
     dead, gone, turn = [front.withColumn("round", F.lit(0))], [], 0
     while not front.isEmpty():
         new = goes.join(front.withColumnRenamed("uuid", "cause"), "cause", "left_semi").select(*KEY, "node_uuid").distinct()
         if gone:
             new = new.join(reduce(DataFrame.unionAll, gone).select(*KEY), KEY, "left_anti")
-        gone.append(cut(new))
+        gone.append(table(new, "gone"))
         lost = reduce(DataFrame.unionAll, gone).join(gone[-1].select("node_uuid").distinct(), "node_uuid", "left_semi").groupBy(F.col("node_uuid").alias("uuid")).agg(F.count("*").alias("lost"))
         turn += 1
         front = lost.join(had, "uuid").where("lost = had").select("uuid").join(reduce(DataFrame.unionAll, [d.select("uuid") for d in dead]), "uuid", "left_anti")
-        front = cut(front)
+        front = table(front, "front")
         dead.append(front.withColumn("round", F.lit(turn)))
         if turn % 8 == 0:  # plans stay short
-            dead, gone = [cut(reduce(DataFrame.unionAll, dead))], [cut(reduce(DataFrame.unionAll, gone))]
+            dead, gone = [table(reduce(DataFrame.unionAll, dead), "dead")], [table(reduce(DataFrame.unionAll, gone), "gone")]
     none = paths.select(*KEY, "node_uuid").where("false")
     return reduce(DataFrame.unionAll, dead), reduce(DataFrame.unionAll, gone) if gone else none
 
@@ -65,7 +65,7 @@ def collect(nodes: DataFrame, edges: DataFrame, paths: DataFrame, memories: Data
     """
     hard = hard if hard is not None else nodes.select("uuid").where("false")
     dead, gone = dead_nodes(nodes, edges, paths, hard)
-    dead = cut(dead.select("uuid").distinct())
+    dead = table(dead.select("uuid").distinct(), "dead")
     whole = dead.join(hard.select("uuid").distinct(), "uuid", "left_semi")
     soft = dead.join(whole, "uuid", "left_anti")
     key = F.concat_ws("|", *KEY)

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import collect as O
+from ..operators.steps import table
 from ..registry import query
 
 _CHAIN = """, cn AS (SELECT o_orderkey AS k, o_custkey AS c, prio, o_custkey % 3 = 0 AS cutoff, row_number() OVER w - 1 AS n, lag(o_orderkey) OVER w AS prev FROM ord WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
@@ -25,6 +26,7 @@ def chains(g):
     """(nodes, edges, paths, memories, glossary) of the chains."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     c = g.orders.withColumn("n", F.row_number().over(w) - 1).withColumn("up", F.when(F.col("n") % 12 > 0, F.lag("o_orderkey").over(w)))
+    c = table(c.select("o_orderkey", "o_custkey", "prio", "up"), "chains")  # all five are told from it
     tag = lambda x: F.concat(F.lit("o-"), x.cast("string"))
     nodes = c.select(tag(F.col("o_orderkey")).alias("uuid"))
     parent = F.when(F.col("up").isNull(), "ROOT").otherwise(tag(F.col("up")))
