@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import running
-from .steps import cut
+from .steps import cut, table
 
 STATES = "id string, entity_id string, version long, name string, content string, inheritable boolean, previous string"
 
@@ -125,3 +125,13 @@ def degrees(states: DataFrame, current: DataFrame, edges: DataFrame) -> DataFram
     now = current.select("id", F.lit(True).alias("now")).distinct()
     got = states.join(ins, "id", "left").join(outs, "id", "left").join(now, "id", "left")
     return got.select(states.columns + [F.coalesce(c, F.lit(0)).alias(c) for c in ("in_count", "out_count")] + [F.coalesce("now", F.lit(False)).alias("is_current")])
+
+
+def orphans(states: DataFrame, current: DataFrame, edges: DataFrame) -> DataFrame:
+    """``degrees`` of the states that nothing leads to. What is led to goes first, so only the rest meets its own edges."""
+    led = edges.select(F.col("to_id").alias("id")).distinct()
+    left = table(states.join(led, "id", "left_anti"), "orphans")
+    outs = edges.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("out_count"))
+    now = current.join(left.select("id"), "id", "left_semi").select("id", F.lit(True).alias("now")).distinct()
+    got = left.join(outs, "id", "left").join(now, "id", "left")
+    return got.select(*states.columns, F.lit(0).cast("long").alias("in_count"), F.coalesce("out_count", F.lit(0)).alias("out_count"), F.coalesce("now", F.lit(False)).alias("is_current"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import folds, states
 from ..operators import relays as R
+from ..operators.steps import table
 from ..registry import query
 from .legacy import entities
 from .legacy import states as orders
-from .relays import RELAYS, directs, every_state, relays
+from .relays import RELAYS, directs, every_state, pairs, relays
 
 _EDGES = RELAYS.rstrip() + """, ev AS (SELECT id, entity_id, version FROM sts UNION ALL SELECT 's-' || s_suppkey || '_v1', 's-' || s_suppkey, 1 FROM supplier UNION ALL SELECT DISTINCT relay, regexp_replace(relay, '_v1$', ''), 1 FROM re),
 ee AS (SELECT from_state AS f, to_state AS t FROM di UNION ALL SELECT from_state, relay FROM re UNION ALL SELECT relay, to_state FROM re),
@@ -21,10 +22,11 @@ ic AS (SELECT t AS id, count(*) AS n FROM ee GROUP BY 1), oc AS (SELECT f AS id,
 FROM ev LEFT JOIN ic ON ic.id = ev.id LEFT JOIN oc ON oc.id = ev.id LEFT JOIN nv ON nv.id = ev.id WHERE ic.n IS NULL""")
 def n13_orphans(g):
     """States that nothing leads to, and which of them lead nowhere either."""
-    edges = directs(g).select(F.col("from_state").alias("from_id"), F.col("to_state").alias("to_id")).unionByName(relays(g).select("from_id", "to_id"))
-    s = every_state(g).select("id", "entity_id", "version")
-    got = states.degrees(s, s.groupBy("entity_id").agg(F.max_by("id", "version").alias("id")), edges)
-    return got.where("in_count = 0").withColumn("all_zero", F.col("out_count") == 0)
+    d = directs(g, table(pairs(g), "pairs"))
+    edges = d.select(F.col("from_state").alias("from_id"), F.col("to_state").alias("to_id")).unionByName(relays(g, d).select("from_id", "to_id"))
+    s = every_state(g, d).select("id", "entity_id", "version")
+    got = states.orphans(s, s.groupBy("entity_id").agg(F.max_by("id", "version").alias("id")), edges)
+    return got.withColumn("all_zero", F.col("out_count") == 0)
 
 
 @query("n15_catalog_edges", RELAYS.rstrip() + """, rr AS (SELECT viewer, target, relation, edge_id, count(relay) AS chapters FROM rs GROUP BY ALL), cn AS (SELECT entity_id, arg_max(name, version) AS name FROM sts GROUP BY 1)
