@@ -57,6 +57,39 @@ def ancestors(revisions: DataFrame, start: DataFrame) -> DataFrame:
         up, step = cut(up.join(far, "above").select("at", F.col("above2").alias("above"))), 2 * step
 
 
+#: How many ancestors a row holds at most.
+BLOCK = 256
+
+
+def lineages(revisions: DataFrame) -> DataFrame:
+    """(origin, id, depth) of every one of revisions(id, parent_id), whose ids are unique, and all known ones above it, as
+    ``ancestors`` tells it.
+
+    Only revisions with four generations below them get their ancestors as an array, by doubling; in most trees these are
+    few. The others go up to them step by step, and the rows are made where that is read, so none is sent or written. If a way
+    is longer than BLOCK above those, or a ring, the ancestors are listed instead."""
+    known = revisions.select(F.col("id").alias("up"), F.lit(True).alias("there"))
+    base = table(revisions.select("id", F.col("parent_id").alias("up")).join(known, "up", "left").select("id", F.when(F.col("there"), F.col("up")).alias("up")), "revisions")
+    levels = [base]
+    for _ in range(4):
+        above = levels[-1].where("up is not null").select(F.col("up").alias("id")).distinct()
+        levels.append(table(levels[-1].join(above, "id", "left_semi"), "above"))
+    rows, size = table(levels.pop().select("id", F.array("id").alias("ids"), F.col("up").alias("to")), "block"), 1
+    while not rows.where("to is not null").isEmpty():
+        if size >= BLOCK:
+            return ancestors(base.withColumnRenamed("up", "parent_id"), base.select(F.col("id").alias("origin")))
+        far = rows.select(F.col("id").alias("to"), F.col("ids").alias("more"), F.col("to").alias("far"))
+        more = rows.where("to is not null").join(far, "to").select("id", F.concat("ids", "more").alias("ids"), F.col("far").alias("to"))
+        rows, size = table(rows.where("to is null").unionByName(more), "block"), 2 * size
+    ways = base.select(F.array("id").alias("own"), F.col("up").alias("to"))
+    for level in levels[1:]:
+        step = level.select(F.col("id").alias("to"), F.col("up").alias("far"))
+        ways = ways.join(step, "to", "left").select(F.when(F.col("to").isNull(), F.col("own")).otherwise(F.concat("own", F.array("to"))).alias("own"), F.col("far").alias("to"))
+    ways = ways.join(rows.select(F.col("id").alias("to"), "ids"), "to", "left")
+    every = F.when(F.col("ids").isNull(), F.col("own")).otherwise(F.concat("own", "ids"))
+    return ways.select(F.element_at("own", 1).alias("origin"), F.posexplode(every).alias("depth", "id")).select("origin", "id", "depth")
+
+
 def nearest(revisions: DataFrame, key: Column) -> DataFrame:
     """(origin, key, nearest_target, nearest_head): of the revisions at and above each one, by a ``key`` that is never null,
     the furthest and the closest. A row a revision, with both ids for each key among the 2^k ones from it up, so the ancestors

@@ -100,8 +100,7 @@ def c18(g):
 
 @query("c17_ancestors_all", REV + ", an AS (SELECT id AS origin, id, parent_id, 0 AS depth FROM rev UNION ALL SELECT an.origin, r.id, r.parent_id, an.depth + 1 FROM an JOIN rev r ON r.id = an.parent_id) SELECT origin, id, depth FROM an")
 def c17_all(g):
-    r = revisions(g)
-    return C.ancestors(r, r.select(F.col("id").alias("origin"))).join(r.select("id"), "id", "left_semi")
+    return C.lineages(revisions(g))
 
 
 @query("c18_checkout_all", REV + ", an AS (SELECT id AS origin, id, parent_id, 0 AS depth FROM rev UNION ALL SELECT an.origin, r.id, r.parent_id, an.depth + 1 FROM an JOIN rev r ON r.id = an.parent_id) SELECT origin, id % 3 AS key, arg_max(id, depth) AS nearest_target, arg_min(id, depth) AS nearest_head FROM an GROUP BY ALL")

@@ -16,7 +16,7 @@ from loamgraph.operators import states as S
 
 #: Rows sent for each row of lineitem at scale 0.001, between what was sent before and what is sent now: st2_pool_stream 3.0 and
 #: 2.0, c18_checkout_all 18.2 and 0.5, m9_restore_orphan 6.2 and 1.0, m8_collect 16.6 and 5.0.
-MOST = {"m8_collect": 10, "st2_pool_stream": 2.5, "c18_checkout_all": 5, "m9_restore_orphan": 3}
+MOST = {"c17_ancestors_all": 12, "m8_collect": 10, "st2_pool_stream": 2.5, "c18_checkout_all": 5, "m9_restore_orphan": 3}
 
 
 @pytest.mark.parametrize("name", sorted(MOST))
@@ -37,6 +37,17 @@ def test_nearest_on_chains_branches_and_rings(spark):
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
 
 
+def test_lineages_on_chains_branches_and_rings(spark, monkeypatch):
+    """By the ancestors themselves: branches, a missing parent, chains longer than a block, a ring with a tail."""
+    plain = [(1, None), (2, 1), (3, 1), (4, 3), (5, 4), (6, 5), (7, 99), (8, 7), *((k, k - 1) for k in range(31, 48)), (30, None)]
+    for rows, block in ((plain, 256), ([*plain, (61, 62), (62, 63), (63, 61), (64, 63), (65, 64)], 8)):
+        monkeypatch.setattr(C, "BLOCK", block)
+        revisions = spark.createDataFrame(rows, "id long, parent_id long")
+        want = C.ancestors(revisions, revisions.select(F.col("id").alias("origin"))).join(revisions.select("id"), "id", "left_semi")
+        got = C.lineages(revisions)
+        assert sorted(map(tuple, got.select("origin", "id", "depth").collect())) == sorted(map(tuple, want.select("origin", "id", "depth").collect()))
+
+
 def test_short_texts_are_compared_together(monkeypatch):
     r = random.Random(3)
     text = lambda n: "".join(r.choice("abé😀 \n") for _ in range(n))
