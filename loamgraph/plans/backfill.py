@@ -24,14 +24,14 @@ oe AS (SELECT *, row_number() OVER (ORDER BY depth, domain, path) AS id FROM (SE
 
 
 def old(g):
-    m, k, n = g.memories, F.floor(F.col("id") / 100), F.col("id") % 100
+    m, k, n = g.links, F.floor(F.col("id") / 100), F.col("id") % 100
     order = F.col("id") < 10**12
     node = F.when(order & (k % 5 == 0) & (n == 2) | ~order & (F.col("id") % 3 == 0), F.col("node_uuid"))
-    third = m.where(order & (n == 3)).select((F.col("id") - 2).alias("first"), F.col("id").alias("third"))
-    to = F.when(order & (k % 4 == 0) & (n == 1) & F.col("migrated_to").isNotNull(), F.coalesce("third", "migrated_to")).when(order & (k % 7 == 0) & F.col("migrated_to").isNull(), k * 100 + 1).otherwise(F.col("migrated_to"))
-    memories = m.join(third, F.col("id") == F.col("first"), "left").select("id", node.alias("node_uuid"), to.alias("migrated_to"))
+    third = F.when(F.col("n") + 2 <= F.col("last"), F.col("id") + 2)
+    to = F.when(order & (k % 4 == 0) & (n == 1) & F.col("migrated_to").isNotNull(), F.coalesce(third, "migrated_to")).when(order & (k % 7 == 0) & F.col("migrated_to").isNull(), k * 100 + 1).otherwise(F.col("migrated_to"))
+    memories = m.select("id", node.alias("node_uuid"), to.alias("migrated_to"))
     own = F.when(F.col("node_uuid").like("o-%"), F.substring("node_uuid", 3, 20).cast("long") * 100 + 1).otherwise(F.col("memory_id"))
-    paths = g.star.where("namespace = ''").select("domain", "path", own.alias("memory_id"), F.when(F.col("priority") > 0, F.col("priority")).alias("priority"), "disclosure")
+    paths = g.places.where("namespace = ''").select("domain", "path", own.alias("memory_id"), F.when(F.col("priority") > 0, F.col("priority")).alias("priority"), "disclosure")
     return memories, paths
 
 
