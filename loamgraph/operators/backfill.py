@@ -12,6 +12,11 @@ from .reads import first_by
 from .steps import table
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A step, as a columnar table."""
+    return table(df, "backfill")
+
+
 def roots(links: DataFrame, known: bool = False) -> DataFrame:
     """(id, root) of links(id, up): where following up ends; unknown ups end it. On a ring every id is its own root, and what
     leads into one has the id where it enters as root. Pointers double, so rounds are the logarithm of the longest way.
@@ -20,7 +25,7 @@ def roots(links: DataFrame, known: bool = False) -> DataFrame:
     if not known:
         there = links.select(F.col("id").alias("up"), F.lit(True).alias("there"))
         start = start.join(there, "up", "left").select("id", F.when(F.col("there"), F.col("up")).alias("up"))
-    start = table(start, "links")
+    start = cut(start)
 
     def walk(way: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(id, to) of the ids that end, and of those that never do, which stand on rings then. Ids that have ended are joined no more."""
@@ -35,14 +40,14 @@ def roots(links: DataFrame, known: bool = False) -> DataFrame:
             stood = stands
             far = at.withColumn("open", F.lit(True)).unionByName(ended.withColumn("open", F.lit(False)))
             far = far.select(F.col("id").alias("to"), F.col("to").alias("to2"), "open")
-            both = table(at.join(far, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), F.coalesce("open", F.lit(False)).alias("open")), "ways")
+            both = cut(at.join(far, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), F.coalesce("open", F.lit(False)).alias("open")))
             at, ended = both.where("open").drop("open"), ended.unionByName(both.where("not open").drop("open"))
 
     at, never = walk(start)
     if not never.isEmpty():
         ring = never.select(F.col("to").alias("id")).distinct().withColumn("ring", F.lit(True))
         opened = start.join(never.select("id"), "id", "left_semi").join(ring, "id", "left")
-        at = at.unionByName(walk(table(opened.select("id", F.when(F.col("ring").isNull(), F.col("up")).alias("up")), "opened"))[0])
+        at = at.unionByName(walk(cut(opened.select("id", F.when(F.col("ring").isNull(), F.col("up")).alias("up"))))[0])
     return at.select("id", F.col("to").alias("root"))
 
 
@@ -64,16 +69,16 @@ def graph_of(memories: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFram
     make the same edge the shallowest, then the first by domain and path, names it, and edges are numbered in that order.
     paths: (namespace, domain, path, edge_id, node_uuid) in the empty namespace; paths without a known memory are left out.
     """
-    nodes = table(nodes_of(memories), "nodes")
+    nodes = cut(nodes_of(memories))
     at = lambda c, d: nodes.select(F.col("id").alias(c), F.col("node_uuid").alias(d))
     p = first_by(paths, ["domain", "path"], "memory_id").join(at("memory_id", "child_uuid"), "memory_id")
     ups = p.select("domain", F.col("path").alias("up"), F.col("child_uuid").alias("parent_uuid"))
     p = p.withColumn("up", T.parent_path(F.col("path"))).join(ups, ["domain", "up"], "left").withColumn("parent_uuid", F.coalesce("parent_uuid", F.lit(ROOT)))
-    p = table(p.withColumn("depth", T.depth(F.col("path"))), "paths")
+    p = cut(p.withColumn("depth", T.depth(F.col("path"))))
     one = first_by(p, ["parent_uuid", "child_uuid"], "depth", "domain", "path")
     one = one.select("parent_uuid", "child_uuid", T.last_segment(F.col("path")).alias("name"), F.coalesce("priority", F.lit(0)).alias("priority"), "disclosure", "depth", "domain", "path")
     none = one.select(F.lit(0).cast("long").alias("id")).limit(0)
-    edges = table(numbered(one, none, "id", "depth", "domain", "path").select("id", "parent_uuid", "child_uuid", "name", "priority", "disclosure"), "edges")
+    edges = cut(numbered(one, none, "id", "depth", "domain", "path").select("id", "parent_uuid", "child_uuid", "name", "priority", "disclosure"))
     new = p.join(edges.select("parent_uuid", "child_uuid", F.col("id").alias("edge_id")), ["parent_uuid", "child_uuid"])
     return nodes, edges, new.select(F.lit("").alias("namespace"), "domain", "path", "edge_id", F.col("child_uuid").alias("node_uuid"))
 
